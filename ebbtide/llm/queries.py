@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.llm.minhash import near_duplicates
 from ebbtide.llm.packing import pack_documents
 from ebbtide.llm.sharding import shard_documents
 
@@ -36,7 +37,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
-_QUERIES = {"op2_sharding": op2_sharding, "op6_packing": op6_packing}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = {"op2_sharding": op2_sharding, "op6_packing": op6_packing, "op10_minhash": op10_minhash}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

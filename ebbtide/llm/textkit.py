@@ -124,7 +124,7 @@ def shingles(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
         out += padded[at + step] * _STEPS[step]
     for row in np.flatnonzero((count > 0) & (count < SHINGLE_WORDS)):
         part = word[first[row] : first[row + 1]]
-        out[bounds[row]] = (part * _STEPS[: len(part)]).sum(dtype=np.uint64) + _SHORT[len(part)]
+        out[bounds[row]] = np.append(part * _STEPS[: len(part)], _SHORT[len(part)]).sum(dtype=np.uint64)
     return mix(out), bounds
 
 
