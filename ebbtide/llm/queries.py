@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.llm.decontamination import contaminated
+from ebbtide.llm.language import held_out, identify
 from ebbtide.llm.minhash import near_duplicates
 from ebbtide.llm.packing import pack_documents
 from ebbtide.llm.sharding import shard_documents
@@ -42,7 +44,43 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = {"op2_sharding": op2_sharding, "op6_packing": op6_packing, "op10_minhash": op10_minhash}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item of which it contains at least 0.75 of the shingles."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = identify(docs).withColumn("held_out", held_out())
+    return judged.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+_QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
+    "op6_packing": op6_packing,
+    "op9_language": op9_language,
+    "op10_minhash": op10_minhash,
+}
+
+#: Words are split at ASCII white space after lower-casing A-Z; shorter texts are one shingle.
+_SHINGLES = r"""
+    {name}_words AS (
+        SELECT {key}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+        FROM {table}),
+    {name} AS (
+        SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+        FROM {name}_words WHERE len(w) > 0)
+"""
+_ORACLES = {
+    "op3_decontamination": "WITH " + _SHINGLES.format(name="d", key="doc_id", table="documents") + ","
+    + _SHINGLES.format(name="b", key="item_id", table="benchmark")
+    + """, sizes AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
+    SELECT doc_id, item_id, count(*)::BIGINT AS common, item_shingles::BIGINT AS item_shingles, count(*)::DOUBLE / item_shingles AS containment
+    FROM d JOIN b USING (s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING 4 * count(*) >= 3 * item_shingles
+    """,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -50,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)

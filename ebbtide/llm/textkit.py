@@ -63,12 +63,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds
 
 
-def slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes; a longer text is a range of its own."""
+def slices(bounds: np.ndarray, limit: int = SLICE_BYTES, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes and ``most`` rows at most; a longer text is a range of its own."""
     rows, first = len(bounds) - 1, 0
     while first < rows:
         last = int(np.searchsorted(bounds, bounds[first] + limit, side="right")) - 1
-        last = min(rows, max(last, first + 1))
+        last = min(rows, first + most, max(last, first + 1))
         yield first, last
         first = last
 
