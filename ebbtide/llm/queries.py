@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.llm.decontamination import contaminated
+from ebbtide.llm.embeddings import embedding_links
 from ebbtide.llm.language import held_out, identify
 from ebbtide.llm.minhash import near_duplicates
 from ebbtide.llm.packing import pack_documents
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all embeddings."""
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards; row counts differ by one at most."""
     placed = shard_documents(table(spark, sf_dir, "documents"), SHARDS)
@@ -57,6 +63,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = {
+    "op1_embeddings": op1_embeddings,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op6_packing": op6_packing,
@@ -67,7 +74,8 @@ _QUERIES = {
 #: Words are split at ASCII white space after lower-casing A-Z; shorter texts are one shingle.
 _SHINGLES = r"""
     {name}_words AS (
-        SELECT {key}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+        SELECT {key}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
         FROM {table}),
     {name} AS (
         SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
