@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ebbtide.llm.decontamination import contaminated
 from ebbtide.llm.embeddings import embedding_links
 from ebbtide.llm.language import held_out, identify
+from ebbtide.llm.lines import drop_repeated_lines
 from ebbtide.llm.minhash import near_duplicates
 from ebbtide.llm.packing import pack_documents
 from ebbtide.llm.sharding import shard_documents
@@ -55,6 +56,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many of them go as later copies, and a digest of what stays."""
+    cleaned = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_deleted", F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -67,6 +74,7 @@ _QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op6_packing": op6_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
     "op10_minhash": op10_minhash,
 }
@@ -82,6 +90,24 @@ _SHINGLES = r"""
         FROM {name}_words WHERE len(w) > 0)
 """
 _ORACLES = {
+    "op8_line_dedup": r"""
+    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+    l AS (SELECT doc_id, lines, unnest(range(0, len(lines) + 1)) AS pos FROM d WHERE text IS NOT NULL),
+    w AS (SELECT doc_id, lines, pos, CASE WHEN pos = len(lines) THEN 0
+        ELSE least(greatest(len(regexp_extract_all(lines[pos + 1], '[^\x20\x09-\x0D]+')), 1), 50) END AS w FROM l),
+    b AS (SELECT doc_id, lines, pos, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM w),
+    runs AS (
+        SELECT x.doc_id, any_value(x.lines) AS lines, x.pos AS s, min(y.pos) AS e FROM b x JOIN b y ON x.doc_id = y.doc_id AND y.a >= x.a + 50 GROUP BY x.doc_id, x.pos
+        UNION
+        SELECT y.doc_id, any_value(y.lines), max(x.pos), y.pos FROM b x JOIN b y ON x.doc_id = y.doc_id AND y.a >= x.a + 50 GROUP BY y.doc_id, y.pos),
+    named AS (SELECT doc_id, s, e, array_to_string(lines[s + 1:e], chr(10)) AS run FROM runs),
+    later AS (SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS n FROM named) WHERE n > 1),
+    gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(s, e)) AS p FROM later) GROUP BY doc_id)
+    SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_deleted,
+        sha256(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(
+            list_transform(list_filter(range(0, len(lines)), lambda i: NOT list_contains(gone, i)), lambda i: lines[i + 1]), chr(10)), '') END) AS text_sha256
+    FROM d LEFT JOIN gone USING (doc_id)
+    """,
     "op3_decontamination": "WITH " + _SHINGLES.format(name="d", key="doc_id", table="documents") + ","
     + _SHINGLES.format(name="b", key="item_id", table="benchmark")
     + """, sizes AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
