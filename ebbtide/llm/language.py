@@ -141,11 +141,14 @@ def fit(labelled: DataFrame) -> Model:
     )
 
 
-def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``rows`` and lang_pred, score and rejected; older columns of these names are replaced."""
-    new = ["lang_pred", "score", "rejected"]
+RESULT = ("lang_pred", "score", "rejected")
+
+
+def predict(rows: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = RESULT) -> DataFrame:
+    """All columns of ``rows`` and language, cosine and rejection; older columns of these names are replaced."""
+    new = list(names)
     kept = [c for c in rows.columns if c not in new]
-    schema = T.StructType([rows.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = T.StructType([rows.schema[c] for c in kept]).add(new[0], "string").add(new[1], "double").add(new[2], "boolean")
     held = rows.sparkSession.sparkContext.broadcast(model)
     letter = "__letter"
     ready = rows.select(*kept).withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
@@ -177,6 +180,6 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, names: tuple[str, str, str] = RESULT) -> DataFrame:
     """Learn from the labelled documents that aren't held out, and judge all documents; all columns stay."""
-    return predict(docs, fit(docs.filter(~held_out())))
+    return predict(docs, fit(docs.filter(~held_out())), names=names)

@@ -122,13 +122,13 @@ def _named(runs: DataFrame, first: DataFrame, last: DataFrame) -> DataFrame:
     )
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """All columns and rows of ``docs`` with the cleaned text, and n_lines and n_deleted; older columns of these names are replaced."""
+def drop_repeated_lines(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """All columns and rows of ``docs`` with the cleaned text, and line counts; older columns of these names are replaced."""
     deleted = materialize(later_copies(docs), "deleted")
     docs_hit, lines_hit = deleted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("deleted")), F.lit(0))).first()
     small = docs_hit <= BROADCAST_DOCS and lines_hit <= BROADCAST_LINES
     hit = deleted.select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), "deleted").withColumnRenamed("deleted", "__deleted")
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    kept = [c for c in docs.columns if c not in names]
     joined = docs.select(*kept).join(
         F.broadcast(hit) if small else hit,
         F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__version")) & F.col("text").isNotNull(),
@@ -139,6 +139,6 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     cleaned = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
     return joined.select(
         *(F.when(F.col("__deleted").isNull(), F.col("text")).otherwise(cleaned).alias("text") if c == "text" else F.col(c) for c in kept),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__deleted"), F.lit(0)).cast("long").alias("n_deleted"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(names[0]),
+        F.coalesce(F.size("__deleted"), F.lit(0)).cast("long").alias(names[1]),
     )

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ebbtide.llm.decontamination import contaminated
 from ebbtide.llm.embeddings import embedding_links
 from ebbtide.llm.language import held_out, identify
 from ebbtide.llm.lines import drop_repeated_lines
 from ebbtide.llm.minhash import near_duplicates
-from ebbtide.llm.packing import pack_documents
+from ebbtide.llm.packing import pack_documents, tokenizer_files
 from ebbtide.llm.sharding import shard_documents
 
 SHARDS = 16
@@ -36,11 +36,6 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tokenizer_files() -> tuple[str, str, str]:
-    """Vocabulary file, rank file of the same vocabulary, and its word pattern."""
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-
-
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few sequences of 1024 tokens as best fit needs."""
     return pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
@@ -69,7 +64,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _QUERIES = {
+    "pipeline": pipeline,
     "op1_embeddings": op1_embeddings,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
