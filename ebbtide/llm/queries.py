@@ -11,6 +11,7 @@ import corpus_pipeline
 from ebbtide.llm.decontamination import contaminated
 from ebbtide.llm.embeddings import embedding_links
 from ebbtide.llm.language import held_out, identify
+from ebbtide.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses, tokens_of
 from ebbtide.llm.lines import drop_repeated_lines
 from ebbtide.llm.minhash import near_duplicates
 from ebbtide.llm.packing import pack_documents, tokenizer_files
@@ -36,6 +37,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few sequences of 1024 tokens as best fit needs."""
     return pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
@@ -74,6 +80,7 @@ _QUERIES = {
     "op1_embeddings": op1_embeddings,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
+    "op4_licenses": op4_licenses,
     "op6_packing": op6_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
@@ -90,7 +97,28 @@ _SHINGLES = r"""
         SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
         FROM {name}_words WHERE len(w) > 0)
 """
+_NOTICES = ", ".join(f"({n}, '{label}', {tokens_of(notice)!r})" for n, (label, notice) in enumerate(TEMPLATES))
+
 _ORACLES = {
+    "op4_licenses": r"""
+    WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+    p AS (SELECT doc_id, t, len(w) AS n_words,
+        list_filter(range(0, len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS mit,
+        list_filter(range(0, len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS apache,
+        list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl FROM w),
+    b AS (SELECT *, list_concat(mit, apache, gpl) AS places,
+        list_concat(CASE WHEN len(apache) > 0 THEN ['apache'] ELSE [] END, CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE [] END, CASE WHEN len(mit) > 0 THEN ['mit'] ELSE [] END) AS base FROM p),
+    x AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tokens FROM d),
+    n(template, label, ids) AS (VALUES {notices}),
+    h AS (SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(tokens, ids)) / len(ids)) AS best
+        FROM x, n WHERE len(list_intersect(tokens, ids)) >= ceil({threshold} * len(ids)) GROUP BY doc_id)
+    SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+        array_to_string(base, ',') AS base_labels,
+        array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
+        greatest(coalesce(best, 0), CASE WHEN len(places) > 0 THEN 1 ELSE 0 END)::DOUBLE AS score
+    FROM b LEFT JOIN h USING (doc_id)
+    """.format(notices=_NOTICES, threshold=THRESHOLD),
     "op8_line_dedup": r"""
     WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
     l AS (SELECT doc_id, lines, unnest(range(0, len(lines) + 1)) AS pos FROM d WHERE text IS NOT NULL),
