@@ -15,7 +15,9 @@ from ebbtide.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses, tokens_of
 from ebbtide.llm.lines import drop_repeated_lines
 from ebbtide.llm.minhash import near_duplicates
 from ebbtide.llm.packing import pack_documents, tokenizer_files
+from ebbtide.llm.secrets import scan_secrets
 from ebbtide.llm.sharding import shard_documents
+from ebbtide.llm.urls import judge_urls
 
 SHARDS = 16
 
@@ -42,6 +44,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in as few sequences of 1024 tokens as best fit needs."""
     return pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
@@ -57,6 +64,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, how many of them go as later copies, and a digest of what stays."""
     cleaned = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,7 +93,9 @@ _QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_licenses": op4_licenses,
+    "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
+    "op7_urls": op7_urls,
     "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
     "op10_minhash": op10_minhash,
