@@ -1,10 +1,11 @@
 """URL filter: host and path rules, then gradient-boosted trees on lexical features.
 
 Where a rule fits, the longest one decides.  Other URLs are judged by boosted
-trees trained on labelled URLs: those of the table that a rule decides, or any
-given ones.  The trees see lengths, depth, digit ratio, character entropy,
-parameter counts, and statistics of the host's suffix and words learnt from all
-labelled URLs; the rules' own names are no features.
+trees trained on labelled URLs.  A URL that a rule decides is labelled by it;
+others are labelled by a lexicon of words that spam hosts are made of.  The
+trees see no name, only lengths, depth, digit and dash ratios, character
+entropy, parameter counts, and statistics of the host's suffix and first word
+over all labelled URLs, so that they also judge names that the lexicon lacks.
 
 DataFrame functions and the JVM's tree learner only.  The learner is fitted on
 at most ``SAMPLE`` labelled URLs, taken by their hash.
@@ -27,6 +28,8 @@ from ebbtide.plans.scratch import materialize
 # Fixed values of the contract: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
+#: Whole words of a host name, as parted by dots and dashes, that label a URL as spam.
+SPAM_WORDS = ("adult", "bet", "bets", "casino", "cheap", "crack", "loan", "loans", "pills", "poker", "porn", "replica", "spam", "viagra", "win")
 SAMPLE = 20_000
 TREES, DEPTH = 20, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -102,8 +105,9 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and the learner's probability of block, one row per page."""
     base = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = materialize(lexical(base).withColumns({"rule": rule, "ruled": verdict, "label": F.when(verdict == "block", 1.0).when(verdict == "allow", 0.0)}), "urls")
-    labelled = ruled.filter("label is not null")
+    spam = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, SPAM_WORDS)))
+    ruled = materialize(lexical(base).withColumns({"rule": rule, "ruled": verdict, "label": F.when(verdict == "block", 1.0).when(verdict == "allow", 0.0).otherwise(spam.cast("double"))}), "urls")
+    labelled = ruled.filter("host <> ''")
     total, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     columns = ["page_id", "host", "path", "rule"]
     if not 0 < blocked < total:
@@ -115,7 +119,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     known = known.withColumn("suffix_share", F.coalesce(F.col("suffix_blocked_n") / total, F.lit(0.0)))
     ready = VectorAssembler(inputCols=list(_FEATURES), outputCol="__features").transform(known)
     # a bounded sample by hash of the page: about SAMPLE rows, in one small partition
-    sample = ready.filter("label is not null").filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / total)) + 1)
+    sample = ready.filter("host <> ''").filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / total)) + 1)
     learner = GBTClassifier(featuresCol="__features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7, predictionCol="__prediction")
     learner = learner.setRawPredictionCol("__raw").setProbabilityCol("__probability")
     model = learner.fit(materialize(sample.select("__features", "label").coalesce(1), "sample"))
