@@ -137,7 +137,7 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_counts(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, columns: int = 2048) -> np.ndarray:
-    """Sizes of the intersections of sets ``one`` with sets ``two``."""
+    """Sizes of the intersections of sets ``one`` with other sets ``two``."""
     both = np.unique(np.concatenate([one, two]))
     local = {n: k for k, n in enumerate(both.tolist())}
     values = np.concatenate([sets[n] for n in both]) if len(both) else np.empty(0, np.int64)
