@@ -37,3 +37,14 @@ def global_rank(df: DataFrame, order: list[str | Column], rank: str = "rank") ->
         .withColumn(rank, F.col("__before") + F.col(place).bitwiseAND((1 << _PART_BITS) - 1))
         .drop("__part", "__before", place)
     )
+
+
+def top_groups(df: DataFrame, group: str, value: str, number: int, label: str = "label") -> DataFrame:
+    """Label the ``number`` groups of largest total by name (ties by name), all others by one label with their count."""
+    totals = df.groupBy(group).agg(F.sum(value).alias("__total"))
+    top = totals.orderBy(F.desc("__total"), group).limit(number).select(group, F.lit(True).alias("__top"))
+    many = totals.agg(F.count(F.lit(1)).alias("__many"))
+    # the two tables are ``number`` rows and one row
+    marked = df.join(F.broadcast(top), group, "left").crossJoin(F.broadcast(many))
+    other = F.concat(F.lit("All other ("), F.col("__many") - number, F.lit(")"))
+    return marked.withColumn(label, F.when(F.col("__top"), F.col(group)).otherwise(other)).drop("__top", "__many")
