@@ -69,7 +69,7 @@ def holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
 
 def build_weeks(spark: SparkSession, start: date = config.STUDY_START, end: date = config.STUDY_END) -> DataFrame:
     """One row per week that covers [start, end], with ISO labels and holidays."""
-    span = spark.range(1).select(F.explode(F.sequence(week_of(F.lit(start)), week_of(F.lit(end)), F.expr("interval 7 days"))).cast("date").alias("week_start"))
+    span = spark.range(1).select(F.explode(F.sequence(week_of(F.lit(start)), week_of(F.lit(end)), F.expr("interval 7 days"))).alias("week_start"))
     kept = holidays(spark, start.year - 1, end.year + 1).groupBy(week_of(F.col("date")).alias("week_start")).agg(
         F.count(F.lit(1)).alias("n_holidays"), F.array_join(F.array_sort(F.collect_list(F.struct("date", "name")))["name"], "; ").alias("holiday_names")
     )

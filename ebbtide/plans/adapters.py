@@ -133,11 +133,88 @@ POINTS = """
 def weather_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A weather day per order day."""
     return table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
-        (F.avg("o_totalprice") / 10000 - 10).alias("temp_c"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys")
+        (F.floor(F.sum(F.floor("o_totalprice")) / F.count(F.lit(1)) / 625) / 16 - 10).alias("temp_c"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys")
     ).selectExpr("date", "temp_c", "temp_c - n % 7 as temp_min_c", "temp_c + n % 5 as temp_max_c", "cast((keys % 23) as double) as rain_mm", "cast(greatest(keys % 37 - 22, 0) as double) as snow_mm", "n / 4D as wind_ms")
 
 
 WEATHER = """
     weather AS (SELECT date, temp_c, temp_c - n % 7 AS temp_min_c, temp_c + n % 5 AS temp_max_c, (keys % 23)::DOUBLE AS rain_mm, greatest(keys % 37 - 22, 0)::DOUBLE AS snow_mm, n / 4::DOUBLE AS wind_ms
-        FROM (SELECT o_orderdate::DATE AS date, avg(o_totalprice) / 10000 - 10 AS temp_c, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY ALL))
+        FROM (SELECT o_orderdate::DATE AS date, floor(sum(floor(o_totalprice)::BIGINT)::DOUBLE / count(*) / 625) / 16 - 10 AS temp_c, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY ALL))
+"""
+
+
+#: Years of the derived calendars.
+FIRST_YEAR, LAST_YEAR = 1995, 2000
+_DAYS = (("fall_classes_start", 0, 0), ("fall_exams_end", 105, 1), ("spring_classes_start", 140, 2), ("spring_break_start", 190, 3), ("spring_break_end", 198, 4), ("spring_exams_end", 250, 5))
+
+
+def known_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified dates of six events per nation and year; one in eleven is missing, and some units have no spring break."""
+    from ebbtide.operators.timeline import nth_weekday
+
+    events_table = spark.createDataFrame(_DAYS, "event string, days int, e int")
+    years = spark.range(FIRST_YEAR, LAST_YEAR + 1).select(F.col("id").cast("int").alias("start_year"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(years).crossJoin(events_table).filter("(n_nationkey * 7 + start_year * 3 + e) % 11 <> 0")
+    shift = F.expr("(n_nationkey * 5) % 9 + (n_nationkey + start_year) % 3 + days")
+    no_break = F.col("event").startswith("spring_break") & (F.col("n_nationkey") % 8 == 3)
+    return rows.select(
+        F.col("n_nationkey").cast("string").alias("unitid"), "start_year", "event",
+        F.when(~no_break, F.date_add(nth_weekday(F.col("start_year"), 9, "MON", 1), shift)).alias("date"), F.when(no_break, "none").otherwise("verified").alias("status"),
+    )
+
+
+CALENDAR = f"""
+    ev(event, days, e) AS (VALUES {', '.join(map(str, _DAYS))}),
+    yr AS (SELECT unnest(range({FIRST_YEAR}, {LAST_YEAR + 1}))::INT AS start_year),
+    hol AS (SELECT start_year, make_date(start_year, 9, 1) + ((8 - isodow(make_date(start_year, 9, 1))) % 7)::INT AS labor,
+        make_date(start_year + 1, 1, 1) + ((8 - isodow(make_date(start_year + 1, 1, 1))) % 7 + 14)::INT AS mlk,
+        make_date(start_year, 11, 1) + ((11 - isodow(make_date(start_year, 11, 1))) % 7 + 21)::INT AS thanks FROM yr),
+    cal AS (SELECT n_nationkey::VARCHAR AS unitid, start_year, event,
+        CASE WHEN NOT (event LIKE 'spring_break%' AND n_nationkey % 8 = 3) THEN labor + ((n_nationkey * 5) % 9 + (n_nationkey + start_year) % 3 + days)::INT END AS date,
+        CASE WHEN event LIKE 'spring_break%' AND n_nationkey % 8 = 3 THEN 'none' ELSE 'verified' END AS status,
+        CASE WHEN event LIKE 'fall%' THEN labor ELSE mlk END AS anchor
+        FROM nation, hol JOIN yr USING (start_year), ev WHERE (n_nationkey * 7 + start_year * 3 + e) % 11 <> 0),
+    offs AS (SELECT unitid, event, quantile_disc(date_diff('day', anchor, date), 0.5) AS off, count(*) AS n_years FROM cal WHERE status = 'verified' GROUP BY ALL),
+    names(event, optional) AS (VALUES ('fall_classes_start', false), ('fall_exams_end', false), ('spring_classes_start', false), ('february_break_start', true), ('february_break_end', true),
+        ('spring_break_start', false), ('spring_break_end', false), ('spring_exams_end', false), ('commencement', false)),
+    complete AS (SELECT g.unitid, g.start_year, g.event, CASE WHEN c.status IS NOT NULL THEN c.date ELSE g.anchor + off::INT END AS date,
+        coalesce(c.status, CASE WHEN off IS NOT NULL THEN 'estimated' ELSE 'missing' END) AS status
+        FROM (SELECT n_nationkey::VARCHAR AS unitid, start_year, event, CASE WHEN event LIKE 'fall%' THEN labor ELSE mlk END AS anchor FROM nation, hol, names WHERE NOT optional) g
+        LEFT JOIN cal c USING (unitid, start_year, event) LEFT JOIN offs USING (unitid, event)),
+    wide AS (SELECT unitid, start_year, max(date) FILTER (event = 'fall_classes_start') AS fs, max(date) FILTER (event = 'fall_exams_end') AS fe, max(date) FILTER (event = 'spring_classes_start') AS ss,
+        max(date) FILTER (event = 'spring_exams_end') AS se, max(date) FILTER (event = 'spring_break_start') AS bs, max(date) FILTER (event = 'spring_break_end') AS be,
+        max(status) FILTER (event = 'spring_break_start') AS st FROM complete GROUP BY ALL),
+    wider AS (SELECT *, st <> 'none' AND (bs IS NULL OR be IS NULL) AS unknown, CASE WHEN st <> 'none' THEN CASE WHEN isodow(bs) = 1 THEN bs - 2 ELSE bs END END AS b0,
+        CASE WHEN st <> 'none' THEN CASE WHEN isodow(be) = 5 THEN be + 2 ELSE be END END AS b1 FROM wide JOIN hol USING (start_year)),
+    dayrows AS (SELECT *, unnest(generate_series(make_date(start_year, 8, 1), make_date(start_year + 1, 7, 31), INTERVAL 1 DAY))::DATE AS date FROM wider),
+    sess AS (SELECT unitid, date,
+        CASE WHEN date BETWEEN make_date(year(date), 6, 15) AND make_date(year(date), 8, 15) THEN false
+            WHEN month(date) >= 8 THEN CASE WHEN fs IS NULL OR fe IS NULL THEN NULL WHEN date < fs OR date > fe THEN false ELSE NOT date BETWEEN thanks - 1 AND thanks + 3 END
+            ELSE CASE WHEN ss IS NULL OR se IS NULL THEN NULL WHEN date < ss OR date > se THEN false WHEN unknown THEN NULL ELSE NOT coalesce(date BETWEEN b0 AND b1, false) END END AS in_session,
+        CASE WHEN date BETWEEN make_date(year(date), 6, 15) AND make_date(year(date), 8, 15) THEN true WHEN month(date) >= 8 THEN date < fs ELSE date > se END AS summer_break FROM dayrows),
+    wsess AS (SELECT date_trunc('week', date)::DATE AS week_start, unitid, CASE WHEN count(in_session) = count(*) THEN count(*) FILTER (in_session) END AS days_in_session,
+        CASE WHEN count(summer_break) = count(*) THEN count(*) FILTER (summer_break) END AS summer_break_days FROM sess GROUP BY ALL HAVING count(*) = 7)
+"""
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ebbtide.operators.calendars import complete_calendar
+
+    units = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("unitid"))
+    return complete_calendar(known_calendar(spark, sf_dir), units, FIRST_YEAR, LAST_YEAR)
+
+
+def enrollment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Institution-years: customers' orders per nation and year stand for students."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    joined = orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
+    years = joined.groupBy(F.col("c_nationkey").cast("string").alias("unitid"), F.year("o_orderdate").alias("fall_year")).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("o_custkey") % 5 == 0).alias("distance_only"), F.count_distinct("o_custkey").alias("dorm_capacity")
+    )
+    return years.filter("fall_year between 1996 and 2000").withColumn("in_person", F.col("total") - F.col("distance_only"))
+
+
+ENROLLMENT = """
+    enr AS (SELECT *, total - distance_only AS in_person FROM (SELECT c_nationkey::VARCHAR AS unitid, year(o_orderdate) AS fall_year, count(*) AS total, count(*) FILTER (o_custkey % 5 = 0) AS distance_only,
+        count(DISTINCT o_custkey) AS dorm_capacity FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) WHERE fall_year BETWEEN 1996 AND 2000)
 """
