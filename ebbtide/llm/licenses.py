@@ -56,9 +56,8 @@ def tokens_of(notice: str) -> list[str]:
 
 def phrase_places(text: Column) -> Column:
     """array<struct<at, label>> of the places where a phrase's words stand one after another."""
-    found = words(text)
 
-    def of(label: str, phrase: str) -> Column:
+    def of(found: Column, label: str, phrase: str) -> Column:
         parts = phrase.split()
         last = F.size(found) - len(parts)
 
@@ -71,7 +70,8 @@ def phrase_places(text: Column) -> Column:
         places = F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), here)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
 
-    return F.concat(*(of(label, phrase) for label, phrase in PHRASES.items()))
+    # an array of one, so that the words are found once and not in every inner step
+    return F.flatten(F.transform(F.array(words(text)), lambda found: F.concat(*(of(found, label, phrase) for label, phrase in PHRASES.items()))))
 
 
 def token_order(docs: DataFrame, tokens: list[str]) -> list[str]:
