@@ -136,7 +136,8 @@ def drop_repeated_lines(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n
     )
     lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__deleted"))
-    cleaned = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
+    # an array of one, so that the text is split once and not for every line
+    cleaned = F.array_join(F.flatten(F.transform(F.array(lines), lambda x: F.transform(stay, lambda i: F.element_at(x, i + 1)))), "\n")
     return joined.select(
         *(F.when(F.col("__deleted").isNull(), F.col("text")).otherwise(cleaned).alias("text") if c == "text" else F.col(c) for c in kept),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(names[0]),
