@@ -121,7 +121,7 @@ def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, common, item_shingles, containment of every pair at or above the threshold."""
     spark = docs.sparkSession
-    sets = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_sets, "item_id long, shingles array<long>")
+    sets = textkit.map_texts(benchmark.select(F.col("item_id").cast("long"), "text"), _item_sets, "item_id long, shingles array<long>")
     items = materialize(sets.filter("size(shingles) > 0"), "items")
     total = items.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
     blocks = -(-int(total) // BLOCK_SHINGLES)
@@ -134,6 +134,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             block = Block([r[0] for r in rows], [np.array(r[1], np.int64).view(np.uint64) for r in rows])
             # sets are sorted as unsigned numbers, as they come from np.unique
             held = spark.sparkContext.broadcast(block)
-            found.append(text.mapInArrow(lambda batches, held=held: held.value.search(batches), _PAIRS))
+            found.append(textkit.map_texts(text, lambda batches, held=held: held.value.search(batches), _PAIRS))
     pairs = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _PAIRS)
     return pairs.withColumn("containment", F.col("common") / F.col("item_shingles"))

@@ -172,7 +172,7 @@ def predict(rows: DataFrame, model: Model, text: str = "text", names: tuple[str,
                 names=[*kept, *new],
             )
 
-    return ready.mapInArrow(run, schema)
+    return textkit.map_texts(ready, run, schema)
 
 
 def held_out(key: str = "doc_id") -> F.Column:

@@ -96,7 +96,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shingle_sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Full shingle sets (sorted 64-bit hashes) of the documents whose doc_id is in ``ids``."""
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
+    return textkit.map_texts(chosen, _sets, "doc_id long, shingles array<long>")
 
 
 def _bytes(column: pa.ChunkedArray) -> np.ndarray:
@@ -204,7 +205,7 @@ def _by_tile(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id, itself included) and kept, one row per document."""
-    signed = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, _SIGNATURE), "signatures")
+    signed = materialize(textkit.map_texts(docs.select(F.col("doc_id").cast("long"), "text"), _sign, _SIGNATURE), "signatures")
     key = ["set_a", "set_b", "n_shingles"]
     classes = materialize(
         signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),

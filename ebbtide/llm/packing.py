@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.llm import textkit
 from ebbtide.operators.ranking import global_rank
 from ebbtide.plans.scratch import materialize
 
@@ -90,7 +91,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str,
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return textkit.map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

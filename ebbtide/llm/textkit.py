@@ -12,6 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Rows in an Arrow batch of whole texts: a few megabytes instead of tens.
+BATCH_ROWS = 2_000
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 SLICE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
@@ -20,6 +25,14 @@ _LONGEST = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def map_texts(rows: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` in small batches; a session that chose a batch size keeps it."""
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return rows.mapInArrow(function, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the public splitmix64 constants)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
