@@ -176,13 +176,17 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(roots), pa.int64()), pa.array(list(roots.values()), pa.int64())], names=["a", "b"])
 
 
-def _tiles(members: DataFrame) -> DataFrame:
+def _family_sizes(members: DataFrame) -> DataFrame:
+    # written, so that a large family's rows can be split where they meet its sizes
+    return materialize(members.groupBy("hub").agg(F.count_if("late").alias("n_late"), F.count_if(~F.col("late")).alias("n_main")), "sizes")
+
+
+def _tiles(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Deal each family's members to tiles of at most about ``TILE`` rows a side.
 
     ``late`` members are those outside the hub's component: they meet each
     other and the hub's component; members inside it don't meet again.
     """
-    sizes = members.groupBy("hub").agg(F.count_if("late").alias("n_late"), F.count_if(~F.col("late")).alias("n_main"))
     chunked = (
         members.join(sizes, "hub")
         .withColumn("c_late", F.ceil(F.col("n_late") / TILE).cast("int"))
@@ -213,7 +217,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     # every class against the hub of each of its buckets
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "hub")
+    shared = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hubs = materialize(shared.select("bucket", "hub"), "hubs")  # written, so that a large bucket's rows can be split
     stars = materialize(rows.join(hubs, "bucket").filter("rep <> hub").select(F.col("rep").alias("doc_id"), "hub").distinct(), "stars")
     sketches = classes.select(F.col("rep").alias("doc_id"), "sketch", "n_shingles")
     likely = materialize(
@@ -243,10 +248,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     open_families = apart.filter("n > 1 and n_late > 0 and lo <> hi").select("hub")
     members = materialize(members.join(open_families, "hub", "left_semi").select("hub", "doc_id", "comp", "late"), "members")
-    flagged = _by_tile(_tiles(members.join(sketches, "doc_id"))).mapInArrow(_flag, "hub long, doc_id long").distinct()
+    flagged = _by_tile(_tiles(members.join(sketches, "doc_id"), _family_sizes(members))).mapInArrow(_flag, "hub long, doc_id long").distinct()
     chosen = materialize(members.join(flagged, ["hub", "doc_id"], "left_semi"), "chosen")
     more = shingle_sets_of(docs, chosen.select("doc_id").distinct())
-    links = _by_tile(_tiles(chosen.join(more, "doc_id"))).mapInArrow(_link, "a long, b long")
+    links = _by_tile(_tiles(chosen.join(more, "doc_id"), _family_sizes(chosen))).mapInArrow(_link, "a long, b long")
     second = connected_components(links, "a", "b", "comp", "last")
     reps = classes.select(*key, "rep").join(first.withColumnRenamed("doc_id", "rep"), "rep", "left")
     reps = reps.withColumn("comp", F.coalesce("comp", "rep")).join(second, "comp", "left").select(*key, F.coalesce("last", "comp").alias("component"))
