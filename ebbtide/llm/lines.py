@@ -104,7 +104,8 @@ def later_copies(docs: DataFrame) -> DataFrame:
     where = F.struct("doc_id", "version", "start")
     key = ["size", "left", "right"]
     named = materialize(named, "runs")
-    origin = named.groupBy(*key).agg(F.min(where).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = named.groupBy(*key).agg(F.min(where).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    origin = materialize(again, "origins")  # written, so that the rows of a frequent run can be split
     copies = named.join(origin, key).filter(where > F.col("origin"))
     gone = copies.select(*_DOC, F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
     return gone.groupBy(*_DOC).agg(F.sort_array(F.collect_list("pos")).alias("deleted"))
