@@ -109,8 +109,12 @@ def _vectors(texts: pd.Series) -> np.ndarray:
 def fit(labelled: DataFrame) -> Model:
     """Fit on at most ``SAMPLE_PER_LANGUAGE`` rows of each language of (doc_id, text, lang)."""
     usable = labelled.filter("lang is not null and text is not null")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))  # a row per language
+    # by hash, about twice the sample of each language is left; so the window below is bounded by the number of languages
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < 2.0 * SAMPLE_PER_LANGUAGE / F.col("rows")
+    drawn = usable.select("doc_id", "lang").join(F.broadcast(counts), "lang").filter(draw)
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_PER_LANGUAGE)
+    ids = drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_PER_LANGUAGE)
     sample = within(usable.select("doc_id", "text", "lang"), ids.select("doc_id").distinct()).select("text", "lang").repartition("lang")
 
     def frequency(group: pd.DataFrame) -> pd.DataFrame:
