@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("q_events", "q_calendars", "q_presence", "q_models", "q_reports", "q_learning")
+MODULES = ("q_events", "q_calendars", "q_presence", "q_models", "q_reports", "q_learning", "q_tables")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
