@@ -12,7 +12,7 @@ The search runs over the items in blocks of bounded size, each sent to all
 tasks, and scans the documents without any shuffle.
 
 Nulls and edge cases: null, empty or word-free texts contain nothing and are
-contained in nothing; repeated rows each give their rows; an empty table on
+contained in nothing; items without item_id are left out; repeated rows each give their rows; an empty table on
 either side gives no rows.
 """
 
@@ -122,7 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, common, item_shingles, containment of every pair at or above the threshold."""
     spark = docs.sparkSession
     sets = textkit.map_texts(benchmark.select(F.col("item_id").cast("long"), "text"), _item_sets, "item_id long, shingles array<long>")
-    items = materialize(sets.filter("size(shingles) > 0"), "items")
+    items = materialize(sets.filter("size(shingles) > 0 and item_id is not null"), "items")
     total = items.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
     blocks = -(-int(total) // BLOCK_SHINGLES)
     text = docs.select(F.col("doc_id").cast("long"), "text")

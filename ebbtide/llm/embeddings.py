@@ -13,7 +13,7 @@ of tiles returns link counts and a spanning set of links, never its pairs.
 
 Nulls and edge cases: a vector that is null, zero, holds null or non-finite
 components, or has another length than most vectors (the smaller length on a
-tie) links with nothing and stays alone; repeated rows are linked copies; rows
+tie) links with nothing and stays alone, as does one without vec_id; repeated rows are linked copies; rows
 that share a vec_id are each returned; an empty table gives no rows.
 """
 
@@ -79,6 +79,8 @@ def _turned(size: int, axes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, at = _matrix(batch.column(1), size)
+            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)[at]
+            rows, at = rows[named], at[named]
             bad = np.ones(batch.num_rows, bool)
             bad[at] = False
             keys = np.zeros((2, batch.num_rows), np.uint64)

@@ -11,7 +11,8 @@ hub's family, in bounded tiles that return spanning links instead of pairs.
 
 Nulls and edge cases: a null text, an empty text or one without words has an
 empty set and links with nothing; rows that share a doc_id count as one
-document; ties go to the smallest doc_id; an empty table gives no rows.
+document, and one without doc_id joins the component of its equals but never
+leads one; ties go to the smallest doc_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -256,4 +257,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = classes.select(*key, "rep").join(first.withColumnRenamed("doc_id", "rep"), "rep", "left")
     reps = reps.withColumn("comp", F.coalesce("comp", "rep")).join(second, "comp", "left").select(*key, F.coalesce("last", "comp").alias("component"))
     out = signed.select("doc_id", *key).join(reps, key, "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))

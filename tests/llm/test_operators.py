@@ -71,6 +71,8 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
 
 def test_embeddings_of_empty_and_broken_tables(spark):
     assert embeddings.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    no_id = spark.createDataFrame([(None, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert {r["vec_id"]: r["n_links"] for r in embeddings.embedding_links(no_id).collect()} == {None: 0, 3: 1, 4: 1}
     only_null = spark.createDataFrame([(4, None)], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in embeddings.embedding_links(only_null).collect()] == [(4, 0, 4, True)]
 
@@ -127,7 +129,7 @@ def test_contained_items_are_found(spark, awkward, empty):
     cut = items[5][1].split()
     docs += [(2000, " ".join(cut[:240])), (2001, " ".join(cut[:150])), (2002, items[3][1] + " tail " + items[2][1])]
     frame = spark.createDataFrame(docs, "doc_id long, text string").unionByName(awkward.select("doc_id", "text"))
-    bench = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id long, text string, common int")
+    bench = spark.createDataFrame([(a, b, 1) for a, b in items] + [(None, items[4][1], 1)], "item_id long, text string, common int")
     got = Counter((r["doc_id"], r["item_id"], r["common"], r["item_shingles"]) for r in decontamination.contaminated(frame, bench).collect())
     want = Counter()
     for i, t in docs + [(i, t) for i, t, _ in awkward_texts()]:
