@@ -15,12 +15,18 @@ def onto_spine(spine: DataFrame, tables: list[DataFrame], key: str = "week_start
 
 
 def fallback_lookup(rows: DataFrame, fine: DataFrame, fine_keys: list[str], coarse: DataFrame, coarse_keys: list[str], defaults: dict[str, object]) -> DataFrame:
-    """Attributes by the fine keys, else by the coarse keys, else the default; null keys find nothing."""
+    """Attributes by the fine keys, else by the coarse keys, else the default.
+
+    Null keys find nothing; their rows don't take part in the joins, where
+    they would all meet in one task.
+    """
     f = fine.select(*fine_keys, *(F.col(c).alias(f"__f_{c}") for c in defaults))
     g = coarse.select(*coarse_keys, *(F.col(c).alias(f"__g_{c}") for c in defaults))
-    joined = rows.join(f, fine_keys, "left").join(g, coarse_keys, "left")
+    keyed = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in coarse_keys))
+    joined = rows.filter(keyed).join(f, fine_keys, "left").join(g, coarse_keys, "left")
     found = {c: F.coalesce(f"__f_{c}", f"__g_{c}", F.lit(default)) for c, default in defaults.items()}
-    return joined.withColumns(found).drop(*(f"__{s}_{c}" for s in "fg" for c in defaults))
+    tagged = joined.withColumns(found).drop(*(f"__{s}_{c}" for s in "fg" for c in defaults))
+    return tagged.unionByName(rows.filter(~keyed).withColumns({c: F.lit(default) for c, default in defaults.items()}))
 
 
 def mean_nearby(rows: DataFrame, unit: str, day: str, value: str, usable: Column, days: int, name: str) -> DataFrame:
