@@ -111,6 +111,12 @@ def later_copies(docs: DataFrame) -> DataFrame:
     return gone.groupBy(*_DOC).agg(F.sort_array(F.collect_list("pos")).alias("deleted"))
 
 
+def deleted_runs(deleted: DataFrame) -> DataFrame:
+    """(doc_id, version, first, last): the maximal runs of lines that go, from ``later_copies``."""
+    places = deleted.select(*_DOC, F.posexplode("deleted").alias("n", "pos"))
+    return places.groupBy(*_DOC, (F.col("pos") - F.col("n")).alias("run")).agg(F.min("pos").alias("first"), F.max("pos").alias("last")).drop("run")
+
+
 def _named(runs: DataFrame, first: DataFrame, last: DataFrame) -> DataFrame:
     """Runs with the ranks of their first and last 2**k lines; runs that occur once have none and go."""
     r, f = runs.alias("r"), first.alias("f")

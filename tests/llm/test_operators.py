@@ -364,6 +364,14 @@ def test_lines_of_awkward_documents(spark, awkward, empty):
     assert lines.drop_repeated_lines(empty).count() == 0
 
 
+def test_deleted_runs_are_maximal(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (sentence(rng, n) for n in (60, 10, 45, 30, 20))
+    docs = spark.createDataFrame([(1, f"{a}\n{b}\n{c}"), (2, f"{d}\n{a}\n{b}\n{c}\n{e}\n{a}"), (3, f"{b}\n{d}")], "doc_id long, text string")
+    runs = sorted((r["doc_id"], r["first"], r["last"]) for r in lines.deleted_runs(lines.later_copies(docs)).collect())
+    assert runs == [(2, 1, 3), (2, 5, 5)]
+
+
 # --- op9
 
 
