@@ -120,3 +120,37 @@ def run_step(spark: SparkSession, build: Callable[..., DataFrame], inputs: list[
     """Read tables by name, build one, and write it."""
     build(*(spark.read.parquet(f"{in_dir}/{table}") for table in inputs)).write.mode("overwrite").parquet(f"{out_dir}/{name}")
 
+
+
+def trip_station_weeks(days: DataFrame, least_median: float = 20.0) -> DataFrame:
+    """Station-days of trips in the layout of gate entries: weekday and weekend totals of station-years in steady use."""
+    weekend = timeline.is_weekend(F.col("date"))
+    weeks = days.filter("station_id is not null").groupBy(timeline.week_of(F.col("date")).alias("week_start"), F.col("station_id").alias("stop_id")).agg(
+        F.coalesce(F.sum(F.when(~weekend, F.col("trips"))), F.lit(0)).alias("weekday_entries"), F.coalesce(F.sum(F.when(weekend, F.col("trips"))), F.lit(0)).alias("weekend_entries")
+    )
+    year = F.year(timeline.thursday(F.col("week_start")))
+    usual = F.percentile(F.col("weekday_entries") + F.col("weekend_entries"), 0.5).over(W.partitionBy("stop_id", year))
+    return weeks.withColumn("__usual", usual).filter(F.col("__usual") >= least_median).drop("__usual")
+
+
+def institutions_in_area(yearly: DataFrame, placed: DataFrame, area: list[str]) -> DataFrame:
+    """Institution-years located in the area that year, with the newest name and the span of years."""
+    inside = yearly.join(placed.filter(F.col("municipality").isin(*area)).select("unitid", "year"), ["unitid", "year"], "left_semi")
+    return inside.groupBy("unitid").agg(F.max_by("name", "year").alias("name"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+
+
+def codes(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Dense codes from 0 of composite keys, for readers that need numbers; the keys are a short dimension."""
+    numbered = df.select(*keys).distinct().withColumn(name, F.dense_rank().over(W.orderBy(*keys)) - 1)
+    return df.join(numbered, keys)
+
+
+def subset_scores(df: DataFrame, observed: str, models: list[str], baseline: str, subsets: dict[str, Column]) -> DataFrame:
+    """RMSE of every model on every subset, with the change against the baseline in percent."""
+    def rmse(model: str, rows: Column) -> Column:
+        e = F.when(rows, F.col(observed) - F.col(model))
+        return F.sqrt(F.avg(e * e))
+
+    entries = [F.struct(F.lit(s).alias("subset"), F.lit(m).alias("model"), F.col(f"{s}__{m}").alias("rmse"), F.col(f"{s}__{baseline}").alias("base")) for s in subsets for m in models]
+    wide = df.agg(*(rmse(m, rows).alias(f"{s}__{m}") for s, rows in subsets.items() for m in models))
+    return wide.select(F.explode(F.array(*entries)).alias("r")).select("r.subset", "r.model", "r.rmse", (100 * (F.try_divide(F.col("r.rmse"), F.col("r.base")) - 1)).alias("change_percent"))

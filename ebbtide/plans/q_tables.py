@@ -5,7 +5,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ebbtide.operators import calendars, closures, events, panel, presence, tables, timeline
+from ebbtide.operators import calendars, closures, events, panel, presence, tables, timeline, windows
 from ebbtide.plans import adapters as A
 from ebbtide.plans.q_calendars import _FLAGS, a6_weekly_closed_days
 from ebbtide.plans.q_models import _SERIES, _series
@@ -268,3 +268,127 @@ def f4_calendar_problems(spark, sf_dir):
         F.when(unit % 5 != 2, "http://x").alias("source_url"), F.lit(None).cast("string").alias("note"),
     )
     return calendars.problems(rows)
+
+
+@query("s9_pruned_read", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'")
+def s9_pruned_read(spark, sf_dir):
+    """Two columns and a date range of a wide table; both reach the scan."""
+    return A.table(spark, sf_dir, "orders").filter("o_orderdate >= timestamp_ntz'2000-01-01'").select("o_orderkey", "o_orderstatus")
+
+
+@query("j2_known_weeks", f"WITH {A.ENTRIES}, {A.WEATHER}, w AS (SELECT date_trunc('week', date)::DATE AS week_start FROM weather GROUP BY ALL HAVING count(*) = 7), e AS (SELECT date_trunc('week', date)::DATE AS week_start, stop_id, sum(entries)::BIGINT AS entries FROM entries GROUP BY ALL) SELECT e.* FROM e JOIN w USING (week_start)")
+def j2_known_weeks(spark, sf_dir):
+    """Weeks restricted to those known elsewhere."""
+    week = timeline.week_of(F.col("date")).alias("week_start")
+    known = A.weather_days(spark, sf_dir).groupBy(week).agg(F.count(F.lit(1)).alias("n")).filter("n = 7").select("week_start")
+    return A.daily_entries(spark, sf_dir).groupBy(week, "stop_id").agg(F.sum("entries").alias("entries")).join(known, "week_start")
+
+
+@query("a21_typical", f"WITH {A.ENROLLMENT} SELECT unitid, median(in_person) AS typical_in_person, avg(total) AS mean_total FROM enr GROUP BY ALL")
+def a21_typical(spark, sf_dir):
+    """Median and mean per institution."""
+    return A.enrollment(spark, sf_dir).groupBy("unitid").agg(F.percentile("in_person", 0.5).alias("typical_in_person"), F.avg("total").alias("mean_total"))
+
+
+@query("v7_codes", "SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment, c_nationkey) - 1 AS code FROM customer")
+def v7_codes(spark, sf_dir):
+    return tables.codes(A.table(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"], "code").select("c_custkey", F.col("code").cast("long").alias("code"))
+
+
+@query(
+    "g8_institutions_in_area",
+    """WITH y AS (SELECT c_nationkey::VARCHAR AS unitid, year(o_orderdate) AS year, max(c_name) AS name, CASE (c_nationkey + year(o_orderdate)) % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS town FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+    SELECT unitid, arg_max(name, year) AS name, min(year) AS first_year, max(year) AS last_year FROM y WHERE town IN ('A', 'B') GROUP BY unitid""",
+)
+def g8_institutions_in_area(spark, sf_dir):
+    """Institutions by each year's place."""
+    rows = A.table(spark, sf_dir, "orders").join(A.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    yearly = rows.groupBy(F.col("c_nationkey").cast("string").alias("unitid"), F.year("o_orderdate").alias("year")).agg(F.max("c_name").alias("name"))
+    town = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), ((F.col("unitid").cast("int") + F.col("year")) % 3 + 1).cast("int"))
+    return tables.institutions_in_area(yearly, yearly.select("unitid", "year", town.alias("municipality")), ["A", "B"])
+
+
+_TRIP_WEEKS = """tw AS (SELECT date_trunc('week', date)::DATE AS week_start, station_id AS stop_id, coalesce(sum(trips) FILTER (isodow(date) < 6), 0)::BIGINT AS weekday_entries, coalesce(sum(trips) FILTER (isodow(date) >= 6), 0)::BIGINT AS weekend_entries FROM station_day WHERE station_id IS NOT NULL GROUP BY ALL),
+    bw AS (SELECT * FROM tw QUALIFY median(weekday_entries + weekend_entries) OVER (PARTITION BY stop_id, year(week_start + 3)) >= 2)"""
+
+
+@query("b18_trip_station_weeks", f"WITH {A.TRIPS}, {_TRIP_WEEKS} SELECT * FROM bw")
+def b18_trip_station_weeks(spark, sf_dir):
+    """Trips in the layout of gate entries, busy station-years only."""
+    return tables.trip_station_weeks(A.station_days(spark, sf_dir), 2.0)
+
+
+@query(
+    "m18_second_signal",
+    f"""WITH {A.TRIPS}, {_TRIP_WEEKS}, s AS (SELECT week_start, count(*) AS n, regr_slope(ln(weekday_entries), (stop_id::BIGINT % 10)::DOUBLE) AS slope FROM bw WHERE weekday_entries > 0 GROUP BY ALL HAVING count(*) >= 3)
+    SELECT year(week_start) AS year, count(*) AS n, corr(slope, month(week_start)::DOUBLE) AS r FROM s WHERE slope IS NOT NULL GROUP BY ALL""",
+)
+def m18_second_signal(spark, sf_dir):
+    """Slopes of the second signal against the time of year, guarded."""
+    rows = b18_trip_station_weeks(spark, sf_dir).filter("weekday_entries > 0")
+    slopes = panel.slopes(rows, ["week_start"], F.ln("weekday_entries"), (F.col("stop_id").cast("long") % 10).cast("double")).filter("slope is not null")
+    return slopes.groupBy(F.year("week_start").alias("year")).agg(F.count(F.lit(1)).alias("n"), windows.corr_from_sums(F.col("slope"), F.month("week_start").cast("double")).alias("r"))
+
+
+@query("b20_step_job", "SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY ALL")
+def b20_step_job(spark, sf_dir):
+    """A step that reads by name, builds, and writes one table."""
+    folder = f"{shared_folder(spark)}/ebbtide-step-{uuid.uuid4().hex}"
+    tables.run_step(spark, lambda orders: orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers")), ["orders.parquet"], sf_dir, folder, "status")
+    return spark.read.parquet(f"{folder}/status")
+
+
+@query("m19_panel_report")
+def m19_panel_report(spark, sf_dir):
+    """Pooled and placebo effects of the share in session, and calendar kinds."""
+    rows = materialize(b19_panel_units(spark, sf_dir).withColumn("year", F.year("week_start")), "panel")
+    found = panel.fixed_effects(rows, ["session_share"], "y", [["unit", "year"], ["week_start"]], "unit")
+    own = rows.agg(F.avg((F.col("calendar") == "own").cast("int"))).first()[0]
+    return spark.createDataFrame([("pooled", float(found["beta"][0]), float(found["se"][0])), ("own calendars", float(own), None)], "row string, value double, se double")
+
+
+@query(
+    "m20_fit_grid",
+    f"WITH {_SERIES}, g AS (SELECT * FROM (VALUES ('all', 1990, 2010), ('early', 1990, 1997), ('late', 1998, 2010)) v(period, lo, hi)), m AS (SELECT unnest(['rain', 'snow']) AS measure) SELECT period, measure, count(*) AS n, regr_slope(y, CASE measure WHEN 'rain' THEN rain ELSE snow END) AS slope FROM dat, g, m WHERE year(week_start) BETWEEN lo AND hi GROUP BY ALL",
+)
+def m20_fit_grid(spark, sf_dir):
+    """Every measure in every period in one pass."""
+    grid = spark.createDataFrame([("all", 1990, 2010), ("early", 1990, 1997), ("late", 1998, 2010)], "period string, lo int, hi int")
+    rows = _series(spark, sf_dir).crossJoin(F.broadcast(grid)).filter(F.year("week_start").between(F.col("lo"), F.col("hi")))  # weeks by three periods
+    long = rows.select("period", "y", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in ("rain", "snow")))).alias("v")).select("period", "y", "v.*")
+    return long.groupBy("period", "measure").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"))
+
+
+@query(
+    "l19_subset_scores",
+    f"""WITH {_SERIES}, e AS (SELECT y, rain AS a, 2 * rain AS b, month(week_start) IN (6, 7) AS summer FROM dat), s AS (SELECT 'all' AS subset, sqrt(avg((y - a) ** 2)) AS ra, sqrt(avg((y - b) ** 2)) AS rb FROM e UNION ALL SELECT 'summer', sqrt(avg((y - a) ** 2)), sqrt(avg((y - b) ** 2)) FROM e WHERE summer
+    UNION ALL SELECT 'not summer', sqrt(avg((y - a) ** 2)), sqrt(avg((y - b) ** 2)) FROM e WHERE NOT summer) SELECT subset, 'a' AS model, ra AS rmse, 0::DOUBLE AS change_percent FROM s UNION ALL SELECT subset, 'b', rb, 100 * (rb / ra - 1) FROM s""",
+)
+def l19_subset_scores(spark, sf_dir):
+    """Every model on every subset against the baseline, in one pass."""
+    rows = _series(spark, sf_dir).withColumns({"a": F.col("rain"), "b": 2 * F.col("rain")})
+    summer = F.month("week_start").isin(6, 7)
+    return tables.subset_scores(rows, "y", ["a", "b"], "a", {"all": F.lit(True), "summer": summer, "not summer": ~summer})
+
+
+@query("d10_most_who_could_leave", f"WITH {_INPUTS} SELECT median(breaks / nullif(out, 0)) AS ratio, count(*) AS n FROM inp WHERE out >= 0.9")
+def d10_most_who_could_leave(spark, sf_dir):
+    """Median ratio in weeks when all are away."""
+    away = p16_weekly_inputs(spark, sf_dir).filter("out >= 0.9")
+    return away.agg(F.percentile(F.try_divide("breaks", "out"), 0.5).alias("ratio"), F.count(F.lit(1)).alias("n"))
+
+
+@query("d12_presentation", """SELECT c_name AS "Customer", c_acctbal AS "Balance ($)", CASE WHEN c_acctbal < 0 THEN 'in debt' ELSE 'in credit' END AS "State" FROM customer""")
+def d12_presentation(spark, sf_dir):
+    """Columns renamed with their units, codes as words."""
+    state = F.when(F.col("c_acctbal") < 0, "in debt").otherwise("in credit")
+    return A.table(spark, sf_dir, "customer").select(F.col("c_name").alias("Customer"), F.col("c_acctbal").alias("Balance ($)"), state.alias("State"))
+
+
+@query("d13_headlines", "SELECT count(*) AS orders, count(DISTINCT o_custkey) AS customers, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS largest_order, median(o_totalprice) AS median_price, avg((o_orderstatus = 'F')::INT) AS share_final FROM orders")
+def d13_headlines(spark, sf_dir):
+    """Headline numbers as one row."""
+    return A.table(spark, sf_dir, "orders").agg(
+        F.count(F.lit(1)).alias("orders"), F.count_distinct("o_custkey").alias("customers"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("largest_order"),
+        F.percentile("o_totalprice", 0.5).alias("median_price"), F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("share_final"),
+    )
