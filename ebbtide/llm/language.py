@@ -31,6 +31,8 @@ DIMENSIONS = 4096
 CENTROIDS = 4
 #: Labelled texts per language that the classifier is fitted on.
 SAMPLE_PER_LANGUAGE = 400
+#: Row counts of at most this many languages are broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: A text is rejected when its cosine is below this share of its language's
 #: hundredth part of training cosines.
 REJECT_SHARE = 0.2
@@ -112,7 +114,8 @@ def fit(labelled: DataFrame) -> Model:
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))  # a row per language
     # by hash, about twice the sample of each language is left; so the window below is bounded by the number of languages
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < 2.0 * SAMPLE_PER_LANGUAGE / F.col("rows")
-    drawn = usable.select("doc_id", "lang").join(F.broadcast(counts), "lang").filter(draw)
+    few = counts.count() <= BROADCAST_LANGUAGES
+    drawn = usable.select("doc_id", "lang").join(F.broadcast(counts) if few else counts, "lang").filter(draw)
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_PER_LANGUAGE)
     sample = within(usable.select("doc_id", "text", "lang"), ids.select("doc_id").distinct()).select("text", "lang").repartition("lang")
