@@ -30,7 +30,7 @@ def _mapped(column: Column, names: dict[str, str], default: str = "other") -> Co
 def parse_time(column: Column) -> Column:
     """Clock time to the second; fractions are cut, bad text is null."""
     text = F.substring(column, 1, 19)
-    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"), text.try_cast("timestamp_ntz"))
+    return F.when(F.length(text) == 19, text.try_cast("timestamp_ntz"))
 
 
 def standardize(raw: DataFrame) -> DataFrame:
@@ -55,8 +55,10 @@ def standardize(raw: DataFrame) -> DataFrame:
     def named(c: str) -> Column:
         return F.nullif(F.trim(F.col(c)), F.lit("")).alias(c)
 
-    typed = rows.select(
-        "trip_key", parse_time(F.col("started_at")).alias("started_at"), parse_time(F.col("ended_at")).alias("ended_at"),
+    # a generator of one row: filters on the times can't be pushed below it, where every mention of a time would parse it again
+    times = F.struct(parse_time(F.col("started_at")).alias("__begin"), parse_time(F.col("ended_at")).alias("__end"))
+    typed = rows.select("*", F.inline(F.array(times))).select(
+        "trip_key", F.col("__begin").alias("started_at"), F.col("__end").alias("ended_at"),
         named("start_station_id"), named("start_station_name"), F.col("start_lat").try_cast("double").alias("start_lat"), F.col("start_lng").try_cast("double").alias("start_lng"),
         named("end_station_id"), named("end_station_name"), F.lower("rider_type").alias("rider_type"), "bike_type", F.col("birth_year").try_cast("long").alias("birth_year"),
     )

@@ -22,8 +22,8 @@ def _rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
     return rows.withColumns(
         {
-            "begin_text": F.expr("concat(date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss'), '.000')"),
-            "end_text": F.expr("concat(date_format(timestampadd(SECOND, cast(l_quantity as int) * 60 - 90 + if(l_partkey % 53 = 0, 90000, 0), l_shipdate), 'yyyy-MM-dd HH:mm:ss'), '.000')"),
+            "begin_text": F.expr("concat(cast(l_shipdate as string), '.000')"),
+            "end_text": F.expr("concat(cast(timestampadd(SECOND, cast(l_quantity as int) * 60 - 90 + if(l_partkey % 53 = 0, 90000, 0), l_shipdate) as string), '.000')"),
             "station": F.expr("if(l_partkey % 97 = 0, '', cast(l_suppkey as string))"),
             "station_name": F.expr("if(l_partkey % 97 = 0, '', concat(if(l_suppkey % 25 = 7, 'Depot ', 'Stop '), l_suppkey))"),
             "lat_text": F.expr("cast(42.30D + ((l_suppkey * 7919 + 137) % 1000) / 10000D as string)"),
