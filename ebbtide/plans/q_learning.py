@@ -151,12 +151,12 @@ _BLOCKS = "m AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS block F
     "u4_rmse_ratio",
     f"WITH {_SERIES}, {_BLOCKS}, g AS (SELECT block, sum((y - rain) * (y - rain)) AS a, sum((y - 2 * rain) * (y - 2 * rain)) AS b FROM dat JOIN m USING (month) GROUP BY ALL) SELECT draw::INT AS draw, sqrt(sum(times * a) / sum(times * b)) AS ratio FROM dr JOIN g USING (block) GROUP BY draw",
 )
-def u4_rmse_ratio(spark, sf_dir):
+def u4_rmse_ratio(spark, sf_dir, draws=100, seed=None):
     """RMSE ratio of two models on the same draws (U4)."""
     rows = _series(spark, sf_dir)
     months = resample.numbered(rows, "month")
     errors = rows.join(months, "month").withColumns({"e1": F.col("y") - F.col("rain"), "e2": F.col("y") - 2 * F.col("rain")})
-    return leaving.rmse_ratio(errors, "e1", "e2", resample.draw_blocks(spark, 100, months.count()), "block")
+    return leaving.rmse_ratio(errors, "e1", "e2", resample.draw_blocks(spark, draws, months.count(), seed=seed), "block")
 
 
 @query(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ebbtide.operators import geo, panel, resample, timeline
 from ebbtide.plans import adapters as A
 from ebbtide.plans.registry import query
+from ebbtide.plans.scratch import materialize
 
 _XY = f"(lng - ({geo.LNG0})) * {geo.M_PER_LNG}::DOUBLE AS x, (lat - {geo.LAT0}) * {geo.M_PER_LAT}::DOUBLE AS y"
 _PLACES = A.POINTS.replace("::DOUBLE / 10000", "::DOUBLE / 10000") + f", px AS (SELECT *, {_XY} FROM points), cx AS (SELECT *, {_XY} FROM campuses WHERE typical_in_person >= 1000)"
@@ -225,13 +226,13 @@ def _blocks(spark, rows):
     f"""WITH {_SERIES}, m AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS block FROM (SELECT DISTINCT month FROM dat)), g AS (SELECT block, count(*) AS n, sum(rain) AS sx, sum(y) AS sy, sum(rain * rain) AS sxx, sum(rain * y) AS sxy FROM dat JOIN m USING (month) GROUP BY ALL), {_DRAWS}
     SELECT draw::INT AS draw, (sum(times * n) * sum(times * sxy) - sum(times * sx) * sum(times * sy)) / (sum(times * n) * sum(times * sxx) - sum(times * sx) * sum(times * sx)) AS slope FROM dr JOIN g USING (block) GROUP BY draw""",
 )
-def u1_block_bootstrap(spark, sf_dir):
-    """Slopes of 200 draws of months, from each month's sums."""
+def u1_block_bootstrap(spark, sf_dir, draws=200, seed=None):
+    """Slopes of draws of months, from each month's sums (U1); only a seed resamples, the default is its SQL."""
     rows = _series(spark, sf_dir)
     months, many = _blocks(spark, rows)
     x, y = F.col("rain"), F.col("y")
     cells = rows.join(months, "month").groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"))
-    sums = resample.weighted_sums(cells, [resample.draw_blocks(spark, 200, many)], {c: F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy")})
+    sums = resample.weighted_sums(cells, [resample.draw_blocks(spark, draws, many, seed=seed)], {c: F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy")})
     return sums.selectExpr("draw", "(n * sxy - sx * sy) / (n * sxx - sx * sx) as slope")
 
 
@@ -257,33 +258,36 @@ _TWO_WAY = """cell AS (SELECT l_suppkey % 20 AS station, (year(l_shipdate) - 199
     tw AS (SELECT draw, sum(ts * tm * young)::DOUBLE / sum(ts * tm * known) AS share FROM cell JOIN ds USING (station) JOIN dm USING (draw, month) GROUP BY draw)"""
 
 
-def _two_way(spark, sf_dir):
+def _two_way(spark, sf_dir, draws=100, seed=None):
     cells = A.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 20).cast("int").alias("station"), ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).alias("month")).agg(
         F.count(F.lit(1)).alias("known"), F.count_if(F.col("l_partkey") % 5 == 0).alias("young")
     )
-    stations = resample.draw_blocks(spark, 100, 20).withColumnRenamed("block", "station")
-    months = resample.draw_blocks(spark, 100, 84).withColumnRenamed("block", "month")
-    return resample.weighted_sums(cells, [stations, months], {"known": F.col("known"), "young": F.col("young")}).selectExpr("draw", "young / known as share")
+    cells, times = materialize(cells, "cells"), []
+    for k, key in enumerate(("station", "month")):  # the blocks are those the data holds
+        blocks = materialize(resample.numbered(cells, key), "blocks")
+        drawn = resample.draw_blocks(spark, draws, blocks.count(), seed=None if seed is None else 2 * seed + k)
+        times.append(drawn.join(F.broadcast(blocks), "block").select("draw", key, "times"))
+    return resample.weighted_sums(cells, times, {"known": F.col("known"), "young": F.col("young")}).selectExpr("draw", "young / known as share")
 
 
 @query("u3_two_way", f"WITH {_TWO_WAY} SELECT draw::INT AS draw, share FROM tw")
-def u3_two_way(spark, sf_dir):
+def u3_two_way(spark, sf_dir, draws=100, seed=None):
     """Station weights times month weights on aggregated cells."""
-    return _two_way(spark, sf_dir)
+    return _two_way(spark, sf_dir, draws, seed)
 
 
 @query("u5_interval", f"WITH {_TWO_WAY} SELECT quantile_cont(share, 0.025) AS low, quantile_cont(share, 0.975) AS high, count(share) AS draws FROM tw")
-def u5_interval(spark, sf_dir):
-    return resample.interval(_two_way(spark, sf_dir), "share")
+def u5_interval(spark, sf_dir, draws=100, seed=None):
+    return resample.interval(_two_way(spark, sf_dir, draws, seed), "share")
 
 
 @query(
     "u5_widened",
     f"WITH {_TWO_WAY} SELECT quantile_cont(0.2::DOUBLE + 1.4 * (share - 0.2::DOUBLE), 0.025) AS low, quantile_cont(0.2::DOUBLE + 1.4 * (share - 0.2::DOUBLE), 0.975) AS high, count(share) AS draws FROM tw",
 )
-def u5_widened(spark, sf_dir):
+def u5_widened(spark, sf_dir, draws=100, seed=None):
     """Draws moved away from the estimate by a factor."""
-    return resample.interval(resample.widen(_two_way(spark, sf_dir), "share", F.lit(0.2), 1.4), "share")
+    return resample.interval(resample.widen(_two_way(spark, sf_dir, draws, seed), "share", F.lit(0.2), 1.4), "share")
 
 
 @query(
@@ -291,10 +295,10 @@ def u5_widened(spark, sf_dir):
     f"""WITH {_TWO_WAY}, w AS (SELECT date_trunc('week', o_orderdate)::DATE AS week_start, count(*)::DOUBLE AS n FROM orders GROUP BY ALL), c AS (SELECT week_start, least(greatest(n * share, 4), 12) AS v FROM w, tw)
     SELECT week_start, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM c GROUP BY ALL""",
 )
-def b8_band(spark, sf_dir):
+def b8_band(spark, sf_dir, draws=100, seed=None):
     """Band of a clamped guess over all draws, per week."""
     weeks = A.table(spark, sf_dir, "orders").groupBy(timeline.week_of(F.to_date("o_orderdate")).alias("week_start")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return resample.band(weeks, _two_way(spark, sf_dir), F.col("n") * F.col("share"), F.lit(4.0), F.lit(12.0))
+    return resample.band(weeks, _two_way(spark, sf_dir, draws, seed), F.col("n") * F.col("share"), F.lit(4.0), F.lit(12.0))
 
 
 @query(

@@ -1,7 +1,9 @@
 """Operators on small literal frames: boundaries, ties, nulls, and recovery of known truths."""
 
+import hashlib
 import math
 import random
+from collections import Counter
 from datetime import date, datetime
 
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbtide.operators import calendars, closures, events, geo, graph, joins, leaving, living, models, panel, presence, ranking, reports, resample, timeline, whatif, windows
+from ebbtide.plans import q_models
 from ebbtide.sources import files
 
 LEGACY = ["tripduration", "starttime", "stoptime", "start station id", "start station name", "start station latitude", "start station longitude", "end station id", "end station name", "bikeid", "usertype", "birth year"]
@@ -288,6 +291,26 @@ def test_draws_take_all_blocks_as_often(spark):
     assert resample.draw_blocks(spark, 5, 7, seed=3).groupBy("draw").agg(F.sum("times").alias("n")).select("n").distinct().first()[0] == 7
 
 
+def test_seeded_draws_resample_and_can_be_repeated(spark):
+    rows = {(r["draw"], r["block"]): r["times"] for r in resample.draw_blocks(spark, 50, 36, seed=3).collect()}
+    want = Counter((d, int(hashlib.md5(f"3-{d}-{i}".encode()).hexdigest()[:15], 16) % 36) for d in range(50) for i in range(36))
+    assert rows == want
+    assert len(set(rows.values())) > 2 and len(rows) < 50 * 30  # about 1 - 1/e of the blocks in a draw
+
+
+def test_seeded_bootstraps_have_width(spark, sf):
+    slopes = {round(r["slope"], 9) for r in q_models.u1_block_bootstrap(spark, sf, draws=1000, seed=1).collect()}
+    assert len(slopes) > 900
+    row = q_models.u5_interval(spark, sf, seed=1).first()
+    assert row["draws"] == 100 and row["high"] - row["low"] > 0.005
+
+
+def test_two_way_draws_keep_months_outside_the_study(spark, sf, tmp_path):
+    old = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("l_shipdate", F.expr("l_shipdate - interval 20 years"))
+    old.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert q_models.u3_two_way(spark, str(tmp_path)).count() == 100
+
+
 def test_housing_is_capped_by_beds(spark):
     areas = spark.createDataFrame([("1", 100.0, 50.0, 10.0)], "area string, students double, group_quarters double, with_parents double")
     shares = spark.createDataFrame([("1", "A", 0.5), ("1", "B", 0.5)], "area string, town string, share double")
