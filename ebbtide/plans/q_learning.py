@@ -184,10 +184,13 @@ def u9_corrected_slopes(spark, sf_dir):
 # --- streams
 
 
-def _events(spark, sf_dir):
-    """The events table as a stream of files."""
-    held = materialize(A.table(spark, sf_dir, "events").repartitionByRange(4, "ts"), "events")
-    return jobs.read_stream(spark, held.inputFiles()[0].rsplit("/", 1)[0], held.schema, 2)
+def _replayed(spark, rows, ts, label, per_trigger, ranges=None):
+    """Stored rows as a stream of files, each a range of time, in the order of time."""
+    dealt = rows.repartitionByRange(ranges, ts) if ranges else rows.repartitionByRange(ts)
+    held = materialize(dealt.sortWithinPartitions(ts), label)
+    folder = held.inputFiles()[0].rsplit("/", 1)[0]
+    jobs.in_time_order(spark, folder)
+    return jobs.read_stream(spark, folder, held.schema, per_trigger)
 
 
 def _drained(spark, df, mode="append"):
@@ -197,34 +200,32 @@ def _drained(spark, df, mode="append"):
 
 
 @query("q2_without_repeats", "SELECT DISTINCT event_id FROM events")
-def q2_without_repeats(spark, sf_dir):
+def q2_without_repeats(spark, sf_dir, per_trigger=1000, ranges=None):
     """Each event once although every file comes twice (Q2)."""
     held = A.table(spark, sf_dir, "events")
-    twice = materialize(held.unionByName(held), "events")
-    stream = jobs.read_stream(spark, twice.inputFiles()[0].rsplit("/", 1)[0], twice.schema, 1000)
+    stream = _replayed(spark, held.unionByName(held), "ts", "events", per_trigger, ranges)
     return _drained(spark, jobs.without_repeats(stream, "event_id").select("event_id"))
 
 
 @query("q1_weekly_counts", "SELECT date_trunc('week', ts)::DATE AS week_start, count(*) AS events FROM events GROUP BY ALL")
-def q1_weekly_counts(spark, sf_dir):
+def q1_weekly_counts(spark, sf_dir, per_trigger=2, ranges=4):
     """Monday weeks of a stream, each batch's update kept in its latest state (Q1)."""
     path = f"{shared_folder(spark)}/ebbtide-stream-{uuid.uuid4().hex}"
 
     def put(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")
 
-    counts = jobs.weekly_counts(_events(spark, sf_dir))
+    counts = jobs.weekly_counts(_replayed(spark, A.table(spark, sf_dir, "events"), "ts", "events", per_trigger, ranges))
     jobs.start_batches(counts, put, f"{path}/checkpoint").awaitTermination()
     latest = spark.read.parquet(f"{path}/out").groupBy("week_start").agg(F.max_by("events", "batch").alias("events"))
     return latest
 
 
 @query("q3_cleaning_counts", f"WITH {A.TRIPS} SELECT date_trunc('week', started_at)::DATE AS week_start, coalesce(reason, 'kept') AS reason, count(*) AS rows FROM judged GROUP BY ALL")
-def q3_cleaning_counts(spark, sf_dir):
+def q3_cleaning_counts(spark, sf_dir, per_trigger=1000, ranges=None):
     """Reject reasons of a stream of trips by week (Q3)."""
     path = f"{shared_folder(spark)}/ebbtide-stream-{uuid.uuid4().hex}"
-    held = materialize(A.trips(spark, sf_dir), "trips")
-    stream = jobs.read_stream(spark, held.inputFiles()[0].rsplit("/", 1)[0], held.schema, 1000)
+    stream = _replayed(spark, A.trips(spark, sf_dir), "started_at", "trips", per_trigger, ranges)
 
     def put(batch, number):
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")

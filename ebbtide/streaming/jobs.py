@@ -18,6 +18,25 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def in_time_order(spark: SparkSession, folder: str) -> int:
+    """Date a folder's part files by their names, a second apart; their number.
+
+    A file source takes files by modification time, which parallel tasks leave
+    in any order.  Where the parts are ranges of time, no row is late then.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((f for f in store.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    last = max((f.getModificationTime() for f in parts), default=0)
+    for k, part in enumerate(parts):
+        store.setTimes(part.getPath(), last - 1000 * (len(parts) - 1 - k), -1)
+    times = [store.getFileStatus(f.getPath()).getModificationTime() for f in parts]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise RuntimeError(f"the store of {folder} does not keep modification times; replay from one that does")
+    return len(parts)
+
+
 def weekly_counts(events: DataFrame, ts: str = "ts", by: tuple[str, ...] = ()) -> DataFrame:
     """Tumbling Monday weeks; a week is final once it is older than the lateness allowed."""
     week = F.window(F.col(ts).cast("timestamp"), "7 days", "7 days", "4 days")  # windows start on Mondays
