@@ -34,8 +34,11 @@ SAMPLE_PER_LANGUAGE = 400
 #: Row counts of at most this many languages are broadcast.
 BROADCAST_LANGUAGES = 100_000
 #: A text is rejected when its cosine is below this share of its language's
-#: hundredth part of training cosines.
-REJECT_SHARE = 0.2
+#: low quantile of cosines of texts that the centroids were not clustered from; at
+#: this level the few odd texts of a small sample do not set the floor alone.
+REJECT_SHARE = 0.5
+LOW = 0.03
+FOLDS = 4
 UNKNOWN = "und"
 _ROWS = 128
 #: Letters in lower case and bytes of non-ASCII characters stay; all else counts as a blank.
@@ -87,6 +90,13 @@ def cluster(rows: np.ndarray, number: int, rounds: int = 12) -> np.ndarray:
     return out
 
 
+def unseen_cosines(rows: np.ndarray, number: int) -> np.ndarray:
+    """Cosine of each row with the nearest centroid of the other folds' rows; none where there is one row only."""
+    fold = np.arange(len(rows)) % FOLDS
+    parts = [(rows[fold == k] @ cluster(rows[fold != k], number).T).max(axis=1) for k in range(min(FOLDS, len(rows))) if len(rows) > 1]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -131,9 +141,11 @@ def fit(labelled: DataFrame) -> Model:
     idf = np.log((1 + sum(r["n"] for r in seen)) / (1 + sum(np.array(r["df"]) for r in seen))) + 1
 
     def centroids(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rows = tfidf(_vectors(group["text"]), idf)
+        rows = tfidf(_vectors(group["text"].sort_values()), idf)
         found = cluster(rows, CENTROIDS)
-        floor = REJECT_SHARE * float(np.quantile((rows @ found.T).max(axis=1), 0.01))
+        unseen = unseen_cosines(rows, CENTROIDS)
+        # one text says nothing about how far others of its language lie
+        floor = REJECT_SHARE * float(np.quantile(unseen, LOW)) if len(unseen) else 0.0
         return pd.DataFrame({"lang": key[0], "center": [c.tolist() for c in found], "floor": floor})
 
     rows = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, center array<double>, floor double").collect(), key=lambda r: r["lang"])

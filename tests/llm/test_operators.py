@@ -404,6 +404,22 @@ def test_foreign_text_is_rejected(spark, sf):
     assert language.predict(frame, model).first()["rejected"]
 
 
+def test_unseen_latin_languages_and_junk_are_rejected(spark, sf):
+    docs = spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.1/documents.parquet")
+    model, rng = language.fit(docs.filter(~language.held_out())), random.Random(4)
+    texts = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        sentence(rng, 200),
+        "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000)),
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in language.predict(frame, model).filter("not rejected").collect()} == set()
+    clean = language.predict(docs.filter("n_chars >= 200 and doc_id % 5 = 0"), model)
+    assert clean.filter("rejected").count() == 0 and clean.count() > 1000
+
+
 # --- op10
 
 
