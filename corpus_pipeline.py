@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ebbtide.llm.decontamination import contaminated
 from ebbtide.llm.language import identify
 from ebbtide.llm.lines import drop_repeated_lines
-from ebbtide.llm.membership import without
+from ebbtide.llm.membership import ROW, numbered, without
 from ebbtide.llm.minhash import near_duplicates
 from ebbtide.llm.packing import pack_documents, tokenizer_files
 from ebbtide.plans.scratch import materialize
@@ -33,16 +33,23 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    dropped = materialize(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "dropped")
-    return without(docs, dropped)
+    """One row of each near-duplicate group: the smallest id, rows without one last."""
+    rows = numbered(docs)
+    groups = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    groups = materialize(groups.join(rows.select(ROW, "doc_id"), ROW), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
+    dropped = materialize(groups.select(ROW).join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_anti"), "dropped")
+    return without(rows, dropped, ROW).drop(ROW)
 
 
 def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item, whether or not either has an id."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = materialize(contaminated(docs, benchmark).select("doc_id").distinct(), "found")
-    return without(docs, found)
+    items = numbered(benchmark.select("text")).select(F.col(ROW).alias("item_id"), "text")
+    rows = numbered(docs)
+    pairs = contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), items)
+    found = materialize(pairs.select(F.col("doc_id").alias(ROW)).distinct(), "found")
+    return without(rows, found, ROW).drop(ROW)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,3 +94,35 @@ def test_all_tokens_are_packed(stages):
 
 def test_run_applies_all_stages(spark, folder, stages):
     assert corpus_pipeline.run(spark, folder).count() == stages[5].count()
+
+
+def test_rows_without_ids_and_repeated_rows_are_judged(spark, tmp_path):
+    rng = random.Random(21)
+    a, b, c, item, other = (sentence(rng, n) for n in (80, 80, 80, 30, 30))
+    rows = [
+        (None, a), (None, a), (5, a),  # the one with an id stays
+        (None, b), (None, b), (None, b.replace(" ", " x ", 1)),  # one of them stays
+        (11, c), (11, c), (11, sentence(rng, 70)),  # a repeated row goes, another text of the id stays
+        (None, f"{sentence(rng, 20)} {item}"), (12, f"{sentence(rng, 20)} {other}"), (13, f"{sentence(rng, 20)} {item}"),
+        (None, None), (None, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(1, item), (None, other)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    once = corpus_pipeline.without_near_duplicates(spark, docs, str(tmp_path))
+    got = Counter((r["doc_id"], r["text"]) for r in once.collect())
+    assert once.columns == COLUMNS and got[5, a] == 1 and (None, a) not in got
+    assert got[None, b] + got[None, b.replace(" ", " x ", 1)] == 1
+    assert got[11, c] == 1 and got[rows[8]] == 1 and got[None, None] == 1 and got[None, ""] == 1
+    clean = corpus_pipeline.without_benchmark_items(spark, once, str(tmp_path))
+    want = Counter({k: n for k, n in got.items() if not any(x in (k[1] or "") for x in (item, other))})
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == want and sum(got.values()) - sum(want.values()) == 3
+
+
+def test_awkward_rows_without_ids_pass_through_all_stages(spark, tmp_path):
+    texts = awkward_texts()
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or "")) for i, t, g in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, sentence(random.Random(1), 9))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    same = {7, 8, 9, 11, None}  # one text in upper case, edited, repeated and without id
+    assert len(same & {r["doc_id"] for r in rows.select("doc_id").distinct().collect()}) == 1
