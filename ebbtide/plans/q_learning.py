@@ -11,7 +11,7 @@ from ebbtide.plans.registry import query
 from ebbtide.plans.scratch import materialize, shared_folder
 from ebbtide.streaming import jobs
 
-TREES = 10
+TREES = 300
 
 
 def _learning(spark, sf_dir):
@@ -94,7 +94,7 @@ def m8_placebo_rotations(spark, sf_dir):
     """The same slope after every rotation of the units' measures."""
     from ebbtide.operators.joins import rotations
 
-    units = _panel(spark, sf_dir).filter("not weekend").withColumn("unit", F.col("unit") % 10).groupBy("unit", "week_start").agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
+    units = materialize(_panel(spark, sf_dir).filter("not weekend").select("unit", "week_start", "y", "x"), "units")
     moved = rotations(units.select("unit", "week_start", "x"), "unit").select("k", "unit", "week_start", F.col("x").alias("placebo"))
     return panel.slopes(units.join(moved, ["unit", "week_start"]), ["k"], F.col("y"), F.col("placebo"))
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbtide.operators import calendars, closures, events, geo, graph, joins, leaving, living, models, panel, presence, ranking, reports, resample, timeline, whatif, windows
-from ebbtide.plans import q_models
+from ebbtide.plans import q_learning, q_models
 from ebbtide.sources import files
 
 LEGACY = ["tripduration", "starttime", "stoptime", "start station id", "start station name", "start station latitude", "start station longitude", "end station id", "end station name", "bikeid", "usertype", "birth year"]
@@ -284,6 +284,27 @@ def test_neighbours_weigh_by_distance(spark):
     assert got[1] == 10 and got[2] == pytest.approx((10 / 0.25 + 20 / 0.75) / (1 / 0.25 + 1 / 0.75))
 
 
+def test_neighbours_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(models, "QUERY_ROWS", 7)
+    monkeypatch.setattr(models, "TRAIN_ROWS", 20)
+    rng = random.Random(8)
+    train = [(k, float(rng.randint(0, 9)), float(rng.randint(0, 9)), float(k)) for k in range(200)]
+    queries = [(k, rng.randint(0, 9) + 0.5, float(rng.randint(0, 9))) for k in range(40)] + [(99, 3.0, 4.0)]
+    frame = models.nearest_neighbours(spark.createDataFrame(queries, "id int, a double, b double"), "id", spark.createDataFrame(train, "k int, a double, b double, l double"), "k", ["a", "b"], "l", 5)
+    got = {r["id"]: r["predicted"] for r in frame.collect()}
+    for i, a, b in queries:
+        best = sorted((math.hypot(a - x, b - y), k, v) for k, x, y, v in train)[:5]
+        same = [v for d, _, v in best if d == 0]
+        assert got[i] == pytest.approx(sum(same) / len(same) if same else sum(v / d for d, _, v in best) / sum(1 / d for d, _, _ in best))
+
+
+def test_neighbours_have_no_row_cap(spark):
+    train = spark.range(120_000).selectExpr("id as k", "cast(id as double) as x", "cast(id as double) as l")
+    queries = spark.createDataFrame([(1, 110_000.0), (2, 50.25)], "id int, x double")
+    got = {r["id"]: r["predicted"] for r in models.nearest_neighbours(queries, "id", train, "k", ["x"], "l", 1).collect()}
+    assert got == {1: 110_000.0, 2: 50.0}
+
+
 def test_draws_take_all_blocks_as_often(spark):
     for run, blocks in ((1, 12), (3, 12), (5, 12)):
         total = resample.draw_blocks(spark, 20, blocks, run).groupBy("draw").agg(F.sum("times").alias("n")).select("n").distinct().collect()
@@ -291,6 +312,16 @@ def test_draws_take_all_blocks_as_often(spark):
     assert resample.draw_blocks(spark, 5, 7, seed=3).groupBy("draw").agg(F.sum("times").alias("n")).select("n").distinct().first()[0] == 7
 
 
+def test_placebo_rotates_all_units(spark, sf):
+    many = spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/lineitem.parquet").select("l_suppkey").distinct().count()
+    rows = q_learning.m8_placebo_rotations(spark, f"{sf.rsplit('/', 1)[0]}/sf0.01").collect()
+    assert many > 50 and sorted(r["k"] for r in rows) == list(range(1, many))
+
+
+def test_registered_families_have_the_studys_trees():
+    assert q_learning.TREES == 300
+
+
 def test_seeded_draws_resample_and_can_be_repeated(spark):
     rows = {(r["draw"], r["block"]): r["times"] for r in resample.draw_blocks(spark, 50, 36, seed=3).collect()}
     want = Counter((d, int(hashlib.md5(f"3-{d}-{i}".encode()).hexdigest()[:15], 16) % 36) for d in range(50) for i in range(36))
