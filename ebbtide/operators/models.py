@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -10,13 +14,14 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ebbtide.operators.panel import gram
 from ebbtide.plans.scratch import materialize
 
-#: Rows of a training side that may be broadcast for a nearest-neighbour join.
-BROADCAST_ROWS = 100_000
+#: Rows of a block of queries and of training rows that meet in a task: 32 MB of distances.
+QUERY_ROWS, TRAIN_ROWS = 512, 8_192
 
 
 def families(features: list[str], label: str = "y", trees: int = 300) -> dict[str, Pipeline]:
@@ -75,17 +80,57 @@ def stack_weights(df: DataFrame, members: list[str], label: str = "y") -> dict[s
     return dict(zip(members, map(float, w)))
 
 
+def _packed(df: DataFrame, rows: int, key: Column, columns: list[Column], names: tuple[str, str]) -> DataFrame:
+    """Blocks of about ``rows`` rows, each one row of arrays: keys, and ``columns`` one after another."""
+    blocks = max(1, -(-df.count() // rows))
+    one = F.struct(key.alias("key"), F.array(*(c.cast("double") for c in columns)).alias("values"))
+    # a bounded number of rows by the hash
+    held = df.groupBy(F.pmod(F.xxhash64(key, *columns), F.lit(blocks)).alias("__block")).agg(F.collect_list(one).alias("__rows"))
+    return held.select(F.col("__rows.key").alias(names[0]), F.flatten("__rows.values").alias(names[1]))
+
+
+def _best_of_blocks(features: int, k: int):
+    """Per query of a pair of blocks, its k nearest training rows, ties by place in the key order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                queries, trained = batch.column("__q")[n].values, batch.column("__k")[n].values
+                x = batch.column("__x")[n].values.to_numpy(zero_copy_only=False).reshape(len(queries), features)
+                t = batch.column("__t")[n].values.to_numpy(zero_copy_only=False).reshape(len(trained), features + 1)
+                order = pc.sort_indices(trained)
+                trained, t = trained.take(order), t[order.to_numpy()]
+                gap = np.zeros((len(queries), len(trained)))
+                for c in range(features):
+                    gap += (x[:, c, None] - t[None, :, c]) ** 2
+                far = np.where(np.isnan(gap), np.inf, np.sqrt(gap))
+                most = np.partition(far, min(k, len(trained)) - 1, axis=1)[:, min(k, len(trained)) - 1]
+                row, col = np.nonzero(far <= most[:, None])
+                sort = np.lexsort((col, far[row, col], row))
+                row, col = row[sort], col[sort]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[keep], col[keep]
+                d, label = far[row, col], t[col, features]
+                yield pa.RecordBatch.from_arrays(
+                    [queries.take(pa.array(row)), trained.take(pa.array(col)), pa.array(d, mask=np.isinf(d)), pa.array(label, mask=np.isnan(label))], names=["__q", "__k", "__d", "__l"]
+                )
+
+    return run
+
+
 def nearest_neighbours(queries: DataFrame, key: str, train: DataFrame, train_key: str, features: list[str], label: str, k: int) -> DataFrame:
-    """Mean label of the k nearest training rows, weighted by 1 / distance; an exact match decides alone."""
-    if train.count() > BROADCAST_ROWS:
-        raise ValueError("too many training rows for an exact neighbour join; take a sample or block the features")
-    near = train.select(F.col(train_key).alias("__k"), F.col(label).alias("__l"), *(F.col(c).alias(f"__t_{c}") for c in features))
-    gap = F.lit(0.0)
-    for c in features:
-        gap = gap + (F.col(c) - F.col(f"__t_{c}")) * (F.col(c) - F.col(f"__t_{c}"))
-    pairs = queries.select(key, *features).crossJoin(F.broadcast(near)).withColumn("__d", F.sqrt(gap))
-    first = W.partitionBy(key).orderBy("__d", "__k")
-    best = pairs.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k)
+    """Mean label of the k nearest training rows, weighted by 1 / distance; an exact match decides alone.
+
+    All queries meet all training rows, block by block; a pair of blocks
+    returns each query's k best only, and these are merged.
+    """
+    columns = [F.col(c) for c in features]
+    left = materialize(_packed(queries, QUERY_ROWS, F.col(key), columns, ("__q", "__x")), "queries")
+    right = materialize(_packed(train, TRAIN_ROWS, F.col(train_key), [*columns, F.col(label)], ("__k", "__t")), "train")
+    schema = T.StructType().add("__q", queries.schema[key].dataType).add("__k", train.schema[train_key].dataType).add("__d", "double").add("__l", "double")
+    near = left.repartition(max(1, left.count())).crossJoin(right).mapInArrow(_best_of_blocks(len(features), k), schema).withColumnRenamed("__q", key)
+    first = W.partitionBy(key).orderBy(F.asc_nulls_last("__d"), "__k")
+    best = near.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k)
     exact = F.col("__d") == 0
     return best.groupBy(key).agg(
         F.coalesce(F.avg(F.when(exact, F.col("__l"))), F.sum(F.col("__l") / F.when(~exact, F.col("__d"))) / F.sum(1 / F.when(~exact, F.col("__d")))).alias("predicted")
