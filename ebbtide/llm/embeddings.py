@@ -11,10 +11,13 @@ Equal vectors are one class.  Tiles hold a bounded number of classes in the
 order of the first axis, and tiles too far apart on it are not paired.  A pair
 of tiles returns link counts and a spanning set of links, never its pairs.
 
-Nulls and edge cases: a vector that is null, zero, holds null or non-finite
-components, or has another length than most vectors (the smaller length on a
-tie) links with nothing and stays alone, as does one without vec_id; repeated rows are linked copies; rows
-that share a vec_id are each returned; an empty table gives no rows.
+A cosine needs vectors of one length, so each length present is compared by
+itself.
+
+Nulls and edge cases: a vector that is null, empty, zero or holds null or
+non-finite components links with nothing and stays alone, as does one without
+vec_id; repeated rows are linked copies; rows that share a vec_id are each
+returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,9 +50,13 @@ def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     good = np.flatnonzero(lengths == size)
     part = column.take(pa.array(good))
     rows = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), size)
-    with np.errstate(over="ignore"):
+    ok = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
+    most = np.abs(np.where(ok[:, None], rows, 1)).max(axis=1)
+    odd = ok & ((most > 1e150) | (most < 1e-150))  # squares would over- or underflow
+    if odd.any():
+        rows[odd] = rows[odd] / most[odd][:, None]
+    with np.errstate(over="ignore", invalid="ignore"):
         norm = np.sqrt((rows * rows).sum(axis=1))
-    ok = np.isfinite(rows).all(axis=1) & np.isfinite(norm) & (norm > 0)
     return rows[ok] / norm[ok][:, None], good[ok]
 
 
@@ -150,13 +157,21 @@ def _compare(size: int, threshold: float):
 
 def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of (vec_id, embedding)."""
-    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
-    usual = rows.groupBy(F.size("embedding").alias("size")).count().filter("size > 0").orderBy(F.desc("count"), "size").first()
-    alone = [F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
-    if usual is None:
-        return rows.select("vec_id", *alone)
-    size = int(usual["size"])
+    # one row per length
+    sizes = sorted(r["size"] for r in rows.select(F.size("embedding").alias("size")).distinct().collect() if r["size"] is not None and r["size"] > 0)
+    usable = F.coalesce(F.size("embedding") > 0, F.lit(False))
+    out = _alone(rows if not sizes else rows.filter(~usable))
+    for size in sizes:
+        out = out.unionByName(_links_of_length(rows.filter(F.size("embedding") == size), size, threshold))
+    return out
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+
+
+def _links_of_length(rows: DataFrame, size: int, threshold: float) -> DataFrame:
     axes = principal_axes(rows, size)
     turned = materialize(rows.mapInArrow(_turned(size, axes), "vec_id long, key_a long, key_b long, axis array<double>"), "turned")
     key = ["key_a", "key_b"]
@@ -183,4 +198,4 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         "vec_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
     linked = linked.withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    return linked.unionByName(turned.filter("axis is null").select("vec_id", *alone))
+    return linked.unionByName(_alone(turned.filter("axis is null")))

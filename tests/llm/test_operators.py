@@ -77,6 +77,15 @@ def test_embeddings_of_empty_and_broken_tables(spark):
     assert [tuple(r) for r in embeddings.embedding_links(only_null).collect()] == [(4, 0, 4, True)]
 
 
+def test_embeddings_of_every_length_and_size_are_linked(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]), (3, [3.0, -1.0, 0.0]), (4, [1.0, 2.0]), (5, [1.0, 2.0]), (6, [2.0, -1.0]), (7, [7.0])]
+    rows += [(8, [1e200, 2e200, 3e200]), (9, [1e-200, 2e-200, 3e-200]), (10, [3e-320, -1e-320, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.embedding_links(frame).collect()}
+    want = {k: (3, 1) for k in (1, 2, 8, 9)} | {k: (1, 3) for k in (3, 10)} | {k: (1, 4) for k in (4, 5)} | {6: (0, 6), 7: (0, 7)}
+    assert got == want
+
+
 def test_blocks_stop_early_but_lose_nothing():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(60, 16)), rng.normal(size=(50, 16))
