@@ -1,6 +1,8 @@
 """License scan: phrases, and an exact set-similarity join with notice templates.
 
-A text block is a line.  Tokens are ordered by their frequency over all
+A text block is a line, or a run of words of a template's length that goes over
+line ends around a prefix token; so a notice wrapped over lines is found too.
+Tokens are ordered by their frequency over all
 documents, rarest first.  A block that holds the wanted share of a template's
 distinct tokens must hold one of the template's few rarest tokens (prefix
 filter), have enough tokens at all (length filter), and have enough tokens
@@ -49,6 +51,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
 
 
+def length_of(notice: str) -> int:
+    """Words of a notice, repeated ones too."""
+    return len("".join(c if c.isalnum() else " " for c in notice.lower()).split())
+
+
 def tokens_of(notice: str) -> list[str]:
     out = "".join(c if c.isalnum() else " " for c in notice.lower()).split()
     return sorted(set(out))
@@ -86,6 +93,31 @@ def token_order(docs: DataFrame, tokens: list[str]) -> list[str]:
     return sorted(tokens, key=lambda t: (seen.get(t, 0), t))
 
 
+def wrapped_words(text: Column, rare_word: str, longest: int) -> Column:
+    """Per line with a prefix token, its words and those of its neighbours that a run of ``longest`` words can reach.
+
+    The middle of a long line is left out: a run over a line end does not reach it.
+    """
+    gap = F.array_repeat(F.lit(""), longest)
+
+    def ends(w: Column) -> Column:
+        return F.when(F.size(w) > 2 * longest, F.concat(F.slice(w, 1, longest), gap, F.slice(w, -longest, longest))).otherwise(w)
+
+    def around(lines: Column, i: Column) -> Column:
+        before = F.flatten(F.transform(F.slice(lines, F.greatest(i - longest, F.lit(0)) + 1, F.least(i, F.lit(longest))), words))
+        after = F.flatten(F.transform(F.slice(lines, i + 2, F.lit(longest)), words))
+        last = F.slice(before, F.greatest(F.size(before) - longest, F.lit(0)) + 1, F.lit(longest))
+        own = F.transform(F.array(words(F.get(lines, i))), ends)
+        return F.concat(last, F.flatten(own), F.slice(after, 1, longest))
+
+    def of(lines: Column) -> Column:
+        places = F.when(F.size(lines) > 1, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(places, lambda i: F.get(lines, i).rlike(rare_word)), lambda i: F.struct(i.alias("line"), around(lines, i).alias("words")))
+
+    # an array of one, so that the text is split once; lines without words count for nothing
+    return F.flatten(F.transform(F.array(F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))), of))
+
+
 def template_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, version, line, template, label, containment) of every block that meets a template's threshold."""
     spark = docs.sparkSession
@@ -99,9 +131,9 @@ def template_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THR
         prefix = ids[: len(ids) - need + 1]
         rare |= set(prefix)
         index += [(k, n, p, len(ids) - 1 - p, need) for p, k in enumerate(prefix)]
-        rows.append((n, label, ids))
+        rows.append((n, label, ids, length_of(templates[n][1])))
     by_token = spark.createDataFrame(index, "token int, template int, place int, behind int, need int")
-    by_template = spark.createDataFrame(rows, "template int, label string, ids array<int>")
+    by_template = spark.createDataFrame(rows, "template int, label string, ids array<int>, length int")
     edge = WORD[:-1]
     rare_word = rf"(?<!{edge})(?i:{'|'.join(order[k] for k in sorted(rare))})(?!{edge})"
     number = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
@@ -117,11 +149,32 @@ def template_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THR
     # both tables are the fixed templates
     pairs = probes.join(F.broadcast(by_token), "token").filter(passing).select("doc_id", "version", "line", "tokens", "template", "need").distinct()
     common = F.size(F.array_intersect("tokens", "ids"))
-    return (
+    whole = (
         pairs.join(F.broadcast(by_template), "template")
         .filter(common >= F.col("need"))
         .select("doc_id", "version", "line", "template", "label", (common / F.size("ids")).alias("containment"))
     )
+    found = F.filter(F.transform(F.col("near.words"), lambda w, i: F.struct(i.alias("at"), F.try_element_at(number, w).alias("token"))), lambda h: h["token"].isNotNull())
+    wrapped = (
+        docs.filter(F.col("text").rlike(rare_word))
+        .select("doc_id", F.xxhash64("text").alias("version"), F.explode(wrapped_words(F.col("text"), rare_word, max(row[3] for row in rows))).alias("near"))
+        .select("doc_id", "version", F.col("near.line").cast("int").alias("line"), found.alias("hits"))
+        .withColumn("tokens", F.array_sort(F.array_distinct("hits.token")))
+    )
+    # the same filters, then runs of the template's length from each of its tokens
+    probes = wrapped.filter(F.size("tokens") >= least).select("*", F.posexplode("tokens").alias("at", "token"))
+    pairs = probes.join(F.broadcast(by_token), "token").filter(passing).select("doc_id", "version", "line", "hits", "tokens", "template", "need").distinct()
+    own = F.filter("hits", lambda h: F.array_contains("ids", h["token"]))
+    runs = F.expr("array_max(transform(own, a -> size(array_distinct(transform(filter(own, b -> b.at >= a.at and b.at < a.at + length), b -> b.token)))))")
+    over = (
+        pairs.join(F.broadcast(by_template), "template")
+        .filter(common >= F.col("need"))
+        .withColumn("own", own)
+        .withColumn("most", runs)
+        .filter("most >= need")
+        .select("doc_id", "version", "line", "template", "label", (F.col("most") / F.size("ids")).alias("containment"))
+    )
+    return whole.unionByName(over)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import awkward_texts, sentence
 
-from ebbtide.llm import decontamination, embeddings, language, licenses, lines, minhash, packing, secrets, sharding, textkit, urls
+from ebbtide.llm import decontamination, embeddings, language, licenses, lines, minhash, packing, queries, secrets, sharding, textkit, urls
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -192,6 +193,27 @@ def test_license_phrases_and_notices(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = " * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and\n *\n * associated documentation files"
+    gpl = "# This program is free software:\n# you can redistribute it and/or modify\n# it under the terms of the GNU\n# General Public License"
+    rng = random.Random(2)
+    apart = bsd.split("\n")[0] + "\n" + sentence(rng, 40) + "\n" + bsd.split("\n")[1]
+    far = "redistribution " + sentence(rng, 300) + "\n" + sentence(rng, 300) + " are met"
+    texts = [bsd, mit, gpl, sentence(rng, 90) + " " + bsd.replace(" ", "\n\n") + " " + sentence(rng, 90), apart, far, "redistribution"]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k][0] for k in range(7)] == ["bsd", "mit", "gpl", "bsd", "", "", ""] and all(got[k][1] == 1 for k in range(4))
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_licenses_equal_their_sql(spark, sf, size):
+    path = f"{sf.rsplit('/', 1)[0]}/{size}"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet')")
+    want = sorted(con.execute(queries.oracle_sql()["op4_licenses"]).fetchall())
+    assert sorted(tuple(r) for r in queries.op4_licenses(spark, path).collect()) == want
+
+
 # --- op5
 
 
