@@ -2,7 +2,7 @@
 
 A table written to ``spark.checkpoint.dir`` cuts the lineage, survives lost
 executors and is read back with column pruning.  A folder is chosen here only
-where the session names none, as in local tests.
+where a local session names none, as in tests; on a cluster none can be guessed.
 """
 
 from __future__ import annotations
@@ -14,10 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a new temporary one only where none is set."""
+    """The session's checkpoint folder; a new temporary one where a local session names none.
+
+    Executors on other machines could not write to a folder chosen here, so a
+    session that isn't local must name one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="spark-ebbtide-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
