@@ -8,26 +8,30 @@ document that contains a share c of an item contains each of these with
 probability c.  A document with enough of an item's kept shingles is verified
 against the item's full set.
 
-The search runs over the items in blocks of bounded size, each sent to all
-tasks, and scans the documents without any shuffle.
+The search runs over the items in blocks of bounded size, one after another:
+each is sent to all tasks, scans the documents without any shuffle, writes its
+pairs and is let go.  A benchmark of b blocks reads the documents b times.
 
 Nulls and edge cases: null, empty or word-free texts contain nothing and are
-contained in nothing; items without item_id are left out; repeated rows each give their rows; an empty table on
-either side gives no rows.
+contained in nothing; items without item_id are left out, documents without
+doc_id are not; repeated rows each give their rows; every document that
+contains an item is reported, so there are no ties to break; a very long
+document is hashed whole, and an item with more shingles than a block is a
+block of its own; columns other than ids and text are ignored; an empty table
+on either side gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm import textkit
-from ebbtide.plans.scratch import materialize
 
 THRESHOLD = 0.75
 #: (largest set size, permutations); no permutations: all shingles are kept.
@@ -113,27 +117,31 @@ class Block:
 def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, hashes, bounds in textkit.shingle_sets(batch.column(1)):
+            places = [None, pa.py_buffer((bounds * hashes.itemsize).astype(np.int32)), pa.py_buffer(hashes.tobytes())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), textkit.list_column(hashes, bounds)], names=["item_id", "shingles"]
+                [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.Array.from_buffers(pa.binary(), b - a, places)],
+                names=["item_id", "size", "shingles"],
             )
 
 
+def _block(items: DataFrame) -> Broadcast | None:
+    """A block of about ``BLOCK_SHINGLES`` shingles, which is all that the driver holds of the benchmark at a time."""
+    rows = items.select("item_id", "shingles").collect()
+    return items.sparkSession.sparkContext.broadcast(Block([r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows])) if rows else None
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, common, item_shingles, containment of every pair at or above the threshold."""
     spark = docs.sparkSession
-    sets = textkit.map_texts(benchmark.select(F.col("item_id").cast("long"), "text"), _item_sets, "item_id long, shingles array<long>")
-    items = materialize(sets.filter("size(shingles) > 0 and item_id is not null"), "items")
-    total = items.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    named = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null")
+    items = textkit.map_texts(named, _item_sets, "item_id long, size long, shingles binary", "items").filter("size > 0")
+    total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     blocks = -(-int(total) // BLOCK_SHINGLES)
     text = docs.select(F.col("doc_id").cast("long"), "text")
-    found = []
+    pairs = spark.createDataFrame([], _PAIRS)
     for n in range(blocks):
-        # bounded: each block holds about BLOCK_SHINGLES shingles
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n).collect()
-        if rows:
-            block = Block([r[0] for r in rows], [np.array(r[1], np.int64).view(np.uint64) for r in rows])
-            # sets are sorted as unsigned numbers, as they come from np.unique
-            held = spark.sparkContext.broadcast(block)
-            found.append(textkit.map_texts(text, lambda batches, held=held: held.value.search(batches), _PAIRS))
-    pairs = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _PAIRS)
+        held = _block(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n))
+        if held is not None:
+            pairs = pairs.unionByName(textkit.map_texts(text, lambda batches, held=held: held.value.search(batches), _PAIRS, "pairs"))
+            held.destroy()  # the block's pairs are written
     return pairs.withColumn("containment", F.col("common") / F.col("item_shingles"))

@@ -164,7 +164,10 @@ RESULT = ("lang_pred", "score", "rejected")
 
 
 def predict(rows: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = RESULT) -> DataFrame:
-    """All columns of ``rows`` and language, cosine and rejection; older columns of these names are replaced."""
+    """All columns of ``rows`` and language, cosine and rejection; older columns of these names are replaced.
+
+    Whoever runs it should do so within ``textkit.small_batches``.
+    """
     new = list(names)
     kept = [c for c in rows.columns if c not in new]
     schema = T.StructType([rows.schema[c] for c in kept]).add(new[0], "string").add(new[1], "double").add(new[2], "boolean")
@@ -191,7 +194,7 @@ def predict(rows: DataFrame, model: Model, text: str = "text", names: tuple[str,
                 names=[*kept, *new],
             )
 
-    return textkit.map_texts(ready, run, schema)
+    return ready.mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> F.Column:

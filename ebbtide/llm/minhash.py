@@ -95,10 +95,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Full shingle sets (sorted 64-bit hashes) of the documents whose doc_id is in ``ids``."""
+    """Full shingle sets (sorted 64-bit hashes), written, of the documents whose doc_id is in ``ids``."""
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     chosen = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
-    return textkit.map_texts(chosen, _sets, "doc_id long, shingles array<long>")
+    return textkit.map_texts(chosen, _sets, "doc_id long, shingles array<long>", "sets")
 
 
 def _bytes(column: pa.ChunkedArray) -> np.ndarray:
@@ -210,7 +210,7 @@ def _by_tile(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id, itself included) and kept, one row per document."""
-    signed = materialize(textkit.map_texts(docs.select(F.col("doc_id").cast("long"), "text"), _sign, _SIGNATURE), "signatures")
+    signed = textkit.map_texts(docs.select(F.col("doc_id").cast("long"), "text"), _sign, _SIGNATURE, "signatures")
     key = ["set_a", "set_b", "n_shingles"]
     classes = materialize(
         signed.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "likely",
     )
     ids = likely.select("doc_id").unionByName(likely.select(F.col("hub").alias("doc_id"))).distinct()
-    sets = materialize(shingle_sets_of(docs, ids), "sets")
+    sets = shingle_sets_of(docs, ids)
     other = sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("hub_shingles"))
     common = F.size(F.array_intersect("shingles", "hub_shingles"))
     linked = (

@@ -6,7 +6,10 @@ most ``capacity`` numbers leave Spark however many documents there are.  Pieces
 then take the planned places by joining on their rank within their length.
 
 Nulls and edge cases: a null or empty text is the end token alone; equal texts
-and repeated rows are packed separately; an empty table gives no rows.
+and repeated rows are packed separately, ties in length in the order of doc_id,
+piece and row; a document without doc_id is packed like any other; a very long
+text is cut into as many pieces as it needs; columns other than doc_id and text
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import textkit
 from ebbtide.operators.ranking import global_rank
-from ebbtide.plans.scratch import materialize
 
 CAPACITY = 1024
 END_ID = 2
@@ -74,7 +76,7 @@ def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document, written."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +93,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str,
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return textkit.map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return textkit.map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", "pieces")
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -152,4 +154,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: where it comes from and where it lies in the packed sequences."""
-    return pack(materialize(tokenized_pieces(docs, vocabulary, ranks, pattern, capacity), "pieces"), capacity)
+    return pack(tokenized_pieces(docs, vocabulary, ranks, pattern, capacity), capacity)

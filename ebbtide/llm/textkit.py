@@ -9,14 +9,17 @@ their places in the word only, so equal words hash alike on every executor.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch of whole texts: a few megabytes instead of tens.
-BATCH_ROWS = 2_000
-_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+from ebbtide.plans.scratch import materialize
+
+#: Bounds of an Arrow batch of whole texts, in rows and bytes; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 SLICE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
@@ -25,12 +28,23 @@ _LONGEST = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def map_texts(rows: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` in small batches; a session that chose a batch size keeps it."""
-    conf = rows.sparkSession.conf
-    if conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
-        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
-    return rows.mapInArrow(function, schema)
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts reach Python in small Arrow batches within; a session that chose sizes of its own keeps them."""
+    unset = [key for key in _SETTINGS if spark.conf.get(key, None) is None]
+    for key in unset:
+        spark.conf.set(key, str(_SETTINGS[key]))
+    try:
+        yield
+    finally:
+        for key in unset:
+            spark.conf.unset(key)
+
+
+def map_texts(rows: DataFrame, function, schema, label: str) -> DataFrame:
+    """``mapInArrow`` over whole texts in small batches, written at once."""
+    with small_batches(rows.sparkSession):
+        return materialize(rows.mapInArrow(function, schema), label)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,6 +122,7 @@ def words(raw: np.ndarray, bounds: np.ndarray, separators: bytes = BLANKS) -> tu
     lengths = np.diff(np.append(starts, len(part)))
     place = np.arange(len(value)) - np.repeat(starts - starts[0], lengths)
     if lengths.max() >= _LONGEST:
+        value *= mix((place // _LONGEST).astype(np.uint64)) | np.uint64(1)
         place %= _LONGEST
     value *= _PLACES[place]
     return mix(np.add.reduceat(value, starts - starts[0])), np.searchsorted(starts, rel)
