@@ -16,6 +16,7 @@ from ebbtide.llm.lines import drop_repeated_lines
 from ebbtide.llm.membership import ROW, numbered, without
 from ebbtide.llm.minhash import near_duplicates
 from ebbtide.llm.packing import pack_documents, tokenizer_files
+from ebbtide.llm.textkit import small_batches
 from ebbtide.plans.scratch import materialize
 
 
@@ -73,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents, each written as Parquet and read again."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
-        rows = materialize(stage(spark, rows, sf_dir), f"stage{number}")
+        with small_batches(spark):
+            rows = materialize(stage(spark, rows, sf_dir), f"stage{number}")
     return rows
