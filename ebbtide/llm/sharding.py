@@ -10,8 +10,10 @@ Only counts per arc are planned, on ``shards * virtual_nodes`` numbers; rows
 then take the planned places by their rank along the ring.
 
 Nulls and edge cases: a null key has a ring place of its own; repeated keys and
-repeated rows are all placed; a null text has size 1 and CRC 0; an empty table
-gives no rows.
+repeated rows are all placed, and all written; rows at one ring place (equal
+keys) fill it in any order; a null or empty text has size 1 and CRC 0; texts of
+any length count with all their bytes; older columns named home_shard, shard or
+slot are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.llm.membership import ROW, numbered
 from ebbtide.operators.ranking import global_rank
 
 _MASK = (1 << 64) - 1
@@ -94,10 +97,11 @@ def shard_by_ring(df: DataFrame, key: str, shards: int, virtual_nodes: int = 64)
     are sorted along the ring once.
     """
     spark = df.sparkSession
+    df = df.drop("home_shard", "shard", "slot")
     nodes = ring(shards, virtual_nodes)
     owners = [s for _, s in nodes] + [nodes[0][1]]  # behind the last node the ring begins again
-    placed = df.withColumn("__at", F.xxhash64(F.col(key))).withColumn("__row", F.monotonically_increasing_id())
-    ranked = global_rank(placed, ["__at", "__row"], "__rank")
+    placed = df.withColumn("__at", F.xxhash64(F.col(key))).withColumn("__tie", F.monotonically_increasing_id())
+    ranked = global_rank(placed, ["__at", "__tie"], "__rank")
     cells = spark.createDataFrame(_cells([p for p, _ in nodes]), "__cell int, __low long, __high long, __arc int")
     cell = (F.shiftright("__at", 64 - _CELL_BITS) + (1 << (_CELL_BITS - 1))).cast("int")
     # both broadcast tables are bounded by the ring: cells and virtual nodes
@@ -133,8 +137,13 @@ def shard_documents(docs: DataFrame, shards: int, virtual_nodes: int = 64) -> Da
     return shard_by_ring(narrow, "doc_id", shards, virtual_nodes)
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write whole documents as one folder per shard, rows in slot order within each file."""
-    whole = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
+def write_shards(docs: DataFrame, shards: int, path: str, virtual_nodes: int = 64) -> None:
+    """Write every row of ``docs`` once, one folder per shard, rows in slot order within each file.
+
+    Rows carry a written key of their own, so null and repeated ids are kept apart.
+    """
+    rows = numbered(docs.drop("home_shard", "shard", "slot"))
+    placed = shard_by_ring(rows.select(ROW, "doc_id"), "doc_id", shards, virtual_nodes)
+    whole = rows.join(placed.select(ROW, "shard", "slot"), ROW).drop(ROW)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
