@@ -1,19 +1,27 @@
 """License scan: phrases, and an exact set-similarity join with notice templates.
 
-A text block is a line, or a run of words of a template's length that goes over
-line ends around a prefix token; so a notice wrapped over lines is found too.
-Tokens are ordered by their frequency over all
-documents, rarest first.  A block that holds the wanted share of a template's
-distinct tokens must hold one of the template's few rarest tokens (prefix
-filter), have enough tokens at all (length filter), and have enough tokens
-behind the shared one in both orders (positional filter); what passes is
-verified by the size of the intersection.
+A text block is a run of consecutive words, a quarter longer than a template:
+line ends, comment marks and a few words put in don't matter, so wrapped
+notices and whole license texts are found like one-line notices.  Tokens are
+ordered by their frequency over all documents, rarest first.  A block that
+holds the wanted share of a template's distinct tokens must hold one of the
+template's few rarest tokens (prefix filter), have enough of its tokens near by
+at all (length filter), and enough of those that are not rarer than the first
+shared one (positional filter); what passes is verified run by run.
+
+Texts are split into words once, in one scan that writes where the templates'
+tokens stand, in pieces of bounded length that overlap by the longest block.
+Frequencies, filters and verification work on these pieces.
 
 DataFrame functions only; the templates are a fixed parameter, so only their
 index is broadcast.
 
-Nulls and edge cases: a null text is empty, with no words and no labels; equal
-rows get equal results; an empty table gives no rows.
+Nulls and edge cases: a null text is empty, with no words and no labels; every
+row is a document of its own, so repeated rows and null ids each get their
+result; tokens of equal frequency are ordered by name, which changes no result;
+very long texts are cut into pieces, so no block is missed and no array is
+longer than a piece; columns other than doc_id and text are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,19 +36,63 @@ from ebbtide.plans.scratch import materialize
 # Fixed values of the contract.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
-#: (label, notice): one-line notices in common use.
+# Fixed values: (label, notice), public license notices and texts in common use.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+        "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+        "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "you may not use this file except in compliance with the License"),
+    (
+        "apache",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may "
+        "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express "
+        "or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along "
+        "with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+        "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies.",
+    ),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("cc", "Licensed under CC BY-NC 4.0"),
     ("cc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
 )
 THRESHOLD = 0.8
+#: A block is so many times as long as a template.
+STRETCH = 1.25
+#: A piece of a text is so many of the longest blocks.
+PIECE = 4
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,20 +103,24 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
 
 
-def length_of(notice: str) -> int:
-    """Words of a notice, repeated ones too."""
-    return len("".join(c if c.isalnum() else " " for c in notice.lower()).split())
+def _parts(notice: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in notice.lower()).split()
+
+
+def block_length(notice: str) -> int:
+    """Words in a block that is compared with a notice."""
+    return ceil(STRETCH * len(_parts(notice)))
 
 
 def tokens_of(notice: str) -> list[str]:
-    out = "".join(c if c.isalnum() else " " for c in notice.lower()).split()
-    return sorted(set(out))
+    """Distinct words of a notice, sorted."""
+    return sorted(set(_parts(notice)))
 
 
-def phrase_places(text: Column) -> Column:
+def _phrase_places(found: Column) -> Column:
     """array<struct<at, label>> of the places where a phrase's words stand one after another."""
 
-    def of(found: Column, label: str, phrase: str) -> Column:
+    def of(label: str, phrase: str) -> Column:
         parts = phrase.split()
         last = F.size(found) - len(parts)
 
@@ -77,127 +133,96 @@ def phrase_places(text: Column) -> Column:
         places = F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), here)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
 
-    # an array of one, so that the words are found once and not in every inner step
-    return F.flatten(F.transform(F.array(words(text)), lambda found: F.concat(*(of(found, label, phrase) for label, phrase in PHRASES.items()))))
+    return F.concat(*(of(label, phrase) for label, phrase in PHRASES.items()))
 
 
-def token_order(docs: DataFrame, tokens: list[str]) -> list[str]:
-    """The templates' tokens by their number of occurrences over all documents, rarest first.
+def _pieces(found: Column, tokens: list[str], length: int, overlap: int) -> Column:
+    """array<struct<piece, own, hits>>: where tokens stand in each piece and the words behind it, without empty ones.
 
-    Any fixed order gives the same pairs; this one makes the filters sharp.
+    The first ``own`` hits lie in the piece itself.
     """
-    held = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)), lambda w: w.isin(tokens))
-    counted = docs.select(F.explode(held).alias("token")).groupBy("token").count()
-    # one row per template token at most
-    seen = {r["token"]: r["count"] for r in counted.collect()}
-    return sorted(tokens, key=lambda t: (seen.get(t, 0), t))
 
+    def piece(n: Column) -> Column:
+        begin = n * length
+        part = F.slice(found, begin + 1, F.lit(length + overlap))
+        hits = F.filter(F.transform(part, lambda w, i: F.when(w.isin(tokens), F.struct((begin + i).alias("at"), w.alias("token")))), lambda h: h.isNotNull())
+        return F.struct(n.alias("piece"), hits.alias("hits"))
 
-def wrapped_words(text: Column, rare_word: str, longest: int) -> Column:
-    """Per line with a prefix token, its words and those of its neighbours that a run of ``longest`` words can reach.
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / length).cast("int")), piece)
+    return F.when(F.size(found) > 0, F.filter(cut, lambda p: F.size(p["hits"]) > 0))
 
-    The middle of a long line is left out: a run over a line end does not reach it.
-    """
-    gap = F.array_repeat(F.lit(""), longest)
 
-    def ends(w: Column) -> Column:
-        return F.when(F.size(w) > 2 * longest, F.concat(F.slice(w, 1, longest), gap, F.slice(w, -longest, longest))).otherwise(w)
+def scan_words(docs: DataFrame, tokens: list[str], length: int, overlap: int) -> DataFrame:
+    """(doc_id, row, n_words, places, pieces), written: one row per document with a key of its own."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    maybe = text.rlike("(?i)license")
 
-    def around(lines: Column, i: Column) -> Column:
-        before = F.flatten(F.transform(F.slice(lines, F.greatest(i - longest, F.lit(0)) + 1, F.least(i, F.lit(longest))), words))
-        after = F.flatten(F.transform(F.slice(lines, i + 2, F.lit(longest)), words))
-        last = F.slice(before, F.greatest(F.size(before) - longest, F.lit(0)) + 1, F.lit(longest))
-        own = F.transform(F.array(words(F.get(lines, i))), ends)
-        return F.concat(last, F.flatten(own), F.slice(after, 1, longest))
+    def of(found: Column) -> Column:
+        none = F.array().cast("array<struct<at:bigint,label:string>>")
+        return F.struct(
+            F.size(found).cast("long").alias("n_words"), F.when(maybe, _phrase_places(found)).otherwise(none).alias("places"), _pieces(found, tokens, length, overlap).alias("pieces")
+        )
 
-    def of(lines: Column) -> Column:
-        places = F.when(F.size(lines) > 1, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(F.filter(places, lambda i: F.get(lines, i).rlike(rare_word)), lambda i: F.struct(i.alias("line"), around(lines, i).alias("words")))
+    # an array of one, so that a text is split once
+    scanned = F.transform(F.array(words(text)), of)[0]
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), scanned.alias("scanned"))
+    return materialize(rows.select("doc_id", "row", "scanned.*"), "words")
 
-    # an array of one, so that the text is split once; lines without words count for nothing
-    return F.flatten(F.transform(F.array(F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))), of))
 
+def token_order(pieces: DataFrame, tokens: list[str], length: int) -> list[str]:
+    """The templates' tokens by their number of occurrences over all documents, rarest first.
 
-def template_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, version, line, template, label, containment) of every block that meets a template's threshold."""
-    spark = docs.sparkSession
-    sets = [(n, label, tokens_of(notice)) for n, (label, notice) in enumerate(templates)]
-    order = token_order(docs, sorted({t for _, _, s in sets for t in s}))
+    Any fixed order gives the same pairs; this one makes the filters sharp.
+    """
+    own = pieces.select("piece", F.explode("hits").alias("hit")).filter(F.col("hit.at") < (F.col("piece") + 1) * length)
+    # one row per template token at most
+    seen = {r["token"]: r["count"] for r in own.groupBy(F.col("hit.token").alias("token")).count().collect()}
+    return sorted(tokens, key=lambda t: (seen.get(t, 0), t))
+
+
+def template_blocks(pieces: DataFrame, order: list[str], length: int, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(row, piece, template, label, containment): the best block of each piece that meets a template's threshold."""
+    spark = pieces.sparkSession
     rank = {t: k for k, t in enumerate(order)}
-    index, rows, rare = [], [], set()
-    for n, label, tokens in sets:
-        ids = sorted(rank[t] for t in tokens)
-        need = ceil(threshold * len(ids))
-        prefix = ids[: len(ids) - need + 1]
-        rare |= set(prefix)
-        index += [(k, n, p, len(ids) - 1 - p, need) for p, k in enumerate(prefix)]
-        rows.append((n, label, ids, length_of(templates[n][1])))
-    by_token = spark.createDataFrame(index, "token int, template int, place int, behind int, need int")
-    by_template = spark.createDataFrame(rows, "template int, label string, ids array<int>, length int")
-    edge = WORD[:-1]
-    rare_word = rf"(?<!{edge})(?i:{'|'.join(order[k] for k in sorted(rare))})(?!{edge})"
-    number = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
-    blocks = (
-        docs.filter(F.col("text").rlike(rare_word))
-        .select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
-        .filter(F.col("block").rlike(rare_word))
-        .select("doc_id", "version", "line", F.array_sort(F.array_distinct(F.array_compact(F.transform(words(F.col("block")), lambda w: F.try_element_at(number, w))))).alias("tokens"))
+    index, rows = [], []
+    for n, (label, notice) in enumerate(templates):
+        tokens = sorted(tokens_of(notice), key=rank.get)
+        need = ceil(threshold * len(tokens))
+        index += [(token, n, p) for p, token in enumerate(tokens[: len(tokens) - need + 1])]
+        rows.append((n, label, tokens, need, block_length(notice)))
+    by_token = spark.createDataFrame(index, "token string, template int, place int")
+    by_template = spark.createDataFrame(rows, "template int, label string, tokens array<string>, need int, length int")
+    rare = F.array(*(F.lit(t) for t in sorted({token for token, _, _ in index})))
+    probes = pieces.withColumn("seen", F.array_distinct("hits.token")).filter(F.arrays_overlap("seen", rare))
+    # both tables are the fixed templates; the first place is that of the rarest shared token
+    pairs = (
+        probes.select("row", "piece", F.explode("seen").alias("token")).join(F.broadcast(by_token), "token")
+        .groupBy("row", "piece", "template").agg(F.min("place").alias("place")).join(F.broadcast(by_template), "template")
     )
-    least = min(row[4] for row in index)
-    probes = blocks.filter(F.size("tokens") >= least).select("*", F.posexplode("tokens").alias("at", "token"))
-    passing = (F.size("tokens") >= F.col("need")) & (1 + F.least(F.col("behind"), F.size("tokens") - 1 - F.col("at")) >= F.col("need"))
-    # both tables are the fixed templates
-    pairs = probes.join(F.broadcast(by_token), "token").filter(passing).select("doc_id", "version", "line", "tokens", "template", "need").distinct()
-    common = F.size(F.array_intersect("tokens", "ids"))
-    whole = (
-        pairs.join(F.broadcast(by_template), "template")
-        .filter(common >= F.col("need"))
-        .select("doc_id", "version", "line", "template", "label", (common / F.size("ids")).alias("containment"))
+    shared = F.filter("hits", lambda h: F.array_contains("tokens", h["token"]))
+    kept = F.array_intersect("seen", F.slice("tokens", F.col("place") + 1, F.size("tokens")))
+    near = pairs.join(probes.select("row", "piece", "seen", "hits"), ["row", "piece"]).filter(F.size(kept) >= F.col("need")).withColumn("shared", shared)
+    # a block of n words holds at most n hits from its first one on
+    block = "filter(slice(shared, i + 1, length), b -> b.at < a.at + length)"
+    most = F.expr(f"array_max(transform(shared, (a, i) -> if(a.at < (piece + 1) * {length}, size(array_distinct(transform({block}, b -> b.token))), 0)))")
+    return (
+        near.withColumn("most", most).filter("most >= need")
+        .select("row", "piece", "template", "label", (F.col("most") / F.size("tokens")).alias("containment"))
     )
-    found = F.filter(F.transform(F.col("near.words"), lambda w, i: F.struct(i.alias("at"), F.try_element_at(number, w).alias("token"))), lambda h: h["token"].isNotNull())
-    wrapped = (
-        docs.filter(F.col("text").rlike(rare_word))
-        .select("doc_id", F.xxhash64("text").alias("version"), F.explode(wrapped_words(F.col("text"), rare_word, max(row[3] for row in rows))).alias("near"))
-        .select("doc_id", "version", F.col("near.line").cast("int").alias("line"), found.alias("hits"))
-        .withColumn("tokens", F.array_sort(F.array_distinct("hits.token")))
-    )
-    # the same filters, then runs of the template's length from each of its tokens
-    probes = wrapped.filter(F.size("tokens") >= least).select("*", F.posexplode("tokens").alias("at", "token"))
-    pairs = probes.join(F.broadcast(by_token), "token").filter(passing).select("doc_id", "version", "line", "hits", "tokens", "template", "need").distinct()
-    own = F.filter("hits", lambda h: F.array_contains("ids", h["token"]))
-    runs = F.expr("array_max(transform(own, a -> size(array_distinct(transform(filter(own, b -> b.at >= a.at and b.at < a.at + length), b -> b.token)))))")
-    over = (
-        pairs.join(F.broadcast(by_template), "template")
-        .filter(common >= F.col("need"))
-        .withColumn("own", own)
-        .withColumn("most", runs)
-        .filter("most >= need")
-        .select("doc_id", "version", "line", "template", "label", (F.col("most") / F.size("ids")).alias("containment"))
-    )
-    return whole.unionByName(over)
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    whole = docs.select("doc_id", text.alias("text"))
-    none = F.array().cast("array<struct<at:bigint,label:string>>")
-    places = F.when(F.col("text").rlike("(?i)license"), phrase_places(F.col("text"))).otherwise(none)
-    scanned = materialize(
-        whole.select(
-            "doc_id",
-            F.xxhash64("text").alias("version"),
-            F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"),
-            places.alias("places"),
-        ),
-        "words",
-    )
-    blocks = template_blocks(whole).groupBy("doc_id", "version").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    s, b = scanned.alias("s"), blocks.alias("b")
-    joined = s.join(b, F.expr("s.doc_id <=> b.doc_id and s.version = b.version"), "left").select("s.*", "b.more", "b.best")
+    overlap = max(block_length(notice) for _, notice in templates)
+    length = PIECE * overlap
+    tokens = sorted({t for _, notice in templates for t in tokens_of(notice)})
+    scanned = scan_words(docs, tokens, length, overlap)
+    pieces = scanned.select("row", F.explode("pieces").alias("p")).select("row", "p.*")
+    blocks = template_blocks(pieces, token_order(pieces, tokens, length), length, templates)
+    found = blocks.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     base = F.array_sort(F.array_distinct(F.col("places.label")))
     every = F.array_sort(F.array_union(base, F.coalesce("more", F.array().cast("array<string>"))))
-    return joined.select(
+    return scanned.select("doc_id", "row", "n_words", "places").join(found, "row", "left").select(
         "doc_id",
         "n_words",
         F.size("places").cast("long").alias("n_base"),
