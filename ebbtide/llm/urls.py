@@ -1,18 +1,23 @@
 """URL filter: host and path rules, then gradient-boosted trees on lexical features.
 
 Where a rule fits, the longest one decides.  Other URLs are judged by boosted
-trees trained on labelled URLs.  A URL that a rule decides is labelled by it;
-others are labelled by a lexicon of words that spam hosts are made of.  The
-trees see no name, only lengths, depth, digit and dash ratios, character
-entropy, parameter counts, and statistics of the host's suffix and first word
-over all labelled URLs, so that they also judge names that the lexicon lacks.
+trees trained on labelled URLs that no rule decides: a rule is a policy about
+names, of which lexical features say nothing (trained on rules' verdicts too,
+the trees blocked 2 to 3 % of clean URLs here).  The labels come from a lexicon
+of words that spam hosts are made of; the rest counts as allowed.
+The trees see no name and no label of their own host:
+only lengths, depth, digit ratio, dashes, character entropy, parameter counts
+and the share of blocked URLs of the host's suffix, taken over the
+hosts of the other folds.  So they also judge names that the lexicon lacks.
 
 DataFrame functions and the JVM's tree learner only.  The learner is fitted on
-at most ``SAMPLE`` labelled URLs, taken by their hash.
+one labelled URL of each of about ``SAMPLE`` hosts at most, taken by hash.
 
 Nulls and edge cases: a URL that is null or has no ``://`` has an empty host
 and path and fits no rule; without labelled URLs of both kinds all other URLs
-are allowed; repeated rows get equal results; an empty table gives no rows.
+are allowed; of rules of equal length the one listed later decides; a very long
+URL counts whole; repeated rows and rows without page_id each get their result;
+columns other than page_id and url are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +35,19 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 #: Whole words of a host name, as parted by dots and dashes, that label a URL as spam.
 SPAM_WORDS = ("adult", "bet", "bets", "casino", "cheap", "crack", "loan", "loans", "pills", "poker", "porn", "replica", "spam", "viagra", "win")
+#: Hosts that the learner is fitted on, one URL of each, so that a host of many URLs weighs no more than others.
 SAMPLE = 20_000
 TREES, DEPTH = 20, 4
+#: Least number and share of the learnt hosts in a leaf, so that no leaf knows a single host by its length.
+LEAF, LEAF_SHARE = 3, 0.001
+#: Hosts are dealt to so many folds; a suffix's share of blocked URLs leaves the own fold out.
+FOLDS = 5
+#: Suffix statistics of at most this many rows are broadcast.
+BROADCAST_SUFFIXES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FEATURES = (
-    "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "dash_ratio", "entropy", "parameters", "has_fragment", "is_plain",
-    "suffix_share", "suffix_blocked", "word_blocked",
+    "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "dashes", "entropy", "parameters", "has_fragment", "is_plain",
+    "suffix_share", "suffix_blocked",
 )
 
 
@@ -75,7 +87,7 @@ def _share(text: Column, pattern: str) -> Column:
 
 
 def lexical(pages: DataFrame) -> DataFrame:
-    """Add the features that a URL has by itself, its suffix and its first host word."""
+    """Add the features that a URL has by itself, its suffix and its host's fold."""
     url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
     return pages.withColumns(
         {
@@ -85,44 +97,67 @@ def lexical(pages: DataFrame) -> DataFrame:
             "depth": F.regexp_count(path, F.lit("/[^/]")).cast("double"),
             "labels": F.size(F.split(host, r"\.")).cast("double"),
             "digit_ratio": _share(url, "[0-9]"),
-            "dash_ratio": _share(host, "-"),
+            "dashes": F.regexp_count(host, F.lit("-")).cast("double"),
             "entropy": entropy(url),
             "parameters": F.regexp_count(url, F.lit("[?&][^=&#]+=")).cast("double"),
             "has_fragment": url.contains("#").cast("double"),
             "is_plain": url.startswith("http://").cast("double"),
             "__suffix": F.substring_index(host, ".", -1),
-            "__word": F.element_at(F.split(F.regexp_replace(host, r"^(www|m|blog)\.", ""), r"[.]"), 1),
+            "__fold": F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"),
         }
     )
 
 
-def _blocked_share(labelled: DataFrame, key: str, prior: float, name: str) -> DataFrame:
-    """Smoothed share of blocked URLs per value of ``key``."""
-    return labelled.groupBy(key).agg(((F.sum("label") + 2 * prior) / (F.count(F.lit(1)) + 2)).alias(name), F.count(F.lit(1)).alias(f"{name}_n"))
+def suffix_statistics(labelled: DataFrame, total: int, prior: float) -> DataFrame:
+    """(suffix, fold, suffix_share, suffix_blocked), written: a suffix's share of all URLs, and of blocked URLs among its hosts in the other folds."""
+    within = labelled.groupBy("__suffix", "__fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))
+    whole = within.groupBy("__suffix").agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"))
+    rest = (F.col("all_blocked") - F.col("blocked") + 2 * prior) / (F.col("all_n") - F.col("n") + 2)
+    return materialize(within.join(whole, "__suffix").select("__suffix", "__fold", (F.col("all_n") / total).alias("suffix_share"), rest.alias("suffix_blocked")), "suffixes")
 
 
-def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and the learner's probability of block, one row per page."""
+def labelled_urls(pages: DataFrame, rules=RULES, spam_words=SPAM_WORDS) -> DataFrame:
+    """Host, path, rule, its verdict, lexical features and label of every page, written."""
     base = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    spam = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, SPAM_WORDS)))
-    ruled = materialize(lexical(base).withColumns({"rule": rule, "ruled": verdict, "label": F.when(verdict == "block", 1.0).when(verdict == "allow", 0.0).otherwise(spam.cast("double"))}), "urls")
-    labelled = ruled.filter("host <> ''")
+    label = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, spam_words))).cast("double")
+    return materialize(lexical(base).withColumns({"rule": rule, "ruled": verdict, "label": label}), "urls")
+
+
+def block_probability(ruled: DataFrame, taught: Column | None = None) -> DataFrame | None:
+    """``ruled`` with the learner's probability of block; None without labelled URLs of both kinds.
+
+    Learnt from are the URLs that no rule decides, of which ``taught`` may leave some out; all rows are judged.
+    """
+    usable = (F.col("host") != "") & F.col("rule").isNull()
+    usable = usable if taught is None else usable & taught
+    labelled = ruled.filter(usable)
     total, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    columns = ["page_id", "host", "path", "rule"]
     if not 0 < blocked < total:
-        return ruled.select(*columns, F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("block_probability"))
+        return None
     prior = blocked / total
-    suffixes = _blocked_share(labelled, "__suffix", prior, "suffix_blocked")
-    names = _blocked_share(labelled, "__word", prior, "word_blocked")
-    known = ruled.join(suffixes, "__suffix", "left").join(names, "__word", "left").fillna(prior, ["suffix_blocked", "word_blocked"])
-    known = known.withColumn("suffix_share", F.coalesce(F.col("suffix_blocked_n") / total, F.lit(0.0)))
-    ready = VectorAssembler(inputCols=list(_FEATURES), outputCol="__features").transform(known)
-    # a bounded sample by hash of the page: about SAMPLE rows, in one small partition
-    sample = ready.filter("host <> ''").filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / total)) + 1)
-    learner = GBTClassifier(featuresCol="__features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7, predictionCol="__prediction")
-    learner = learner.setRawPredictionCol("__raw").setProbabilityCol("__probability")
-    model = learner.fit(materialize(sample.select("__features", "label").coalesce(1), "sample"))
-    judged = model.transform(ready).withColumn("block_probability", vector_to_array("__probability")[1])
+    vectors = VectorAssembler(inputCols=list(_FEATURES), outputCol="__features")
+    suffixes = suffix_statistics(labelled, total, prior)
+    few = suffixes.count() <= BROADCAST_SUFFIXES
+    known = ruled.join(F.broadcast(suffixes) if few else suffixes, ["__suffix", "__fold"], "left").fillna({"suffix_blocked": prior, "suffix_share": 0.0})
+    # by hash of the host, about SAMPLE hosts are left, which one small partition holds in a fixed order
+    labelled = known.filter(usable)
+    hosts = labelled.agg(F.approx_count_distinct("host")).first()[0]
+    drawn = labelled.filter(F.pmod(F.xxhash64("host", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / hosts)) + 1)
+    one = F.min(F.struct(F.xxhash64("page_id", "url").alias("drawn"), "url", "label", *_FEATURES)).alias("one")
+    sample = drawn.groupBy("host").agg(one).select("host", "one.*").repartition(1).sortWithinPartitions("host")
+    sample = materialize(vectors.transform(sample).select("__features", "label"), "sample")
+    learner = GBTClassifier(featuresCol="__features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, minInstancesPerNode=max(LEAF, int(LEAF_SHARE * sample.count())), seed=7, predictionCol="__prediction")
+    model = learner.setRawPredictionCol("__raw").setProbabilityCol("__probability").fit(sample)
+    return model.transform(vectors.transform(known)).withColumn("block_probability", vector_to_array("__probability")[1])
+
+
+def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict and the learner's probability of block, one row per page."""
+    ruled = labelled_urls(pages, rules)
+    judged = block_probability(ruled)
+    columns = ["page_id", "host", "path", "rule"]
+    if judged is None:
+        return ruled.select(*columns, F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("block_probability"))
     learnt = F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")
     return judged.select(*columns, F.coalesce("ruled", learnt).alias("verdict"), "block_probability")
