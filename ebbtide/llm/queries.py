@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ebbtide.llm.decontamination import contaminated
+from ebbtide.llm.embeddings import THRESHOLD as EMBEDDING_THRESHOLD
 from ebbtide.llm.embeddings import embedding_links
 from ebbtide.llm.language import held_out, identify
-from ebbtide.llm.licenses import TEMPLATES, THRESHOLD, scan_licenses, tokens_of
+from ebbtide.llm.licenses import TEMPLATES, THRESHOLD, block_length, scan_licenses, tokens_of
 from ebbtide.llm.lines import drop_repeated_lines
 from ebbtide.llm.minhash import near_duplicates
 from ebbtide.llm.packing import pack_documents, tokenizer_files
-from ebbtide.llm.secrets import scan_secrets
+from ebbtide.llm.secrets import BASE, COMPLEMENTS, KINDS, SCOPE, scan_secrets
 from ebbtide.llm.sharding import shard_documents
+from ebbtide.llm.textkit import small_batches
 from ebbtide.llm.urls import judge_urls
+from ebbtide.plans.scratch import materialize
 
 SHARDS = 16
 
@@ -79,7 +82,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = identify(docs).withColumn("held_out", held_out())
-    return judged.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    with small_batches(spark):
+        return materialize(judged.select("doc_id", "held_out", "lang_pred", "score", "rejected"), "languages")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +115,44 @@ _SHINGLES = r"""
         SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
         FROM {name}_words WHERE len(w) > 0)
 """
-_NOTICES = ", ".join(f"({n}, '{label}', {tokens_of(notice)!r})" for n, (label, notice) in enumerate(TEMPLATES))
+_NOTICES = ", ".join(f"({n}, '{label}', {block_length(notice)}, {tokens_of(notice)!r})" for n, (label, notice) in enumerate(TEMPLATES))
+
+
+
+def _secrets_sql() -> str:
+    """All spans as rows, a kind at a time; a match starts behind all gaps and matches before it."""
+    kinds = []
+    for n, k in enumerate(KINDS):
+        pattern = k.pattern.replace("'", "''")
+        kinds.append(
+            f"SELECT row, {n} AS number, '{k.name}' AS kind, '{k.role}' AS role, {str(k.strong).lower()} AS strong, {k.least} AS least, {k.most} AS most, "
+            f"list_transform(string_split_regex(text, '{pattern}'), lambda x: length(x)) AS gaps, "
+            f"list_transform(regexp_extract_all(text, '{pattern}', 0), lambda x: length(x)) AS hits, "
+            f"list_transform(regexp_extract_all(text, '{pattern}', {k.value}), lambda x: length(x)) AS sizes FROM d WHERE regexp_matches(text, '{pattern}')"
+        )
+    roles = ", ".join(f"('{role}', '{other}')" for role, others in COMPLEMENTS.items() for other in others)
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    m AS ({" UNION ALL ".join(kinds)}),
+    u AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+    s AS (SELECT row, number, kind, role, strong, (list_sum(gaps[1:i]) + coalesce(list_sum(hits[1:i - 1]), 0))::BIGINT AS pos, hits[i] AS long
+        FROM u WHERE sizes[i] BETWEEN least AND most),
+    p AS (SELECT *, count(CASE WHEN kind = 'section' THEN 1 END) OVER (PARTITION BY row ORDER BY pos) AS section,
+        kind || ':' || pos || ':' || (pos + long) AS span FROM s),
+    c(role, other) AS (VALUES {roles}),
+    near AS (SELECT a.row, a.number, a.pos, a.span, arg_min(b.span, (abs(a.pos - b.pos), b.pos, b.kind, b.long)) AS partner
+        FROM p a JOIN c ON c.role = a.role JOIN p b ON b.row = a.row AND b.role = c.other AND b.section = a.section AND abs(a.pos - b.pos) <= {SCOPE}
+        WHERE NOT a.strong AND a.kind <> 'section' AND b.kind <> 'section' GROUP BY ALL),
+    f AS (SELECT p.row, p.number, p.kind, p.pos, p.span, p.span || '>' || partner AS link FROM p LEFT JOIN near USING (row, number, pos)
+        WHERE p.kind <> 'section' AND (p.strong OR partner IS NOT NULL)),
+    g AS (SELECT row, count(CASE WHEN kind = 'assign' THEN 1 END) AS n_assign, count(CASE WHEN kind = 'access' THEN 1 END) AS n_access, count(CASE WHEN kind = 'hex' THEN 1 END) AS n_hex,
+        string_agg(CASE WHEN number < {len(BASE)} THEN span END, ',' ORDER BY pos, number) AS base, string_agg(span, ',' ORDER BY pos, number) AS spans,
+        string_agg(link, ',' ORDER BY pos, number) AS links FROM f GROUP BY row)
+    SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(links, '') AS links
+    FROM d LEFT JOIN g USING (row)
+    """
+
 
 _ORACLES = {
     "op4_licenses": r"""
@@ -123,16 +164,43 @@ _ORACLES = {
         list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl FROM w),
     b AS (SELECT *, list_concat(mit, apache, gpl) AS places,
         list_concat(CASE WHEN len(apache) > 0 THEN ['apache'] ELSE [] END, CASE WHEN len(gpl) > 0 THEN ['gpl'] ELSE [] END, CASE WHEN len(mit) > 0 THEN ['mit'] ELSE [] END) AS base FROM p),
-    x AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS tokens FROM d),
-    n(template, label, ids) AS (VALUES {notices}),
-    h AS (SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(tokens, ids)) / len(ids)) AS best
-        FROM x, n WHERE len(list_intersect(tokens, ids)) >= ceil({threshold} * len(ids)) GROUP BY doc_id)
+    n(template, label, length, ids) AS (VALUES {notices}),
+    nt AS (SELECT template, length, unnest(ids) AS token FROM n),
+    i AS (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM w),
+    x AS (SELECT doc_id, pos, w[pos + 1] AS token FROM i),
+    y AS (SELECT doc_id, template, length, pos, token FROM x JOIN nt USING (token)),
+    z AS (SELECT doc_id, template FROM y JOIN n USING (template) GROUP BY doc_id, template, ids HAVING count(DISTINCT token) >= ceil({threshold} * len(ids))),
+    r AS (SELECT y.* FROM y SEMI JOIN z ON z.doc_id = y.doc_id AND z.template = y.template),
+    o AS (SELECT a.doc_id, a.template, a.pos, count(DISTINCT b.token) AS n FROM r a JOIN r b
+        ON a.doc_id = b.doc_id AND a.template = b.template AND b.pos >= a.pos AND b.pos < a.pos + a.length GROUP BY a.doc_id, a.template, a.pos),
+    h AS (SELECT doc_id, list(DISTINCT label) AS more, max(o.n / len(ids)) AS best FROM o JOIN n USING (template) WHERE o.n >= ceil({threshold} * len(ids)) GROUP BY doc_id)
     SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
         array_to_string(base, ',') AS base_labels,
         array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
         greatest(coalesce(best, 0), CASE WHEN len(places) > 0 THEN 1 ELSE 0 END)::DOUBLE AS score
     FROM b LEFT JOIN h USING (doc_id)
     """.format(notices=_NOTICES, threshold=THRESHOLD),
+    "op1_embeddings": """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {threshold}),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+    many AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+    FROM embeddings LEFT JOIN many ON many.a = vec_id LEFT JOIN least ON least.a = vec_id
+    """.format(threshold=EMBEDDING_THRESHOLD),
+    "op5_secrets": _secrets_sql(),
+    "op10_minhash": "WITH RECURSIVE " + _SHINGLES.format(name="d", key="doc_id", table="documents")
+    + """, sizes AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+    same AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM d x JOIN d y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+    links AS (SELECT a, b FROM same JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * same.n >= 75 * (p.n + q.n - same.n)),
+    reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.a = doc_id
+    """,
     "op8_line_dedup": r"""
     WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
     l AS (SELECT doc_id, lines, unnest(range(0, len(lines) + 1)) AS pos FROM d WHERE text IS NOT NULL),
