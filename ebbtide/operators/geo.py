@@ -69,8 +69,8 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, columns: list[str],
         todo = todo.join(settled, key, "left_anti")
         size *= 2
         if todo.isEmpty():
-            break
-    return found.select(key, "__best.*")
+            return found.select(key, "__best.*")
+    raise ValueError(f"points further than {size / 2:.0f} m from every target; are all coordinates in one projection?")
 
 
 def nearest_campus(points: DataFrame, key: str, campuses: DataFrame, least: int = config.MAJOR_MIN_STUDENTS) -> DataFrame:
@@ -112,8 +112,12 @@ def assign_towns(points: DataFrame, key: str, town_edges: DataFrame, snap: float
     first town, one outside all to a town within ``snap`` metres.
     """
     placed = located(points).filter("x is not null").select(key, "x", "y")
-    # the edges of the study's towns: a bounded dimension
-    pairs = placed.crossJoin(F.broadcast(town_edges))
+    # only towns whose bounding box is near enough to count meet a point; the edges are joined by town
+    reach = max(snap, neighbour)
+    boxes = town_edges.groupBy("town").agg(*((F.min if side < 0 else F.max)(c).alias(f"{c}_{'lo' if side < 0 else 'hi'}") for c in ("x1", "y1") for side in (-1, 1)))
+    few = boxes.count() <= BROADCAST_POINTS
+    near_box = F.col("x").between(F.col("x1_lo") - reach, F.col("x1_hi") + reach) & F.col("y").between(F.col("y1_lo") - reach, F.col("y1_hi") + reach)
+    pairs = placed.join(F.broadcast(boxes) if few else boxes, near_box).select(key, "x", "y", "town").join(town_edges, "town")
     crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * F.try_divide(F.col("y") - F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
     towns = pairs.groupBy(key, "town").agg((F.count_if(crosses) % 2 == 1).alias("odd"), F.min(segment_distance()).alias("edge_m")).withColumn("inside", F.col("odd") | (F.col("edge_m") == 0))
     own = towns.filter(F.col("inside") | (F.col("edge_m") <= snap)).groupBy(key).agg(F.min_by("town", F.struct(~F.col("inside"), F.when(F.col("inside"), 0.0).otherwise(F.col("edge_m")), F.col("town"))).alias("municipality"))

@@ -1,9 +1,8 @@
 """Block bootstraps on pre-aggregated cells.
 
 A draw is a table of multiplicities, how often a block is taken; rows are never
-resampled.  A seed draws with replacement by a mixing hash, which any engine can
-repeat.  ``seed`` None takes the arithmetic draws of the SQL twins; in runs of
-one they take every block once, so they resample nothing.
+resampled.  Blocks are drawn with replacement by a hash of seed, draw and pick,
+which any engine can repeat.
 """
 
 from __future__ import annotations
@@ -13,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def draw_blocks(spark: SparkSession, draws: int, blocks: int, run: int = 1, seed: int | None = None) -> DataFrame:
+def draw_blocks(spark: SparkSession, draws: int, blocks: int, run: int = 1, seed: int = 1) -> DataFrame:
     """(draw, block, times): blocks taken with replacement, in runs of ``run`` consecutive ones."""
     picks = spark.range(draws).select(F.col("id").cast("int").alias("draw")).crossJoin(spark.range(-(-blocks // run)).select(F.col("id").cast("int").alias("i")))
     digits = F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("draw"), F.col("i"))), 1, 15)  # 60 bits
-    start = (F.col("draw").cast("long") * 7919 + F.col("i").cast("long") * 104729) % blocks if seed is None else F.conv(digits, 16, 10).cast("long") % blocks
+    start = F.conv(digits, 16, 10).cast("long") % blocks
     runs = picks.select("draw", start.cast("int").alias("s"), "i").select("draw", F.explode(F.sequence(F.lit(0), F.least(F.lit(run - 1), F.lit(blocks - 1) - F.col("i") * run))).alias("o"), "s")
     return runs.groupBy("draw", F.pmod(F.col("s") + F.col("o"), F.lit(blocks)).cast("int").alias("block")).agg(F.count(F.lit(1)).alias("times"))
 
