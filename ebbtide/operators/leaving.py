@@ -55,6 +55,19 @@ def read_off(weeks: DataFrame, slope: str, k: float, factor: float, year: str) -
     return weeks.withColumn("read_off", deviation + F.avg("share_away").over(group))
 
 
+def input_set_errors(slopes: DataFrame, inputs: DataFrame, k: dict[str, float], day: str = "day") -> DataFrame:
+    """RMSE by year, set of inputs and day of slopes predicted as k times the share away, both as deviations from the year's mean.
+
+    ``slopes`` has week_start, ``day`` and slope; ``inputs`` has week_start, inputs and share.
+    """
+    rows = slopes.join(inputs, "week_start").withColumn("year", F.year("week_start"))
+    keys = ["year", "inputs", day]
+    size = F.element_at(F.create_map(*(x for name, v in k.items() for x in (F.lit(name), F.lit(float(v))))), F.col(day))
+    x, n = F.col("slope") - size * F.col("share"), F.count(F.lit(1))
+    # a deviation from a mean of a difference is the difference of deviations
+    return rows.groupBy(*keys).agg(F.sqrt(F.greatest(F.avg(x * x) - F.avg(x) * F.avg(x), F.lit(0.0))).alias("rmse"), n.alias("weeks"))
+
+
 def draws_divided(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """Quotient of two independent sets of draws, draw by draw."""
     return a.join(b.select("draw", F.col(value).alias("__by")), "draw").withColumn(value, F.try_divide(value, "__by")).drop("__by")

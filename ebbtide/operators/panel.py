@@ -17,13 +17,19 @@ MAX_ROUNDS = 50
 
 
 def demean(df: DataFrame, columns: list[str], groupings: list[list[str]], tolerance: float = 1e-10) -> DataFrame:
-    """Remove the means of several groupings by alternating projections."""
-    now = df
+    """Remove the means of several groupings by alternating projections.
+
+    Means are aggregated before they are shuffled and written, so that the rows
+    of a large group can be split where they meet them.
+    """
+    now = materialize(df, "panel")
     for _ in range(MAX_ROUNDS):
         stepped = now.withColumns({f"__was_{c}": F.col(c).cast("double") for c in columns})
         for keys in groupings:
-            group = W.partitionBy(*keys)
-            stepped = stepped.withColumns({c: F.col(c) - F.avg(c).over(group) for c in columns})
+            means = stepped.groupBy(*(F.col(k).alias(f"__g{n}") for n, k in enumerate(keys))).agg(*(F.avg(c).alias(f"__m_{c}") for c in columns))
+            same = [F.col(k).eqNullSafe(F.col(f"__g{n}")) for n, k in enumerate(keys)]
+            joined = stepped.join(materialize(means, "means"), same)
+            stepped = joined.select(*((F.col(c) - F.col(f"__m_{c}")).alias(c) if c in columns else c for c in stepped.columns))
         stepped = materialize(stepped, "demeaned")
         largest = stepped.agg(F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"__was_{c}")) for c in columns), F.lit(0.0)))).first()[0]
         now = stepped.drop(*(f"__was_{c}" for c in columns))
@@ -88,6 +94,12 @@ def newey_west_covariance(df: DataFrame, x: list[str], y: str, beta: np.ndarray,
     return _sandwich(df, x, y, beta, meat)
 
 
+def combination(beta: np.ndarray, covariance: np.ndarray, weights: dict[str, float], x: list[str]) -> tuple[float, float]:
+    """A weighted sum of coefficients and its standard error; columns without a weight count 0."""
+    w = np.array([weights.get(c, 0.0) for c in x])
+    return float(w @ beta), float(np.sqrt(max(w @ covariance @ w, 0.0)))
+
+
 def fixed_effects(df: DataFrame, x: list[str], y: str, groupings: list[list[str]], cluster: str) -> dict:
     """Coefficients, clustered errors and within R2 after removing group means."""
     rows = materialize(demean(df, [y, *x], groupings), "panel")

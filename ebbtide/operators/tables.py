@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,9 @@ from ebbtide.operators.windows import deviations
 from ebbtide.sources.files import write_months
 
 
-def write_trip_months(raw: DataFrame, folder: str) -> None:
-    """One job over all months: station-days, stations and cleaning report, each written by month."""
-    trips = events.standardize(raw)
+def write_trip_months(layouts: list[DataFrame], folder: str) -> None:
+    """One job over the months of all layouts: station-days and cleaning report, each written by month."""
+    trips = reduce(DataFrame.unionByName, map(events.standardize, layouts))
     kept = events.clean(trips).withColumn("month", F.date_format("started_at", "yyyyMM"))
     write_months(events.station_day(kept).withColumn("month", F.date_format("date", "yyyyMM")), f"{folder}/station_day")
     write_months(events.cleaning_report(trips).filter("month is not null"), f"{folder}/report")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ebbtide.operators.timeline import break_kind
+from ebbtide.operators import presence
+from ebbtide.operators.timeline import break_kind, fall_year
 
 
 def weekly_inputs(weeks: DataFrame) -> DataFrame:
@@ -70,3 +71,44 @@ def fullest_break(shares: DataFrame, unit: str, by: list[str]) -> DataFrame:
     common = votes.groupBy(*by).agg(F.max_by("peak", F.struct("votes", -F.unix_date("peak"))).alias("common"))
     placed = peaks.select(unit, *by, F.col("p.week_start").alias("peak"), F.col("p.__run").alias("__run")).join(common, by)
     return runs.join(placed, [unit, *by, "__run"]).select(unit, *by, "week_start", "breaks", "peak", F.date_add("week_start", F.datediff("common", "peak")).alias("moved_to"))
+
+
+def align_breaks(per_inst: DataFrame, first_month: int = 2, last_month: int = 4) -> DataFrame:
+    """Every institution's run of spring break weeks moved to the commonest break week of the year."""
+    thursday = F.month(F.date_add("week_start", 3))
+    breaks = F.round(1 - F.col("session_share") - F.col("summer_share"), 6)  # less is rounding
+    spring = per_inst.filter(thursday.between(first_month, last_month)).select(
+        "week_start", "unitid", fall_year(F.col("week_start")).alias("__fy"), breaks.alias("breaks"), F.col("in_person").cast("double").alias("weight")
+    )
+    moved = fullest_break(spring, "unitid", ["__fy"])
+    change = moved.select("unitid", "week_start", F.col("breaks").alias("by")).unionByName(moved.select("unitid", F.col("moved_to").alias("week_start"), (-F.col("breaks")).alias("by")))
+    shift = change.groupBy("unitid", "week_start").agg(F.sum("by").alias("__by"))
+    share = F.least(F.greatest(F.col("session_share") + F.coalesce("__by", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return per_inst.join(shift, ["unitid", "week_start"], "left").withColumn("session_share", share).drop("__by")
+
+
+def remote_fall(per_inst: DataFrame, remote: DataFrame, year: int, first_month: int = 8, last_month: int = 12) -> DataFrame:
+    """The institutions in ``remote`` (unitid) out of session in the fall of ``year``."""
+    fall = (fall_year(F.col("week_start")) == year) & F.month(F.date_add("week_start", 3)).between(first_month, last_month)
+    known = per_inst.join(remote.select("unitid", F.lit(True).alias("__remote")), "unitid", "left")
+    return known.withColumn("session_share", F.when(F.col("__remote") & fall, 0.0).otherwise(F.col("session_share"))).drop("__remote")
+
+
+def population(per_inst: DataFrame, arrangements: DataFrame, halls: DataFrame, shares: tuple[float, float], census: float, change: float = 0.0) -> DataFrame:
+    """week_start, students_away and population, by the same steps as the published estimate.
+
+    Students count where they live in term, so the census figure moves with
+    ``change``, the share by which there are more or fewer of them.
+    """
+    scaled = scale_students(arrangements, change)
+    weekly = presence.presence_index(presence.apply_covid(per_inst))
+    span = presence.away_range(weekly, presence.closed_bed_share(per_inst, halls), scaled)
+    years = scaled.agg(F.min("acs_year").alias("__lo"), F.max("acs_year").alias("__hi"))
+    living = F.col("in_university_housing") + F.col("elsewhere")
+    dated = (
+        weekly_inputs(weekly).join(span.drop("presence_index"), "week_start").crossJoin(F.broadcast(years))  # one row
+        .withColumn("acs_year", presence.clip(fall_year(F.col("week_start")), F.col("__lo"), F.col("__hi")))
+        .join(scaled, "acs_year")
+    )
+    gone = away(dated, F.lit(shares[0]), F.lit(shares[1]), living, F.col("min_students_away"), F.col("max_students_away"))
+    return dated.select("week_start", gone.alias("students_away"), (census + change / (1 + change) * living - gone).alias("population"))

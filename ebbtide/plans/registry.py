@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("q_events", "q_calendars", "q_presence", "q_models", "q_reports", "q_learning", "q_tables")
+MODULES = ("q_events", "q_calendars", "q_presence", "q_models", "q_reports", "q_learning", "q_tables", "q_search")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
@@ -29,6 +29,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query that is registered already, for queries built on it."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
     """Import the query modules; each registers its queries once."""
     for name in MODULES:
