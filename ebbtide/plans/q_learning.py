@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators import leaving, models, panel, resample, timeline
 from ebbtide.plans import adapters as A
-from ebbtide.plans.q_models import _PANEL, _SERIES, _panel, _series
+from ebbtide.plans.q_models import _PANEL, _SERIES, _panel, _series, drawn
 from ebbtide.plans.registry import query
 from ebbtide.plans.scratch import materialize, shared_folder
 from ebbtide.streaming import jobs
@@ -24,7 +24,7 @@ _FEATURES = ["rain", "snow", "sin_1", "cos_1", "sin_2", "cos_2"]
 
 @query("l18_family_scores")
 def l18_family_scores(spark, sf_dir):
-    """Every family's scores on out-of-fold predictions."""
+    """Every family's scores on out-of-fold predictions."""
     rows, out = _learning(spark, sf_dir), None
     for name, pipeline in models.families(_FEATURES, trees=TREES).items():
         scored = panel.scores(models.out_of_fold(rows, pipeline, "fold", 4).withColumn("family", F.lit(name)), "y", "prediction", ["family"])
@@ -41,7 +41,7 @@ def l9_grouped_choice(spark, sf_dir):
 
 @query("l11_stack_weights")
 def l11_stack_weights(spark, sf_dir):
-    """Non-negative weights of three members' out-of-fold predictions."""
+    """Non-negative weights of three members' out-of-fold predictions."""
     rows, both = _learning(spark, sf_dir), None
     for name in ("linear", "forest", "ridge"):
         part = models.out_of_fold(rows, models.families(_FEATURES, trees=TREES)[name], "fold", 4).select("week_start", "y", F.col("prediction").alias(name))
@@ -80,16 +80,12 @@ def l13_permutation_importance(spark, sf_dir):
     return out.select("input", "rmse", "r2")
 
 
-@query("m5_newey_west")
-def m5_newey_west(spark, sf_dir):
-    """A weekly regression with errors robust to autocorrelation (M3, M5, M9)."""
-    rows = _series(spark, sf_dir).select("week_start", "one", "rain", "y")
-    beta = panel.fit(rows, ["one", "rain"], "y")
-    covariance = panel.newey_west_covariance(rows, ["one", "rain"], "y", beta, "week_start")
-    return spark.createDataFrame([(c, float(b), float(v) ** 0.5) for c, b, v in zip(("one", "rain"), beta, covariance.diagonal())], "input string, beta double, se double")
-
-
-@query("m8_placebo_rotations")
+@query(
+    "m8_placebo_rotations",
+    f"""WITH {_PANEL}, u AS (SELECT unit, week_start, y, x FROM pan WHERE NOT weekend), o AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS n, count(*) OVER () AS many FROM (SELECT DISTINCT unit FROM u)),
+    k AS (SELECT r.unit, d.unit AS donor, k FROM (SELECT *, unnest(range(1, many)) AS k FROM o) r JOIN o d ON d.n = (r.n + k) % r.many)
+    SELECT k, count(*) AS n, regr_slope(u.y, v.x) AS slope FROM u JOIN k USING (unit) JOIN u v ON v.unit = k.donor AND v.week_start = u.week_start GROUP BY k HAVING count(*) >= 3""",
+)
 def m8_placebo_rotations(spark, sf_dir):
     """The same slope after every rotation of the units' measures."""
     from ebbtide.operators.joins import rotations
@@ -99,7 +95,11 @@ def m8_placebo_rotations(spark, sf_dir):
     return panel.slopes(units.join(moved, ["unit", "week_start"]), ["k"], F.col("y"), F.col("placebo"))
 
 
-@query("m10_stacked_shares")
+@query(
+    "m10_stacked_shares",
+    f"""WITH {_PANEL}, s AS (SELECT week_start, regr_slope(y, x) AS y, (month(week_start) IN (6, 7))::INT::DOUBLE AS a, (month(week_start) IN (1, 12))::INT::DOUBLE AS b FROM pan GROUP BY week_start, weekend HAVING count(*) >= 3),
+    g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS ay2 FROM s WHERE y IS NOT NULL) SELECT 'summer' AS share, (bb * ay - ab * ay2) / (aa * bb - ab * ab) AS beta FROM g UNION ALL SELECT 'breaks', (aa * ay2 - ab * ay) / (aa * bb - ab * ab) FROM g""",
+)
 def m10_stacked_shares(spark, sf_dir):
     """k and shares from weekday and weekend slopes together."""
     slopes = panel.slopes(_panel(spark, sf_dir), ["week_start", "weekend"], F.col("y"), F.col("x"))
@@ -144,14 +144,14 @@ def m14_away(spark, sf_dir):
     return weeks.crossJoin(F.broadcast(draws)).select("week_start", "draw", value.alias("away"))
 
 
-_BLOCKS = "m AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS block FROM (SELECT DISTINCT month FROM dat)), nb AS (SELECT count(*) AS nb FROM m), dr AS (SELECT draw, block, count(*) AS times FROM (SELECT draw, (draw * 7919 + i * 104729) % nb AS block FROM nb, (SELECT unnest(range(0, 100)) AS draw), (SELECT unnest(range(0, nb)) AS i FROM nb)) GROUP BY ALL)"
+_BLOCKS = f"m AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS block FROM (SELECT DISTINCT month FROM dat)), nb AS (SELECT count(*) AS nb FROM m), dr AS (SELECT draw, block, count(*) AS times FROM (SELECT draw, {drawn('nb')} AS block FROM nb, (SELECT unnest(range(0, 100)) AS draw), (SELECT unnest(range(0, nb)) AS i FROM nb)) GROUP BY ALL)"
 
 
 @query(
     "u4_rmse_ratio",
     f"WITH {_SERIES}, {_BLOCKS}, g AS (SELECT block, sum((y - rain) * (y - rain)) AS a, sum((y - 2 * rain) * (y - 2 * rain)) AS b FROM dat JOIN m USING (month) GROUP BY ALL) SELECT draw::INT AS draw, sqrt(sum(times * a) / sum(times * b)) AS ratio FROM dr JOIN g USING (block) GROUP BY draw",
 )
-def u4_rmse_ratio(spark, sf_dir, draws=100, seed=None):
+def u4_rmse_ratio(spark, sf_dir, draws=100, seed=1):
     """RMSE ratio of two models on the same draws (U4)."""
     rows = _series(spark, sf_dir)
     months = resample.numbered(rows, "month")

@@ -213,7 +213,13 @@ def m12_r2_gain(spark, sf_dir):
 
 # --- bootstraps
 
-_DRAWS = "dr AS (SELECT draw, block, count(*) AS times FROM (SELECT draw, ((draw * 7919 + i * 104729) % nb) AS block FROM (SELECT unnest(range(0, 200)) AS draw), (SELECT unnest(range(0, nb)) AS i, nb FROM (SELECT count(DISTINCT month) AS nb FROM dat)) z) GROUP BY ALL)"
+
+def drawn(blocks: str, seed: int = 1) -> str:
+    """SQL of a block drawn with replacement by a hash of (draw, i): the same 60 bits of MD5 as ``resample.draw_blocks``."""
+    return f"('0x' || substr(md5('{seed}-' || draw || '-' || i), 1, 15))::BIGINT % {blocks}"
+
+
+_DRAWS = f"dr AS (SELECT draw, block, count(*) AS times FROM (SELECT draw, {drawn('nb')} AS block FROM (SELECT unnest(range(0, 1000)) AS draw), (SELECT unnest(range(0, nb)) AS i, nb FROM (SELECT count(DISTINCT month) AS nb FROM dat)) z) GROUP BY ALL)"
 
 
 def _blocks(spark, rows):
@@ -226,8 +232,8 @@ def _blocks(spark, rows):
     f"""WITH {_SERIES}, m AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS block FROM (SELECT DISTINCT month FROM dat)), g AS (SELECT block, count(*) AS n, sum(rain) AS sx, sum(y) AS sy, sum(rain * rain) AS sxx, sum(rain * y) AS sxy FROM dat JOIN m USING (month) GROUP BY ALL), {_DRAWS}
     SELECT draw::INT AS draw, (sum(times * n) * sum(times * sxy) - sum(times * sx) * sum(times * sy)) / (sum(times * n) * sum(times * sxx) - sum(times * sx) * sum(times * sx)) AS slope FROM dr JOIN g USING (block) GROUP BY draw""",
 )
-def u1_block_bootstrap(spark, sf_dir, draws=200, seed=None):
-    """Slopes of draws of months, from each month's sums (U1); only a seed resamples, the default is its SQL."""
+def u1_block_bootstrap(spark, sf_dir, draws=1000, seed=1):
+    """Slopes of draws of months, from each month's sums."""
     rows = _series(spark, sf_dir)
     months, many = _blocks(spark, rows)
     x, y = F.col("rain"), F.col("y")
@@ -239,7 +245,7 @@ def u1_block_bootstrap(spark, sf_dir, draws=200, seed=None):
 @query(
     "u2_moving_blocks",
     f"""WITH {_SERIES}, m AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS block FROM (SELECT DISTINCT month FROM dat)), nb AS (SELECT count(*) AS nb FROM m),
-    s AS (SELECT draw, (draw * 7919 + i * 104729) % nb AS s, i, nb FROM nb, (SELECT unnest(range(0, 100)) AS draw), (SELECT unnest(range(0, (nb + 2) // 3)) AS i FROM nb)),
+    s AS (SELECT draw, {drawn('nb')} AS s, i, nb FROM nb, (SELECT unnest(range(0, 100)) AS draw), (SELECT unnest(range(0, (nb + 2) // 3)) AS i FROM nb)),
     d AS (SELECT draw, (s + o) % nb AS block, count(*) AS times FROM s, (SELECT unnest(range(0, 3)) AS o) WHERE o <= nb - 1 - i * 3 GROUP BY ALL), g AS (SELECT block, count(*) AS n, sum(y) AS sy FROM dat JOIN m USING (month) GROUP BY ALL)
     SELECT draw::INT AS draw, sum(times * sy) / sum(times * n) AS mean FROM d JOIN g USING (block) GROUP BY draw""",
 )
@@ -252,32 +258,34 @@ def u2_moving_blocks(spark, sf_dir):
     return sums.selectExpr("draw", "sy / n as mean")
 
 
-_TWO_WAY = """cell AS (SELECT l_suppkey % 20 AS station, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS month, count(*) AS known, count(*) FILTER (l_partkey % 5 = 0) AS young FROM lineitem GROUP BY ALL),
-    ds AS (SELECT draw, (draw * 7919 + i * 104729) % 20 AS station, count(*) AS ts FROM (SELECT unnest(range(0, 100)) AS draw), (SELECT unnest(range(0, 20)) AS i) GROUP BY ALL),
-    dm AS (SELECT draw, (draw * 7919 + i * 104729) % 84 AS month, count(*) AS tm FROM (SELECT unnest(range(0, 100)) AS draw), (SELECT unnest(range(0, 84)) AS i) GROUP BY ALL),
+_TWO_WAY = f"""cell AS (SELECT l_suppkey % 20 AS station, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS month, count(*) AS known, count(*) FILTER (l_partkey % 5 = 0) AS young FROM lineitem GROUP BY ALL),
+    bs AS (SELECT station, row_number() OVER (ORDER BY station) - 1 AS block FROM (SELECT DISTINCT station FROM cell)), bm AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS block FROM (SELECT DISTINCT month FROM cell)),
+    ns AS (SELECT count(*) AS ns FROM bs), nm AS (SELECT count(*) AS nm FROM bm),
+    ds AS (SELECT draw, station, count(*) AS ts FROM (SELECT draw, {drawn('ns', 2)} AS block FROM (SELECT unnest(range(0, 100)) AS draw), (SELECT ns, unnest(range(0, ns)) AS i FROM ns)) JOIN bs USING (block) GROUP BY ALL),
+    dm AS (SELECT draw, month, count(*) AS tm FROM (SELECT draw, {drawn('nm', 3)} AS block FROM (SELECT unnest(range(0, 100)) AS draw), (SELECT nm, unnest(range(0, nm)) AS i FROM nm)) JOIN bm USING (block) GROUP BY ALL),
     tw AS (SELECT draw, sum(ts * tm * young)::DOUBLE / sum(ts * tm * known) AS share FROM cell JOIN ds USING (station) JOIN dm USING (draw, month) GROUP BY draw)"""
 
 
-def _two_way(spark, sf_dir, draws=100, seed=None):
+def _two_way(spark, sf_dir, draws=100, seed=1):
     cells = A.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 20).cast("int").alias("station"), ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).alias("month")).agg(
         F.count(F.lit(1)).alias("known"), F.count_if(F.col("l_partkey") % 5 == 0).alias("young")
     )
     cells, times = materialize(cells, "cells"), []
     for k, key in enumerate(("station", "month")):  # the blocks are those the data holds
         blocks = materialize(resample.numbered(cells, key), "blocks")
-        drawn = resample.draw_blocks(spark, draws, blocks.count(), seed=None if seed is None else 2 * seed + k)
+        drawn = resample.draw_blocks(spark, draws, blocks.count(), seed=2 * seed + k)
         times.append(drawn.join(F.broadcast(blocks), "block").select("draw", key, "times"))
     return resample.weighted_sums(cells, times, {"known": F.col("known"), "young": F.col("young")}).selectExpr("draw", "young / known as share")
 
 
 @query("u3_two_way", f"WITH {_TWO_WAY} SELECT draw::INT AS draw, share FROM tw")
-def u3_two_way(spark, sf_dir, draws=100, seed=None):
+def u3_two_way(spark, sf_dir, draws=100, seed=1):
     """Station weights times month weights on aggregated cells."""
     return _two_way(spark, sf_dir, draws, seed)
 
 
 @query("u5_interval", f"WITH {_TWO_WAY} SELECT quantile_cont(share, 0.025) AS low, quantile_cont(share, 0.975) AS high, count(share) AS draws FROM tw")
-def u5_interval(spark, sf_dir, draws=100, seed=None):
+def u5_interval(spark, sf_dir, draws=100, seed=1):
     return resample.interval(_two_way(spark, sf_dir, draws, seed), "share")
 
 
@@ -285,7 +293,7 @@ def u5_interval(spark, sf_dir, draws=100, seed=None):
     "u5_widened",
     f"WITH {_TWO_WAY} SELECT quantile_cont(0.2::DOUBLE + 1.4 * (share - 0.2::DOUBLE), 0.025) AS low, quantile_cont(0.2::DOUBLE + 1.4 * (share - 0.2::DOUBLE), 0.975) AS high, count(share) AS draws FROM tw",
 )
-def u5_widened(spark, sf_dir, draws=100, seed=None):
+def u5_widened(spark, sf_dir, draws=100, seed=1):
     """Draws moved away from the estimate by a factor."""
     return resample.interval(resample.widen(_two_way(spark, sf_dir, draws, seed), "share", F.lit(0.2), 1.4), "share")
 
@@ -295,7 +303,7 @@ def u5_widened(spark, sf_dir, draws=100, seed=None):
     f"""WITH {_TWO_WAY}, w AS (SELECT date_trunc('week', o_orderdate)::DATE AS week_start, count(*)::DOUBLE AS n FROM orders GROUP BY ALL), c AS (SELECT week_start, least(greatest(n * share, 4), 12) AS v FROM w, tw)
     SELECT week_start, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM c GROUP BY ALL""",
 )
-def b8_band(spark, sf_dir, draws=100, seed=None):
+def b8_band(spark, sf_dir, draws=100, seed=1):
     """Band of a clamped guess over all draws, per week."""
     weeks = A.table(spark, sf_dir, "orders").groupBy(timeline.week_of(F.to_date("o_orderdate")).alias("week_start")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     return resample.band(weeks, _two_way(spark, sf_dir, draws, seed), F.col("n") * F.col("share"), F.lit(4.0), F.lit(12.0))

@@ -5,7 +5,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ebbtide.operators import calendars, closures, events, panel, presence, tables, timeline, windows
+from ebbtide.operators import calendars, closures, events, panel, presence, reports, tables, timeline, windows
 from ebbtide.plans import adapters as A
 from ebbtide.plans.q_calendars import _FLAGS, a6_weekly_closed_days
 from ebbtide.plans.q_models import _SERIES, _series
@@ -17,12 +17,12 @@ from ebbtide.plans.scratch import materialize, shared_folder
 
 @query(
     "b1_trip_months",
-    f"WITH {A.TRIPS} SELECT strftime(date, '%Y%m') AS month, sum(trips)::BIGINT AS trips, count(*) AS station_days FROM (SELECT * FROM station_day WHERE year(date) >= {A.LEGACY_BEFORE}) GROUP BY ALL",
+    f"WITH {A.TRIPS} SELECT strftime(date, '%Y%m') AS month, sum(trips)::BIGINT AS trips, count(*) AS station_days FROM station_day GROUP BY ALL",
 )
 def b1_trip_months(spark, sf_dir):
-    """The month pipeline's files, written and read again."""
+    """The month pipeline's files of both layouts, written and read again."""
     folder = f"{shared_folder(spark)}/ebbtide-months-{uuid.uuid4().hex}"
-    tables.write_trip_months(A.modern_files(spark, sf_dir), folder)
+    tables.write_trip_months([A.legacy_files(spark, sf_dir), A.modern_files(spark, sf_dir)], folder)
     days = spark.read.option("basePath", f"{folder}/station_day").parquet(f"{folder}/station_day")
     return days.groupBy(F.col("month").cast("string").alias("month")).agg(F.sum("trips").alias("trips"), F.count(F.lit(1)).alias("station_days"))
 
@@ -245,7 +245,12 @@ def l8_splines(spark, sf_dir):
     return panel.scores(guessed.withColumn("year", F.year("week_start")), "y", "predicted", ["year"])
 
 
-@query("m13_partial_out")
+@query(
+    "m13_partial_out",
+    f"""WITH {_SERIES}, t AS (SELECT f.month AS held, d.* FROM (SELECT DISTINCT month FROM dat) f JOIN (SELECT month AS m, min(week_start) AS lo, max(week_start) AS hi FROM dat GROUP BY ALL) q ON q.m = f.month JOIN dat d ON d.week_start < lo OR d.week_start > hi),
+    c AS (SELECT held, avg(y) AS my, avg(rain) AS mr, avg(snow) AS ms, covar_pop(rain, rain) AS rr, covar_pop(rain, snow) AS rs, covar_pop(snow, snow) AS ss, covar_pop(rain, y) AS ry, covar_pop(snow, y) AS sy FROM t GROUP BY held)
+    SELECT week_start, y - my - (ss * ry - rs * sy) / (rr * ss - rs * rs) * (rain - mr) - (rr * sy - rs * ry) / (rr * ss - rs * rs) * (snow - ms) AS residual FROM dat JOIN c ON c.held = month""",
+)
 def m13_partial_out(spark, sf_dir):
     """Cross-fitted residuals of the weather, by months."""
     rows = _series(spark, sf_dir)
@@ -340,11 +345,8 @@ def b20_step_job(spark, sf_dir):
 
 @query("m19_panel_report")
 def m19_panel_report(spark, sf_dir):
-    """Pooled and placebo effects of the share in session, and calendar kinds."""
-    rows = materialize(b19_panel_units(spark, sf_dir).withColumn("year", F.year("week_start")), "panel")
-    found = panel.fixed_effects(rows, ["session_share"], "y", [["unit", "year"], ["week_start"]], "unit")
-    own = rows.agg(F.avg((F.col("calendar") == "own").cast("int"))).first()[0]
-    return spark.createDataFrame([("pooled", float(found["beta"][0]), float(found["se"][0])), ("own calendars", float(own), None)], "row string, value double, se double")
+    """Pooled, by-unit and placebo effects of the share in session, and calendar kinds by unit."""
+    return reports.panel_report(b19_panel_units(spark, sf_dir), "session_share", "y", "unit", "week_start", "calendar")
 
 
 @query(

@@ -62,7 +62,6 @@ def test_rider_age(spark, year, age):
 def test_spill_counts_trips_once(spark):
     rows = [("dup", datetime(2024, 6, 1, 0, 10), "202405"), ("dup", datetime(2024, 6, 1, 0, 10), "202406"), ("only", datetime(2024, 6, 1, 0, 20), "202405"), ("mid", datetime(2024, 5, 9), "202405")]
     assert [r["trip_key"] for r in events.unseen_spill(spark.createDataFrame(rows, "trip_key string, started_at timestamp_ntz, month string")).collect()] == ["only"]
-    assert events.month_bounds("202412") == (datetime(2024, 12, 1), datetime(2025, 1, 1))
 
 
 def test_network_size_is_the_mean_of_days(spark):

@@ -57,6 +57,6 @@ def test_query_equals_its_sql(spark, duck, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, sf, name):
-    if name.startswith("l"):
-        pytest.skip("model families run in tests of their own on the larger tables")
+    if name in ("l11_stack_weights", "l18_family_scores"):
+        pytest.skip("300 trees; test_search.py runs them with few")
     assert QUERIES[name](spark, sf).count() > 0
