@@ -32,7 +32,7 @@ from ebbtide.plans.scratch import materialize
 
 MIN_WORDS = 50
 #: Lists of deleted lines of at most this many documents and lines may be broadcast.
-BROADCAST_DOCS, BROADCAST_LINES = 400_000, 4_000_000
+BROADCAST_DOCS, BROADCAST_LINES = 100_000, 1_000_000
 _DOC = ["doc_id", "version"]
 _WORD = r"[^\x20\x09-\x0D]+"
 
