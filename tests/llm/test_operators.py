@@ -9,6 +9,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import awkward_texts, sentence
@@ -612,3 +613,38 @@ def test_word_and_shingle_hashes_follow_the_contract():
             assert bounds[n - a + 1] - bounds[n - a] == len(want)
             found.setdefault(want, set()).add(tuple(hashes[bounds[n - a] : bounds[n - a + 1]].tolist()))
     assert all(len(v) == 1 for v in found.values()) and len({next(iter(v)) for v in found.values()}) == len(found)
+
+
+def test_very_long_words_differ_by_the_order_of_their_parts():
+    a, b = "x" * 4096 + "y" * 4096, "y" * 4096 + "x" * 4096
+    raw, bounds = textkit.text_buffers(pa.array([f"{a} 1 2 3 4", f"{b} 1 2 3 4", f"{a} 1 2 3 4"]))
+    word, first = textkit.words(raw, bounds)
+    assert word[first[0]] != word[first[1]] and word[first[0]] == word[first[2]]
+
+
+def test_small_batches_put_the_settings_back(spark):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    with textkit.small_batches(spark):
+        assert spark.conf.get(keys[0]) == str(textkit.BATCH_ROWS)
+        spark.range(1).count()
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_a_text_of_megabytes_goes_through_every_text_operator(spark):
+    rng = random.Random(3)
+    vocabulary = sentence(rng, 5000).split()
+    long = "\n".join(" ".join(rng.choice(vocabulary) for _ in range(12)) for _ in range(60_000))  # 4 MB
+    rows = [(1, long, "en", 9), (2, f"{long} token=abcdefgh user=bob77\nReleased under the MIT License", "en", 9), (3, "short text here", "de", 9), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row long").repartition(3)
+    bench = spark.createDataFrame([(7, " ".join(long.split()[90_000:90_060]))], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()} == {(1, 7), (2, 7)}
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs).collect()} == {1: "", 2: "mit", 3: "", None: ""}
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(docs).collect()}
+    assert found[2]["n_assign"] == 1 and found[2]["links"].startswith("login:") and found[1]["spans"] == ""
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, None: None}
+    cleaned = {r["doc_id"]: r["n_deleted"] for r in lines.drop_repeated_lines(docs).collect()}
+    assert cleaned[1] == 0 and cleaned[2] >= 59_990
+    assert language.identify(docs).count() == 4 and sharding.shard_documents(docs, 3).count() == 4
+    pieces = packing.pack_documents(docs, *packing.tokenizer_files()).collect()
+    assert max(r["piece"] for r in pieces) > 500 and {r["doc_id"] for r in pieces} == {1, 2, 3, None}
