@@ -3,6 +3,13 @@
 Each stage works on all that its predecessor kept.  All but the last return the
 columns of the documents table; the last returns the pieces of packed
 sequences.
+
+Nulls and edge cases: language ID drops documents whose text is null, empty or
+without a letter; the other stages keep a null text.  Rows without doc_id and
+rows that share one are told apart by a written row key.  Very long texts are
+worked on whole.  Columns of any other name pass through unchanged; those that
+begin with two underscores are for the stages' own use.  An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -21,20 +28,23 @@ from ebbtide.plans.scratch import materialize
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents near enough to a known language; those without any letter go too."""
+    """Documents near enough to a known language; those without any letter go too, and so do null texts."""
     judged = identify(docs, names=("__lang", "__score", "__rejected"))
     return judged.filter("not __rejected").select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the later copies of repeated line runs; one of which nothing is left goes."""
+    """Documents without the later copies of repeated line runs; one of which nothing is left goes.
+
+    Repeated rows are one document and are treated alike; a null text stays.
+    """
     cleaned = drop_repeated_lines(docs, names=("__lines", "__deleted")).filter("__deleted = 0 or text <> ''")
     length = F.when(F.col("__deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", length).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: the smallest id, rows without one last."""
+    """One row of each near-duplicate group: the smallest id, rows without one last, ties by row key; a text without words is in no group."""
     rows = numbered(docs)
     groups = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
     groups = materialize(groups.join(rows.select(ROW, "doc_id"), ROW), "groups")
@@ -44,7 +54,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item, whether or not either has an id."""
+    """Documents that contain no benchmark item, whether or not either has an id; null and empty texts contain none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = numbered(benchmark.select("text")).select(F.col(ROW).alias("item_id"), "text")
     rows = numbered(docs)
@@ -54,7 +64,7 @@ def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in packed sequences."""
+    """The pieces of all documents with their places in packed sequences; a null text is the end token alone."""
     return pack_documents(docs, *tokenizer_files())
 
 
