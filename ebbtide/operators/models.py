@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -22,6 +24,8 @@ from ebbtide.plans.scratch import materialize
 
 #: Rows of a block of queries and of training rows that meet in a task: 32 MB of distances.
 QUERY_ROWS, TRAIN_ROWS = 512, 8_192
+#: Models fitted at once: a fit is a long row of small jobs, whose waits overlap.
+FITS = 4
 
 
 def families(features: list[str], label: str = "y", trees: int = 300) -> dict[str, Pipeline]:
@@ -48,11 +52,15 @@ def grouped_choice(df: DataFrame, features: list[str], fold: str, penalties: lis
 
 
 def out_of_fold(df: DataFrame, pipeline: Pipeline, fold: str, folds: int) -> DataFrame:
-    """Predictions of each fold by a model of the others."""
-    rows, parts = materialize(df, "rows"), []
-    for k in range(folds):
-        model = pipeline.fit(rows.filter(F.col(fold) != k))
-        parts.append(model.transform(rows.filter(F.col(fold) == k)).select(*df.columns, "prediction"))
+    """Predictions of each fold by a model of the others; the folds' models are fitted side by side."""
+    rows = materialize(df, "rows")
+
+    def predicted(k: int) -> DataFrame:
+        model = pipeline.copy().fit(rows.filter(F.col(fold) != k))
+        return model.transform(rows.filter(F.col(fold) == k)).select(*df.columns, "prediction")
+
+    with ThreadPool(min(folds, FITS)) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(predicted), range(folds))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
