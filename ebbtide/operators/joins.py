@@ -68,12 +68,12 @@ def rotations(rows: DataFrame, key: str) -> DataFrame:
     """For each k from 1: every key takes the rows of the k-th next key in order.
 
     ``key`` is the receiver, ``donor`` the giver.  The keys are a short
-    dimension; each row goes to the keys k places before its own, so only the
-    ranks are sent to all tasks.
+    dimension; each row goes to the keys k places before its own, so rows
+    meet ranks only.
     """
     order = rows.select(key).distinct().withColumn("__n", F.dense_rank().over(W.orderBy(key)) - 1)
     many = order.agg(F.count(F.lit(1)).alias("__many"))
-    ranked = rows.withColumnRenamed(key, "donor").join(F.broadcast(order.withColumnRenamed(key, "donor")), "donor").crossJoin(F.broadcast(many))
+    ranked = rows.withColumnRenamed(key, "donor").join(order.withColumnRenamed(key, "donor"), "donor").crossJoin(F.broadcast(many))
     dealt = ranked.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__many") - 1, F.lit(1))))).filter("k < __many")
     moved = dealt.withColumn("__n", F.pmod(F.col("__n") - F.col("k"), F.col("__many"))).drop("__many")
-    return moved.join(F.broadcast(order), "__n").drop("__n")
+    return moved.join(order, "__n").drop("__n")

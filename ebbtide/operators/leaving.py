@@ -83,5 +83,5 @@ def corrected_slopes(sums: DataFrame, factors: DataFrame, x: Column) -> DataFram
 def rmse_ratio(errors: DataFrame, model: str, baseline: str, draws: DataFrame, block: str) -> DataFrame:
     """Per draw, the ratio of two models' RMSE on the same resampled blocks."""
     cells = errors.groupBy(block).agg(F.sum(F.col(model) * F.col(model)).alias("a"), F.sum(F.col(baseline) * F.col(baseline)).alias("b"))
-    joined = cells.join(F.broadcast(draws), block)
+    joined = cells.join(draws, block)
     return joined.groupBy("draw").agg(F.sqrt(F.try_divide(F.sum(F.col("times") * F.col("a")), F.sum(F.col("times") * F.col("b")))).alias("ratio"))

@@ -167,7 +167,7 @@ def held_out_scores(df: DataFrame, x: list[str], y: str, fold: str, week: str, b
     guess = F.lit(0.0)
     for k, c in enumerate(x):
         guess = guess + F.col(c) * F.col("beta")[k]
-    return df.join(F.broadcast(betas), fold).withColumn("predicted", guess).drop("beta")
+    return df.join(betas, fold).withColumn("predicted", guess).drop("beta")
 
 
 def scores(df: DataFrame, observed: str, predicted: str, by: list[str]) -> DataFrame:

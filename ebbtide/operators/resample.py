@@ -27,11 +27,14 @@ def numbered(df: DataFrame, key: str, name: str = "block") -> DataFrame:
 
 
 def weighted_sums(cells: DataFrame, multiplicities: list[DataFrame], values: dict[str, Column]) -> DataFrame:
-    """Per draw, sums over cells weighted by the product of the cells' multiplicities."""
+    """Per draw, sums over cells weighted by the product of the cells' multiplicities.
+
+    Draws times blocks grow with the data, so nothing is broadcast by force.
+    """
     joined, weight = cells, F.lit(1)
     for k, times in enumerate(multiplicities):
         on = ["draw", *(c for c in times.columns if c not in ("draw", "times"))] if k else [c for c in times.columns if c not in ("draw", "times")]
-        joined = joined.join(F.broadcast(times.withColumnRenamed("times", f"__t{k}")), on)
+        joined = joined.join(times.withColumnRenamed("times", f"__t{k}"), on)
         weight = weight * F.col(f"__t{k}")
     return joined.groupBy("draw").agg(*(F.sum(weight * v).alias(name) for name, v in values.items()))
 

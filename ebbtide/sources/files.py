@@ -55,8 +55,7 @@ def field(position: int | Column) -> Column:
 def looked_up(records: DataFrame, lookup: DataFrame) -> DataFrame:
     """Values whose places a lookup table (variable, start, number) gives: field start + number - 1 of each record."""
     place = (F.col("start") + F.col("number") - 1).cast("int")
-    # a lookup has a row per published variable
-    return records.join(F.broadcast(lookup), "sequence").withColumn("value", F.try_element_at("fields", place).try_cast("double")).drop("fields", "start", "number", "sequence")
+    return records.join(lookup, "sequence").withColumn("value", F.try_element_at("fields", place).try_cast("double")).drop("fields", "start", "number", "sequence")
 
 
 def write_months(df: DataFrame, path: str, kind: str = "parquet", month: str = "month") -> None:
