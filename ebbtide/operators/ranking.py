@@ -39,6 +39,31 @@ def global_rank(df: DataFrame, order: list[str | Column], rank: str = "rank") ->
     )
 
 
+def running_total(df: DataFrame, order: list[str | Column], value: str, before: str = "before", rank: str = "rank") -> DataFrame:
+    """Number all rows from 0 in the given order and add up the values of the rows before each; nulls count as 0.
+
+    As in ``global_rank``, a range shuffle sorts the rows and each partition hands on
+    its row count and sum alone.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place, part = "__place", "__part"
+    sorted_rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    held = materialize(sorted_rows, "ranked").withColumn(part, F.shiftright(place, _PART_BITS))
+    amount = F.coalesce(F.col(value).cast("long"), F.lit(0))
+    sums = held.groupBy(part).agg(F.count(F.lit(1)).alias("__rows"), F.sum(amount).alias("__sum"))
+    # one row per shuffle partition: bounded by spark.sql.shuffle.partitions
+    earlier = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(part, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("__rows", "__sum")))
+    inside = W.partitionBy(part).orderBy(place).rowsBetween(W.unboundedPreceding, -1)
+    return (
+        held.withColumn("__inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), part)
+        .withColumn(rank, F.col("__rows_before") + F.col(place).bitwiseAND((1 << _PART_BITS) - 1))
+        .withColumn(before, F.col("__sum_before") + F.col("__inside"))
+        .drop(part, place, "__inside", "__rows_before", "__sum_before")
+    )
+
+
 def top_groups(df: DataFrame, group: str, value: str, number: int, label: str = "label") -> DataFrame:
     """Label the ``number`` groups of largest total by name (ties by name), all others by one label with their count."""
     totals = df.groupBy(group).agg(F.sum(value).alias("__total"))
