@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from ebbtide.llm.conversations import damaged, repair_report
 from ebbtide.llm.decontamination import contaminated
 from ebbtide.llm.embeddings import THRESHOLD as EMBEDDING_THRESHOLD
 from ebbtide.llm.embeddings import embedding_links
@@ -15,11 +16,13 @@ from ebbtide.llm.language import held_out, identify
 from ebbtide.llm.licenses import TEMPLATES, THRESHOLD, block_length, scan_licenses, tokens_of
 from ebbtide.llm.lines import drop_repeated_lines
 from ebbtide.llm.minhash import near_duplicates
+from ebbtide.llm.mixing import MOST, WEIGHTS, plan_mix
 from ebbtide.llm.packing import pack_documents, tokenizer_files
 from ebbtide.llm.secrets import BASE, COMPLEMENTS, KINDS, SCOPE, scan_secrets
 from ebbtide.llm.sharding import shard_documents
 from ebbtide.llm.textkit import small_batches
 from ebbtide.llm.urls import judge_urls
+from ebbtide.llm.whitening import whiten
 from ebbtide.plans.scratch import materialize
 
 SHARDS = 16
@@ -86,6 +89,23 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         return materialize(judged.select("doc_id", "held_out", "lang_pred", "score", "rejected"), "languages")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources in the weights 1, 2, 3 takes of every document."""
+    return plan_mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and a hash of the repaired text of every conversation, after a known damage."""
+    rows = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(rows), rows)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every embedding; a deviation beyond 64 bits would be null."""
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -103,6 +123,9 @@ _QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language": op9_language,
     "op10_minhash": op10_minhash,
+    "op11_mixing": op11_mixing,
+    "op12_conversations": op12_conversations,
+    "op13_whitening": op13_whitening,
 }
 
 #: Words are split at ASCII white space after lower-casing A-Z; shorter texts are one shingle.
@@ -154,7 +177,71 @@ def _secrets_sql() -> str:
     """
 
 
+def _conversations_sql() -> str:
+    """All states' best edits grow row by row in one recursion, as whole strings; the checksum is taken bit by bit."""
+
+    def then(of: str, price: str, letter: str, line: str = "") -> str:
+        text = f"{of}.t" if not line else f"list_append({of}.t, {line})"
+        return f"CASE WHEN {of} IS NOT NULL THEN struct_pack(c := ({of}.c + {price})::INT, p := {of}.p || '{letter}', t := {text}) END"
+
+    def best(*options: str) -> str:
+        return f"list_min(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))"
+
+    def given(condition: str, option: str) -> str:
+        return f"CASE WHEN {condition} THEN {option} END"
+
+    user, assistant = "'user:'", "'assistant:'"
+    keep, rerole = "CASE WHEN truncated THEN 3 ELSE 0 END", "CASE WHEN truncated THEN 6 ELSE 3 END"
+    row, as_user, as_assistant = "role || ':' || text", "'user:' || text", "'assistant:' || text"
+    ready = "NOT blank AND NOT duplicate"
+    return f"""
+    WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+    k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+    h AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(s) + 1), lambda i: ord(s[i])::BIGINT)),
+        lambda c, b: xor(step[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind FROM k, crc),
+    d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+    f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, regexp_extract(text, '[^\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]*$')[1] AS last FROM d),
+    r AS (SELECT conv_id, turn, role, text, i, role[1] AS initial, last = '' OR last IS NULL AS blank, again AND last <> '' AS duplicate,
+        last <> '' AND NOT again AND last NOT IN ('.', '!', '?') AS truncated, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM f),
+    n AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(CASE WHEN blank THEN 1 END) AS blank, count(CASE WHEN duplicate THEN 1 END) AS duplicate,
+        count(CASE WHEN truncated THEN 1 END) AS truncated, count(CASE WHEN pair NOT IN ('su', 'ua', 'au') THEN 1 END) AS illegal FROM r GROUP BY conv_id),
+    nothing AS (SELECT struct_pack(c := 0::INT, p := '', t := []::VARCHAR[]) AS o),
+    v AS (
+        SELECT conv_id, 0::BIGINT AS i, o, NULL::STRUCT(c INT, p VARCHAR, t VARCHAR[]) AS s, NULL::STRUCT(c INT, p VARCHAR, t VARCHAR[]) AS u, NULL::STRUCT(c INT, p VARCHAR, t VARCHAR[]) AS a FROM n, nothing
+        UNION ALL
+        SELECT conv_id, i, {then('o', '4', 'D')},
+            {best(then('s', '4', 'D'), given(f"{ready} AND initial = 's'", then('o', keep, 'K', row)))},
+            {best(then('u', '4', 'D'), *(given(f"{ready} AND initial = 'u'", then(q, keep, 'K', row)) for q in 'osa'), *(given(ready, then(q, rerole, 'R', as_user)) for q in 'osa'))},
+            {best(then('a', '4', 'D'), given(f"{ready} AND initial = 'a'", then('u', keep, 'K', row)), given(ready, then('u', rerole, 'R', as_assistant)))}
+        FROM (SELECT conv_id, i, role, text, initial, blank, duplicate, truncated, o, s, {best('u1', then('a1', '3', 'I', user))} AS u, a1 AS a
+            FROM (SELECT *, {best('a', then('u1', '3', 'I', assistant))} AS a1
+            FROM (SELECT r.conv_id, r.i, role, text, initial, blank, duplicate, truncated, o, s, a, {best('u', *(then(q, '3', 'I', user) for q in 'osa'))} AS u1
+            FROM v JOIN r ON r.conv_id IS NOT DISTINCT FROM v.conv_id AND r.i = v.i + 1)))),
+    w AS (SELECT v.conv_id, {best('o', 'a', then('u', '3', 'I', assistant), then(then('s', '3', 'I', user).join(['(', ')']), '3', 'I', assistant))} AS x
+        FROM v JOIN n ON n.conv_id IS NOT DISTINCT FROM v.conv_id AND n.rows = v.i)
+    SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+        coalesce(illegal, 0)::BIGINT AS illegal, coalesce(x.c, 0)::BIGINT AS cost, coalesce(x.p, '') AS audit, sha256(coalesce(array_to_string(x.t, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM g.conv_id
+    """
+
+
 _ORACLES = {
+    "op11_mixing": r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {many} + 1 AS weight FROM d GROUP BY source),
+    o AS (SELECT *, {most} * source_size AS most, sum(source_size) OVER () AS total,
+        sum({most} * source_size) OVER (ORDER BY {most} * source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+        sum(weight) OVER (ORDER BY {most} * source_size / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares FROM s),
+    l AS (SELECT total - coalesce(before, 0) AS words, shares FROM o WHERE (total - coalesce(before, 0)) * weight <= most * shares ORDER BY words DESC, shares DESC LIMIT 1),
+    t AS (SELECT source, source_size, CASE WHEN words * weight > most * l.shares THEN most ELSE words::DOUBLE * weight / l.shares::DOUBLE END AS target FROM o, l),
+    p AS (SELECT doc_id, size, source_size, target, floor(target + 0.5) AS words,
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 16), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+        FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+    SELECT doc_id, size, source_size, target, list_sum(list_transform(range({most}), lambda k: greatest(0, least(k * source_size + start + size, words) - k * source_size - start)))::BIGINT AS taken FROM p
+    """.format(most=MOST, many=len(WEIGHTS)),
+    "op12_conversations": _conversations_sql(),
     "op4_licenses": r"""
     WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
     w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
