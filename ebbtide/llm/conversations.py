@@ -20,8 +20,9 @@ along as a rank.
 A conversation is sorted by Spark and walked through by one task, as its repaired
 text is one hash over all its rows in order.  Memory is the unresolved stretch,
 the batch at hand and one byte per row for the string of edits, however long the
-conversation is.  In the worst case (rows of which no role is legal, whose
-reading stays open to the end) the unresolved stretch is the conversation.
+conversation is.  A run of rows of which none can be kept as it is (no legal
+role, or system rows in the middle) has two readings that stay open to its end
+and is held whole.
 
 Nulls and edge cases: a null role or text is one space, so such a row is blank or
 has no legal role; an empty role is not legal either; null turns come first;
