@@ -7,8 +7,10 @@ cosine; one that is too far from all centroids is rejected.
 
 Nulls and edge cases: a null text and one without any letter are ``und`` with
 score 0 and rejected; languages are tried in alphabetical order, so ties go to
-the first; without any labelled text all are ``und``; an empty table gives no
-rows.
+the first; rows without doc_id, or that share one, are learnt from and judged
+like all others, and repeated texts of a language are learnt once; texts of any
+length are judged whole; without any labelled text all are ``und``; columns of
+other names pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ebbtide.llm import textkit
-from ebbtide.llm.membership import within
+from ebbtide.plans.scratch import materialize
 
 DIMENSIONS = 4096
 CENTROIDS = 4
-#: Labelled texts per language that the classifier is fitted on.
+#: Different labelled texts per language that the classifier is fitted on.
 SAMPLE_PER_LANGUAGE = 400
-#: Row counts of at most this many languages are broadcast.
-BROADCAST_LANGUAGES = 100_000
+#: A sample of at most this many texts has its hashes broadcast.
+BROADCAST_SAMPLE = 100_000
 #: A text is rejected when its cosine is below this share of its language's
 #: low quantile of cosines of texts that the centroids were not clustered from; at
 #: this level the few odd texts of a small sample do not set the floor alone.
@@ -118,17 +120,24 @@ def _vectors(texts: pd.Series) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS))
 
 
+def sampled(labelled: DataFrame) -> DataFrame:
+    """(lang, text): at most ``SAMPLE_PER_LANGUAGE`` different texts of each language, those of least hash.
+
+    Ids play no part, so rows without one and rows that share one count like all others.
+    """
+    usable = labelled.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("hash"))
+    # each partition passes on its own least hashes only
+    least = W.partitionBy("lang").orderBy("hash")
+    chosen = usable.select("lang", "hash").distinct().withColumn("n", F.row_number().over(least)).filter(F.col("n") <= SAMPLE_PER_LANGUAGE).drop("n")
+    chosen = materialize(chosen, "chosen")
+    few = chosen.count() <= BROADCAST_SAMPLE
+    found = usable.join(F.broadcast(chosen) if few else chosen, ["lang", "hash"], "left_semi")
+    return materialize(found.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text"), "sample")
+
+
 def fit(labelled: DataFrame) -> Model:
-    """Fit on at most ``SAMPLE_PER_LANGUAGE`` rows of each language of (doc_id, text, lang)."""
-    usable = labelled.filter("lang is not null and text is not null")
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))  # a row per language
-    # by hash, about twice the sample of each language is left; so the window below is bounded by the number of languages
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < 2.0 * SAMPLE_PER_LANGUAGE / F.col("rows")
-    few = counts.count() <= BROADCAST_LANGUAGES
-    drawn = usable.select("doc_id", "lang").join(F.broadcast(counts) if few else counts, "lang").filter(draw)
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_PER_LANGUAGE)
-    sample = within(usable.select("doc_id", "text", "lang"), ids.select("doc_id").distinct()).select("text", "lang").repartition("lang")
+    """Fit on the sample of (text, lang)."""
+    sample = sampled(labelled).repartition("lang")
 
     def frequency(group: pd.DataFrame) -> pd.DataFrame:
         rows = _vectors(group["text"])
