@@ -33,8 +33,8 @@ DIMENSIONS = 4096
 CENTROIDS = 4
 #: Different labelled texts per language that the classifier is fitted on.
 SAMPLE_PER_LANGUAGE = 400
-#: A sample of at most this many texts has its hashes broadcast.
-BROADCAST_SAMPLE = 100_000
+#: Counts of at most this many languages, and hashes of at most this many sampled texts, are broadcast.
+BROADCAST_LANGUAGES = BROADCAST_SAMPLE = 100_000
 #: A text is rejected when its cosine is below this share of its language's
 #: low quantile of cosines of texts that the centroids were not clustered from; at
 #: this level the few odd texts of a small sample do not set the floor alone.
@@ -126,9 +126,14 @@ def sampled(labelled: DataFrame) -> DataFrame:
     Ids play no part, so rows without one and rows that share one count like all others.
     """
     usable = labelled.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("hash"))
-    # each partition passes on its own least hashes only
+    texts = materialize(usable.select("lang", "hash").distinct(), "texts")
+    counts = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))  # a row per language
+    few = counts.count() <= BROADCAST_LANGUAGES
+    # hashes are spread evenly, so about twice the sample of each language lies below this; what the window sorts is bounded
+    low = F.col("hash") / float(1 << 64) + 0.5 < 2.0 * SAMPLE_PER_LANGUAGE / F.col("texts")
+    drawn = texts.join(F.broadcast(counts) if few else counts, "lang").filter(low).select("lang", "hash")
     least = W.partitionBy("lang").orderBy("hash")
-    chosen = usable.select("lang", "hash").distinct().withColumn("n", F.row_number().over(least)).filter(F.col("n") <= SAMPLE_PER_LANGUAGE).drop("n")
+    chosen = drawn.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= SAMPLE_PER_LANGUAGE).drop("n")
     chosen = materialize(chosen, "chosen")
     few = chosen.count() <= BROADCAST_SAMPLE
     found = usable.join(F.broadcast(chosen) if few else chosen, ["lang", "hash"], "left_semi")
