@@ -38,9 +38,13 @@ def in_time_order(spark: SparkSession, folder: str) -> int:
 
 
 def weekly_counts(events: DataFrame, ts: str = "ts", by: tuple[str, ...] = ()) -> DataFrame:
-    """Tumbling Monday weeks; a week is final once it is older than the lateness allowed."""
-    week = F.window(F.col(ts).cast("timestamp"), "7 days", "7 days", "4 days")  # windows start on Mondays
+    """Tumbling Monday weeks.
+
+    The window is over the watermarked time itself: once the latest time seen is further than the lateness allowed
+    past a week's end, the week is final, its state goes, append mode hands it out, and rows that come later are dropped.
+    """
     marked = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, LATE)
+    week = F.window(ts, "7 days", "7 days", "4 days")  # windows start on Mondays
     return marked.groupBy(week.alias("week"), *by).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value")).select(F.to_date("week.start").alias("week_start"), *by, "events", "value")
 
 
