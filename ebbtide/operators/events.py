@@ -102,6 +102,28 @@ def cleaning_report(trips: DataFrame) -> DataFrame:
     return counted
 
 
+def month_records(trips: DataFrame, month: str = "month") -> DataFrame:
+    """One record per file month: layout, the cleaning waterfall, rows started out of the month, first and last start, stations.
+
+    ``month`` (yyyyMM) names the file a trip came in.  All counts merge from partial ones; stations are counted
+    over the distinct (month, station) pairs, so a month's trips are never gathered.  The waterfall counts every
+    row; first and last start and the stations are of kept rows, the stations of those started in the month.
+    """
+    judged = trips.withColumn("reason", reject_reason())
+    kept, inside = F.col("reason").isNull(), F.date_format("started_at", "yyyyMM") == F.col(month)
+    reasons = [F.count_if(F.col("reason") == r).alias(f"rows_{r}") for r in REASONS]
+    per = judged.groupBy(month, "layout", F.when(kept & inside, F.col("start_station_id")).alias("station")).agg(
+        F.count(F.lit(1)).alias("rows_raw"), *reasons, F.count_if(kept).alias("rows_kept"), F.count_if(kept & F.col("start_station_id").isNull()).alias("rows_no_start_station"),
+        F.count_if(kept & ~F.coalesce(inside, F.lit(False))).alias("rows_out_of_month"),
+        F.min(F.when(kept, F.col("started_at"))).alias("first_start"), F.max(F.when(kept, F.col("started_at"))).alias("last_start"),
+    )
+    counts = ["rows_raw", *(f"rows_{r}" for r in REASONS), "rows_kept", "rows_no_start_station", "rows_out_of_month"]
+    # a station that shows in both layouts of a month counts once
+    stations = per.groupBy(month, "station").agg(*(F.sum(c).alias(c) for c in counts), F.min("first_start").alias("first_start"), F.max("last_start").alias("last_start"), F.min("layout").alias("low"), F.max("layout").alias("high"))
+    layout = F.when(F.min("low") == F.max("high"), F.min("low")).otherwise(F.lit("mixed"))
+    return stations.groupBy(month).agg(layout.alias("layout"), *(F.sum(c).alias(c) for c in counts), F.min("first_start").alias("first_start"), F.max("last_start").alias("last_start"), F.count("station").alias("n_stations"))
+
+
 def station_day(trips: DataFrame) -> DataFrame:
     """Counts per start day and station; trips without a station stay under a null one."""
     age = rider_age(F.col("started_at"), F.col("birth_year"))

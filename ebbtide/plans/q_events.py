@@ -1,5 +1,6 @@
 """Queries over trips."""
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from ebbtide.operators import events, timeline
 from ebbtide.operators.ranking import top_groups
 from ebbtide.plans import adapters as A
 from ebbtide.plans.registry import query
+from ebbtide.plans.scratch import shared_folder
+from ebbtide.sources import files
 
 _COUNTS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in events.COUNTS)
 _WEEKLY = f"""
@@ -39,10 +42,32 @@ def p5_rider_age(spark, sf_dir):
     count(*) FILTER (reason IS NULL) AS rows_kept, count(*) FILTER (reason IS NULL AND start_station_id IS NULL) AS rows_no_start_station FROM judged GROUP BY ALL""",
 )
 def f1_cleaning_report(spark, sf_dir):
-    """Waterfall of reject reasons per month."""
+    """Waterfall of reject reasons per month (F1, F2)."""
     return events.cleaning_report(A.trips(spark, sf_dir))
 
 
+def file_trips(spark, sf_dir):
+    """Trips with the month of the file they came in: some that start in a month's first two days came with the month before."""
+    before = F.expr("if(dayofmonth(started_at) <= 2 and coalesce(cast(start_station_id as long), 0) % 3 = 0, started_at - interval 3 days, started_at)")
+    return A.trips(spark, sf_dir).withColumn("month", F.date_format(before, "yyyyMM"))
+
+
+@query(
+    "a32_month_records",
+    f"""WITH {A.TRIPS}, fm AS (SELECT *, strftime(CASE WHEN day(started_at) <= 2 AND l_mod THEN started_at - INTERVAL 3 DAY ELSE started_at END, '%Y%m') AS month, reason IS NULL AS kept FROM (SELECT *, coalesce(start_station_id::BIGINT, 0) % 3 = 0 AS l_mod FROM judged))
+    SELECT month, CASE WHEN min(layout) = max(layout) THEN min(layout) ELSE 'mixed' END AS layout, count(*) AS rows_raw, count(*) FILTER (reason = 'bad_time') AS rows_bad_time, count(*) FILTER (reason = 'too_short') AS rows_too_short,
+    count(*) FILTER (reason = 'too_long') AS rows_too_long, count(*) FILTER (reason = 'non_public_station') AS rows_non_public_station, count(*) FILTER (kept) AS rows_kept,
+    count(*) FILTER (kept AND start_station_id IS NULL) AS rows_no_start_station, count(*) FILTER (kept AND strftime(started_at, '%Y%m') <> month) AS rows_out_of_month,
+    min(started_at) FILTER (kept) AS first_start, max(started_at) FILTER (kept) AS last_start, count(DISTINCT start_station_id) FILTER (kept AND strftime(started_at, '%Y%m') = month) AS n_stations FROM fm GROUP BY month""",
+)
+def a32_month_records(spark, sf_dir):
+    """A quality record per file month, written as JSON and read again."""
+    path = f"{shared_folder(spark)}/ebbtide-records-{uuid.uuid4().hex}"
+    records = events.month_records(file_trips(spark, sf_dir))
+    files.write_json_records(records, path)
+    return files.read_json_records(spark, path, records.schema)
+
+
 @query("a1_station_day", f"WITH {A.TRIPS} SELECT * FROM station_day")
 def a1_station_day(spark, sf_dir):
     return A.station_days(spark, sf_dir)

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_text_csv(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
@@ -64,6 +65,17 @@ def write_months(df: DataFrame, path: str, kind: str = "parquet", month: str = "
     (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
 
 
+def write_json_records(df: DataFrame, path: str, month: str = "month") -> None:
+    """One JSON line per row in a folder per month; months that are present are replaced, others stay."""
+    df.withColumn(f"{month}_of", F.col(month)).write.partitionBy(month).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).json(path)
+
+
+def read_json_records(spark: SparkSession, path: str, schema: T.StructType, month: str = "month") -> DataFrame:
+    """The records of ``write_json_records`` with a given schema; a month keeps its leading zeros."""
+    inside = T.StructType([T.StructField(f"{month}_of", f.dataType) if f.name == month else f for f in schema.fields])
+    return spark.read.schema(inside).json(f"{path}/{month}=*").withColumnRenamed(f"{month}_of", month).select(*schema.names)
+
+
 def new_months(df: DataFrame, done: DataFrame, month: str = "month") -> DataFrame:
     """Rows of months that aren't done yet."""
     return df.join(done.select(month).distinct(), month, "left_anti")
