@@ -7,6 +7,7 @@ robust covariances, hold-outs and bootstraps all work on such sums.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,6 +39,82 @@ def demean(df: DataFrame, columns: list[str], groupings: list[list[str]], tolera
     raise RuntimeError(f"means did not settle in {MAX_ROUNDS} rounds")
 
 
+#: Up to this many groups of a short grouping are solved for at once.
+SHORT = 5_000
+
+
+def _short_system(width: int):
+    """Sums of the normal equations of a short grouping once the long one's levels are out."""
+
+    def run(batches):
+        for part in batches:
+            left, right, value = [], [], []
+            for places, counts, sums in zip(part["places"], part["counts"], part["sums"]):
+                t, n = np.asarray(places, np.int64), np.asarray(counts, float)
+                total = n.sum()
+                block = np.diag(n) - np.outer(n, n) / total
+                y = np.array([np.asarray(s, float) for s in sums])
+                left += [np.repeat(t, len(t)), np.repeat(t, width)]
+                right += [np.tile(t, len(t)), np.tile(-1 - np.arange(width), len(t))]
+                value += [block.ravel(), (y - np.outer(n, y.sum(axis=0)) / total).ravel()]
+            if left:
+                keys, at = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1, return_inverse=True)
+                yield pd.DataFrame({"i": keys[0], "j": keys[1], "value": np.bincount(at.ravel(), np.concatenate(value))})
+
+    return run
+
+
+def absorb(df: DataFrame, columns: list[str], long: list[str], short: str) -> DataFrame:
+    """Residuals of ``columns`` after a level for each group of ``long`` keys and each value of ``short``.
+
+    Exact and without iteration where ``short`` has few values (weeks): a long group holds one cell per
+    value, its levels are eliminated in Spark, and only the short grouping's system, values x values, is
+    solved outside.  Beyond ``SHORT`` values the means are removed by turns.
+    """
+    rows = materialize(df, "levels")
+    values = rows.select(short).distinct()
+    if values.count() > SHORT:
+        return demean(rows, columns, [long, [short]])
+    # at most SHORT rows
+    places = materialize(values.select(F.col(short).alias("__short"), (F.row_number().over(W.orderBy(short)) - 1).alias("__t")), "places")
+    placed = rows.join(places, F.col(short).eqNullSafe(F.col("__short"))).drop("__short")
+    cells = placed.groupBy(*long, "__t").agg(F.count(F.lit(1)).alias("__n"), F.array(*(F.sum(F.col(c).cast("double")) for c in columns)).alias("__s"))
+    # one entry per value of ``short``
+    groups = cells.groupBy(*long).agg(F.collect_list("__t").alias("places"), F.collect_list("__n").alias("counts"), F.collect_list("__s").alias("sums")).select("places", "counts", "sums")
+    sums = groups.mapInPandas(_short_system(len(columns)), "i long, j long, value double").groupBy("i", "j").agg(F.sum("value").alias("value")).collect()
+    many = max((r["i"] for r in sums), default=-1) + 1
+    left, right = np.zeros((many, many)), np.zeros((many, len(columns)))
+    for i, j, value in sums:
+        if j >= 0:
+            left[i, j] = value
+        else:
+            right[i, -1 - j] = value
+    level = np.linalg.pinv((left + left.T) / 2, rcond=1e-12, hermitian=True) @ right if many else right
+    names = [f"__b{k}" for k in range(len(columns))]
+    levels = df.sparkSession.createDataFrame([(t, *map(float, row)) for t, row in enumerate(level)], f"__t int, {', '.join(f'{n} double' for n in names)}")
+    rest = placed.join(levels, "__t").withColumns({c: F.col(c) - F.col(b) for c, b in zip(columns, names)}).drop("__t", *names)
+    rest = materialize(rest, "rest")
+    means = materialize(rest.groupBy(*(F.col(k).alias(f"__g{n}") for n, k in enumerate(long))).agg(*(F.avg(c).alias(f"__m_{c}") for c in columns)), "means")
+    same = [F.col(k).eqNullSafe(F.col(f"__g{n}")) for n, k in enumerate(long)]
+    return rest.join(means, same).select(*((F.col(c) - F.col(f"__m_{c}")).alias(c) if c in columns else c for c in df.columns))
+
+
+def weekly_slopes(df: DataFrame, measures: dict[str, str], outcomes: list[str], unit: str, year: str, week: str, by: list[str] | None = None) -> DataFrame:
+    """Each week's slope of the outcomes on every measure, after a level for each unit in each year and for each week.
+
+    ``measures`` names the columns of units; a measure is centred on its mean over all rows of ``by``.  As a week lies
+    in one year, levels of all groups of ``by`` that hold whole years come from one pass.
+    """
+    by = by or []
+    whole = df.select(*by, unit, year, week, *outcomes, *measures.values()).dropna()
+    rows = absorb(whole, outcomes, [unit, year], week)
+    long = rows.select(*by, week, *outcomes, F.explode(F.array(*(F.struct(F.lit(name).alias("measure"), F.col(c).cast("double").alias("x")) for name, c in measures.items()))).alias("__m"))
+    long = long.select(*by, week, *outcomes, "__m.measure", "__m.x")
+    centre = long.groupBy(*by, "measure").agg(F.avg("x").alias("__centre"))
+    x = F.col("x") - F.col("__centre")
+    return long.join(centre, [*by, "measure"]).groupBy(*by, "measure", week).agg(*(F.try_divide(F.sum(x * F.col(c)), F.sum(x * x)).alias(c) for c in outcomes))
+
+
 def gram(df: DataFrame, x: list[str], y: str, by: list[str] | None = None) -> DataFrame:
     """One row per group: ``n``, ``yy`` and the arrays ``xx`` (row by row) and ``xy`` of sums of products."""
     terms = [F.sum(F.col(a) * F.col(b)) for a in x for b in x]

@@ -12,13 +12,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def draw_blocks(spark: SparkSession, draws: int, blocks: int, run: int = 1, seed: int = 1) -> DataFrame:
-    """(draw, block, times): blocks taken with replacement, in runs of ``run`` consecutive ones."""
-    picks = spark.range(draws).select(F.col("id").cast("int").alias("draw")).crossJoin(spark.range(-(-blocks // run)).select(F.col("id").cast("int").alias("i")))
+def draw_blocks(spark: SparkSession, draws: int, blocks: int, picks: int | None = None, seed: int = 1) -> DataFrame:
+    """(draw, block, times): ``picks`` blocks (as many as there are) taken with replacement."""
+    each = spark.range(draws).select(F.col("id").cast("int").alias("draw")).crossJoin(spark.range(blocks if picks is None else picks).select(F.col("id").cast("int").alias("i")))
     digits = F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("draw"), F.col("i"))), 1, 15)  # 60 bits
-    start = F.conv(digits, 16, 10).cast("long") % blocks
-    runs = picks.select("draw", start.cast("int").alias("s"), "i").select("draw", F.explode(F.sequence(F.lit(0), F.least(F.lit(run - 1), F.lit(blocks - 1) - F.col("i") * run))).alias("o"), "s")
-    return runs.groupBy("draw", F.pmod(F.col("s") + F.col("o"), F.lit(blocks)).cast("int").alias("block")).agg(F.count(F.lit(1)).alias("times"))
+    block = F.conv(digits, 16, 10).cast("long") % blocks
+    return each.groupBy("draw", block.cast("int").alias("block")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def moving_runs(cells: DataFrame, run: int, values: list[str], block: str = "block") -> tuple[DataFrame, int, int]:
+    """Sums over each run of ``run`` consecutive blocks by its first block, the number of such runs, and how many cover all blocks.
+
+    Runs lie inside the blocks, so none wraps from the end to the beginning; with fewer blocks than ``run`` the
+    one run is all of them.  A run is a difference of two rows of running sums over the blocks, a short table.
+    """
+    many = cells.count()
+    run = max(1, min(run, many))
+    order = W.orderBy(block)
+    running = cells.select(block, *(F.sum(c).over(order).alias(c) for c in values))
+    before = running.select((F.col(block) + run).alias(block), *(F.col(c).alias(f"__{c}") for c in values))
+    runs = running.filter(F.col(block) >= run - 1).join(before, block, "left")
+    return runs.select((F.col(block) - (run - 1)).alias(block), *((F.col(c) - F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in values)), many - run + 1, -(-many // run)
 
 
 def numbered(df: DataFrame, key: str, name: str = "block") -> DataFrame:
@@ -53,7 +67,7 @@ def widen(draws: DataFrame, value: str, estimate: Column, factor: float) -> Data
 def band(weeks: DataFrame, draws: DataFrame, guess: Column, low: Column, high: Column, by: str = "week_start") -> DataFrame:
     """Percentile band of a clamped guess over all draws, per week."""
     value = F.least(F.greatest(guess, low), high)
-    crossed = weeks.crossJoin(F.broadcast(draws)).withColumn("__v", value)  # a few hundred weeks by the draws
+    crossed = weeks.crossJoin(draws).withColumn("__v", value)  # a few hundred weeks by the draws
     return crossed.groupBy(by).agg(F.percentile("__v", 0.025).alias("low"), F.percentile("__v", 0.975).alias("high"))
 
 

@@ -95,40 +95,6 @@ def m8_placebo_rotations(spark, sf_dir):
     return panel.slopes(units.join(moved, ["unit", "week_start"]), ["k"], F.col("y"), F.col("placebo"))
 
 
-@query(
-    "m10_stacked_shares",
-    f"""WITH {_PANEL}, s AS (SELECT week_start, regr_slope(y, x) AS y, (month(week_start) IN (6, 7))::INT::DOUBLE AS a, (month(week_start) IN (1, 12))::INT::DOUBLE AS b FROM pan GROUP BY week_start, weekend HAVING count(*) >= 3),
-    g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS ay2 FROM s WHERE y IS NOT NULL) SELECT 'summer' AS share, (bb * ay - ab * ay2) / (aa * bb - ab * ab) AS beta FROM g UNION ALL SELECT 'breaks', (aa * ay2 - ab * ay) / (aa * bb - ab * ab) FROM g""",
-)
-def m10_stacked_shares(spark, sf_dir):
-    """k and shares from weekday and weekend slopes together."""
-    slopes = panel.slopes(_panel(spark, sf_dir), ["week_start", "weekend"], F.col("y"), F.col("x"))
-    wide = slopes.groupBy("week_start").agg(F.max(F.when(~F.col("weekend"), F.col("slope"))).alias("weekday"), F.max(F.when(F.col("weekend"), F.col("slope"))).alias("weekend"))
-    inputs = wide.withColumns({"summer": F.month("week_start").isin(6, 7).cast("double"), "breaks": F.month("week_start").isin(1, 12).cast("double")})
-    found = leaving.stacked_shares(inputs, ["summer", "breaks"])
-    return spark.createDataFrame(list(found.items()), "share string, beta double")
-
-
-@query("m11_joint_shares")
-def m11_joint_shares(spark, sf_dir):
-    """Shares common to two signals, each with its own size."""
-    slopes = panel.slopes(_panel(spark, sf_dir), ["week_start", "weekend"], F.col("y"), F.col("x"))
-    pieces = slopes.select(F.lit("a").alias("signal"), F.col("weekend").cast("string").alias("day"), F.col("slope").alias("y"), F.month("week_start").isin(6, 7).cast("double").alias("summer"), F.month("week_start").isin(1, 12).cast("double").alias("breaks"))
-    found = leaving.joint_shares(materialize(pieces, "pieces"))
-    return spark.createDataFrame([(s, d, k, found["ratio"]) for (s, d), k in found["k"].items()], "signal string, day string, k double, ratio double")
-
-
-@query(
-    "m17_read_off",
-    f"""WITH {_PANEL}, s AS (SELECT week_start, regr_slope(y, x) AS slope, (month(week_start) IN (6, 7))::INT::DOUBLE AS share_away, year(week_start) AS year FROM pan WHERE NOT weekend GROUP BY week_start HAVING count(*) >= 3)
-    SELECT week_start, year, (slope - avg(slope) OVER w) / (-6.0::DOUBLE * 1.25) + avg(share_away) OVER w AS read_off FROM s WINDOW w AS (PARTITION BY year)""",
-)
-def m17_read_off(spark, sf_dir):
-    """Share away read from the slope, at the year's mean level."""
-    slopes = panel.slopes(_panel(spark, sf_dir).filter("not weekend"), ["week_start"], F.col("y"), F.col("x")).withColumns({"year": F.year("week_start"), "share_away": F.month("week_start").isin(6, 7).cast("double")})
-    return leaving.read_off(slopes, "slope", -6.0, 1.25, "year").select("week_start", "year", "read_off")
-
-
 @query(
     "m14_away",
     """WITH w AS (SELECT date_trunc('week', o_orderdate)::DATE AS week_start, (count(*) % 10) / 10::DOUBLE AS summer, (count(*) % 7) / 10::DOUBLE AS breaks FROM orders GROUP BY ALL), d AS (SELECT draw::INT AS draw, draw * 0.25::DOUBLE - 0.5 AS s, 1.5 - draw * 0.25::DOUBLE AS b FROM (SELECT unnest(range(0, 8)) AS draw))
@@ -144,14 +110,14 @@ def m14_away(spark, sf_dir):
     return weeks.crossJoin(F.broadcast(draws)).select("week_start", "draw", value.alias("away"))
 
 
-_BLOCKS = f"m AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS block FROM (SELECT DISTINCT month FROM dat)), nb AS (SELECT count(*) AS nb FROM m), dr AS (SELECT draw, block, count(*) AS times FROM (SELECT draw, {drawn('nb')} AS block FROM nb, (SELECT unnest(range(0, 100)) AS draw), (SELECT unnest(range(0, nb)) AS i FROM nb)) GROUP BY ALL)"
+_BLOCKS = f"m AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS block FROM (SELECT DISTINCT month FROM dat)), nb AS (SELECT count(*) AS nb FROM m), dr AS (SELECT draw, block, count(*) AS times FROM (SELECT draw, {drawn('nb')} AS block FROM nb, (SELECT unnest(range(0, 2000)) AS draw), (SELECT unnest(range(0, nb)) AS i FROM nb)) GROUP BY ALL)"
 
 
 @query(
     "u4_rmse_ratio",
     f"WITH {_SERIES}, {_BLOCKS}, g AS (SELECT block, sum((y - rain) * (y - rain)) AS a, sum((y - 2 * rain) * (y - 2 * rain)) AS b FROM dat JOIN m USING (month) GROUP BY ALL) SELECT draw::INT AS draw, sqrt(sum(times * a) / sum(times * b)) AS ratio FROM dr JOIN g USING (block) GROUP BY draw",
 )
-def u4_rmse_ratio(spark, sf_dir, draws=100, seed=1):
+def u4_rmse_ratio(spark, sf_dir, draws=2000, seed=1):
     """RMSE ratio of two models on the same draws (U4)."""
     rows = _series(spark, sf_dir)
     months = resample.numbered(rows, "month")

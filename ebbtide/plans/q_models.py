@@ -119,12 +119,6 @@ def _panel(spark, sf_dir):
     return activity.join(measure, F.col("s_suppkey") == F.col("l_suppkey")).select("week_start", F.col("l_suppkey").alias("unit"), "weekend", F.ln("activity").alias("y"), "x")
 
 
-@query("m2_weekly_slopes", f"WITH {_PANEL} SELECT week_start, weekend, count(*) AS n, regr_slope(y, x) AS slope FROM pan GROUP BY ALL HAVING count(*) >= 3")
-def m2_weekly_slopes(spark, sf_dir):
-    """Slope of log activity on the measure, weekdays and weekends apart (M2)."""
-    return panel.slopes(_panel(spark, sf_dir), ["week_start", "weekend"], F.col("y"), F.col("x"))
-
-
 @query("m1_demean")
 def m1_demean(spark, sf_dir):
     """Activity without unit and week means, by alternating projections (M1)."""
@@ -194,16 +188,6 @@ def l2_forward(spark, sf_dir):
     return panel.scores(rows.join(fitted, F.col("year") == F.col("test")).withColumn("predicted", F.col("a") + F.col("b") * F.col("rain")), "y", "predicted", ["test"])
 
 
-@query(
-    "m15_size_check",
-    f"WITH {_SERIES} SELECT year(week_start) AS year, sum((rain * 2) * y) / sum((rain * 2) * (rain * 2)) AS size, sqrt(avg((y - rain * 2) * (y - rain * 2))) AS rmse, count(*) AS n FROM dat GROUP BY ALL",
-)
-def m15_size_check(spark, sf_dir):
-    """Slope through the origin of observed on predicted, and the error."""
-    rows = _series(spark, sf_dir).withColumns({"year": F.year("week_start"), "predicted": F.col("rain") * 2})
-    return panel.through_origin(rows, "y", "predicted", ["year"])
-
-
 @query("m12_r2_gain", f"WITH {_SERIES}, mix AS (SELECT rain, snow, y + rain AS y FROM dat) SELECT regr_r2(y, rain) AS r2_base, 1 - (1 - regr_r2(y, rain)) * (1 - pc) AS r2_more FROM mix, (SELECT (corr(y, snow) - corr(y, rain) * corr(snow, rain)) ** 2 / ((1 - corr(y, rain) ** 2) * (1 - corr(snow, rain) ** 2)) AS pc FROM mix) GROUP BY pc")
 def m12_r2_gain(spark, sf_dir):
     """R2 without and with one more input, from one set of sums."""
@@ -245,28 +229,28 @@ def u1_block_bootstrap(spark, sf_dir, draws=1000, seed=1):
 @query(
     "u2_moving_blocks",
     f"""WITH {_SERIES}, m AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS block FROM (SELECT DISTINCT month FROM dat)), nb AS (SELECT count(*) AS nb FROM m),
-    s AS (SELECT draw, {drawn('nb')} AS s, i, nb FROM nb, (SELECT unnest(range(0, 100)) AS draw), (SELECT unnest(range(0, (nb + 2) // 3)) AS i FROM nb)),
-    d AS (SELECT draw, (s + o) % nb AS block, count(*) AS times FROM s, (SELECT unnest(range(0, 3)) AS o) WHERE o <= nb - 1 - i * 3 GROUP BY ALL), g AS (SELECT block, count(*) AS n, sum(y) AS sy FROM dat JOIN m USING (month) GROUP BY ALL)
+    s AS (SELECT draw, {drawn('(nb - 2)')} AS s FROM nb, (SELECT unnest(range(0, 1000)) AS draw), (SELECT unnest(range(0, (nb + 2) // 3)) AS i FROM nb)),
+    d AS (SELECT draw, s + o AS block, count(*) AS times FROM s, (SELECT unnest(range(0, 3)) AS o) GROUP BY ALL), g AS (SELECT block, count(*) AS n, sum(y) AS sy FROM dat JOIN m USING (month) GROUP BY ALL)
     SELECT draw::INT AS draw, sum(times * sy) / sum(times * n) AS mean FROM d JOIN g USING (block) GROUP BY draw""",
 )
 def u2_moving_blocks(spark, sf_dir):
-    """Means of draws of runs of three months."""
+    """Means of 1,000 draws of runs of three months."""
     rows = _series(spark, sf_dir)
-    months, many = _blocks(spark, rows)
-    cells = rows.join(months, "month").groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"))
-    sums = resample.weighted_sums(cells, [resample.draw_blocks(spark, 100, many, run=3)], {"n": F.col("n"), "sy": F.col("sy")})
+    cells = materialize(rows.join(_blocks(spark, rows)[0], "month").groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy")), "cells")
+    runs, starts, picks = resample.moving_runs(cells, 3, ["n", "sy"])
+    sums = resample.weighted_sums(runs, [resample.draw_blocks(spark, 1000, starts, picks)], {"n": F.col("n"), "sy": F.col("sy")})
     return sums.selectExpr("draw", "sy / n as mean")
 
 
 _TWO_WAY = f"""cell AS (SELECT l_suppkey % 20 AS station, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS month, count(*) AS known, count(*) FILTER (l_partkey % 5 = 0) AS young FROM lineitem GROUP BY ALL),
     bs AS (SELECT station, row_number() OVER (ORDER BY station) - 1 AS block FROM (SELECT DISTINCT station FROM cell)), bm AS (SELECT month, row_number() OVER (ORDER BY month) - 1 AS block FROM (SELECT DISTINCT month FROM cell)),
     ns AS (SELECT count(*) AS ns FROM bs), nm AS (SELECT count(*) AS nm FROM bm),
-    ds AS (SELECT draw, station, count(*) AS ts FROM (SELECT draw, {drawn('ns', 2)} AS block FROM (SELECT unnest(range(0, 100)) AS draw), (SELECT ns, unnest(range(0, ns)) AS i FROM ns)) JOIN bs USING (block) GROUP BY ALL),
-    dm AS (SELECT draw, month, count(*) AS tm FROM (SELECT draw, {drawn('nm', 3)} AS block FROM (SELECT unnest(range(0, 100)) AS draw), (SELECT nm, unnest(range(0, nm)) AS i FROM nm)) JOIN bm USING (block) GROUP BY ALL),
+    ds AS (SELECT draw, station, count(*) AS ts FROM (SELECT draw, {drawn('ns', 2)} AS block FROM (SELECT unnest(range(0, 1000)) AS draw), (SELECT ns, unnest(range(0, ns)) AS i FROM ns)) JOIN bs USING (block) GROUP BY ALL),
+    dm AS (SELECT draw, month, count(*) AS tm FROM (SELECT draw, {drawn('nm', 3)} AS block FROM (SELECT unnest(range(0, 1000)) AS draw), (SELECT nm, unnest(range(0, nm)) AS i FROM nm)) JOIN bm USING (block) GROUP BY ALL),
     tw AS (SELECT draw, sum(ts * tm * young)::DOUBLE / sum(ts * tm * known) AS share FROM cell JOIN ds USING (station) JOIN dm USING (draw, month) GROUP BY draw)"""
 
 
-def _two_way(spark, sf_dir, draws=100, seed=1):
+def _two_way(spark, sf_dir, draws=1000, seed=1):
     cells = A.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 20).cast("int").alias("station"), ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).alias("month")).agg(
         F.count(F.lit(1)).alias("known"), F.count_if(F.col("l_partkey") % 5 == 0).alias("young")
     )
@@ -274,18 +258,18 @@ def _two_way(spark, sf_dir, draws=100, seed=1):
     for k, key in enumerate(("station", "month")):  # the blocks are those the data holds
         blocks = materialize(resample.numbered(cells, key), "blocks")
         drawn = resample.draw_blocks(spark, draws, blocks.count(), seed=2 * seed + k)
-        times.append(drawn.join(F.broadcast(blocks), "block").select("draw", key, "times"))
+        times.append(drawn.join(blocks, "block").select("draw", key, "times"))
     return resample.weighted_sums(cells, times, {"known": F.col("known"), "young": F.col("young")}).selectExpr("draw", "young / known as share")
 
 
 @query("u3_two_way", f"WITH {_TWO_WAY} SELECT draw::INT AS draw, share FROM tw")
-def u3_two_way(spark, sf_dir, draws=100, seed=1):
+def u3_two_way(spark, sf_dir, draws=1000, seed=1):
     """Station weights times month weights on aggregated cells."""
     return _two_way(spark, sf_dir, draws, seed)
 
 
 @query("u5_interval", f"WITH {_TWO_WAY} SELECT quantile_cont(share, 0.025) AS low, quantile_cont(share, 0.975) AS high, count(share) AS draws FROM tw")
-def u5_interval(spark, sf_dir, draws=100, seed=1):
+def u5_interval(spark, sf_dir, draws=1000, seed=1):
     return resample.interval(_two_way(spark, sf_dir, draws, seed), "share")
 
 
@@ -293,7 +277,7 @@ def u5_interval(spark, sf_dir, draws=100, seed=1):
     "u5_widened",
     f"WITH {_TWO_WAY} SELECT quantile_cont(0.2::DOUBLE + 1.4 * (share - 0.2::DOUBLE), 0.025) AS low, quantile_cont(0.2::DOUBLE + 1.4 * (share - 0.2::DOUBLE), 0.975) AS high, count(share) AS draws FROM tw",
 )
-def u5_widened(spark, sf_dir, draws=100, seed=1):
+def u5_widened(spark, sf_dir, draws=1000, seed=1):
     """Draws moved away from the estimate by a factor."""
     return resample.interval(resample.widen(_two_way(spark, sf_dir, draws, seed), "share", F.lit(0.2), 1.4), "share")
 
@@ -303,7 +287,7 @@ def u5_widened(spark, sf_dir, draws=100, seed=1):
     f"""WITH {_TWO_WAY}, w AS (SELECT date_trunc('week', o_orderdate)::DATE AS week_start, count(*)::DOUBLE AS n FROM orders GROUP BY ALL), c AS (SELECT week_start, least(greatest(n * share, 4), 12) AS v FROM w, tw)
     SELECT week_start, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM c GROUP BY ALL""",
 )
-def b8_band(spark, sf_dir, draws=100, seed=1):
+def b8_band(spark, sf_dir, draws=1000, seed=1):
     """Band of a clamped guess over all draws, per week."""
     weeks = A.table(spark, sf_dir, "orders").groupBy(timeline.week_of(F.to_date("o_orderdate")).alias("week_start")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     return resample.band(weeks, _two_way(spark, sf_dir, draws, seed), F.col("n") * F.col("share"), F.lit(4.0), F.lit(12.0))

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ebbtide.operators import joins, leaving, panel, search, tables, timeline, whatif
+from ebbtide.operators import joins, panel, search, tables, timeline, whatif
 from ebbtide.plans import adapters as A
 from ebbtide.plans import registry
 from ebbtide.plans.q_calendars import a7_weather_weekly, p13_week_terms
 from ebbtide.plans.q_events import a13_by_zone
-from ebbtide.plans.q_models import _PANEL, _SERIES, _panel, _series
+from ebbtide.plans.q_models import _SERIES, _series
 from ebbtide.plans.q_presence import _PRESENCE, _halls, _per_institution, a10_presence_index
 from ebbtide.plans.registry import query
 from ebbtide.plans.scratch import materialize
@@ -139,28 +139,6 @@ def l18_signal_grid(spark, sf_dir):
     return panel.scores(out, "y", "predicted", by).join(search.coverage(out, "y", "year", by), by)
 
 
-# --- input sets
-
-
-_SLOPES = f"{_PANEL}, sl AS (SELECT week_start, CASE WHEN weekend THEN 'weekend' ELSE 'weekday' END AS day, regr_slope(y, x) AS slope FROM pan GROUP BY ALL HAVING count(*) >= 3)"
-
-
-@query(
-    "m16_input_sets",
-    f"""WITH {_SLOPES}, inp AS (SELECT DISTINCT week_start, unnest(['estimated', 'nobody leaves', 'all leave in summer']) AS inputs, unnest([0.5::DOUBLE * (month(week_start) IN (6, 7))::INT + 0.25::DOUBLE * (month(week_start) IN (1, 12))::INT, 0, (month(week_start) IN (6, 7))::INT]) AS share FROM sl),
-    d AS (SELECT year(week_start) AS year, inputs, day, slope - avg(slope) OVER w AS s, CASE day WHEN 'weekday' THEN -6::DOUBLE ELSE -4::DOUBLE END * (share - avg(share) OVER w) AS p FROM sl JOIN inp USING (week_start) WINDOW w AS (PARTITION BY year(week_start), inputs, day))
-    SELECT year, inputs, day, sqrt(avg((s - p) ** 2)) AS rmse, count(*) AS weeks FROM d GROUP BY ALL""",
-)
-def m16_input_sets(spark, sf_dir):
-    """RMSE of slopes predicted from three sets of inputs, by year and day."""
-    slopes = panel.slopes(_panel(spark, sf_dir), ["week_start", "weekend"], F.col("y"), F.col("x"))
-    slopes = materialize(slopes.select("week_start", F.when(F.col("weekend"), "weekend").otherwise("weekday").alias("day"), "slope"), "slopes")
-    summer, breaks = F.month("week_start").isin(6, 7).cast("double"), F.month("week_start").isin(1, 12).cast("double")
-    sets = F.array(*(F.struct(F.lit(name).alias("inputs"), share.alias("share")) for name, share in (("estimated", 0.5 * summer + 0.25 * breaks), ("nobody leaves", F.lit(0.0)), ("all leave in summer", summer))))
-    inputs = slopes.select("week_start").distinct().select("week_start", F.explode(sets).alias("set")).select("week_start", "set.*")
-    return leaving.input_set_errors(slopes, inputs, {"weekday": -6.0, "weekend": -4.0})
-
-
 # --- scenarios
 
 _YEAR, _SHARES, _CENSUS = 1998, (0.66, 0.72), 50_000.0

@@ -5,7 +5,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ebbtide.operators import calendars, closures, events, panel, presence, reports, tables, timeline, windows
+from ebbtide.operators import calendars, closures, events, panel, presence, reports, tables, timeline
 from ebbtide.plans import adapters as A
 from ebbtide.plans.q_calendars import _FLAGS, a6_weekly_closed_days
 from ebbtide.plans.q_models import _SERIES, _series
@@ -323,18 +323,6 @@ def b18_trip_station_weeks(spark, sf_dir):
     return tables.trip_station_weeks(A.station_days(spark, sf_dir), 2.0)
 
 
-@query(
-    "m18_second_signal",
-    f"""WITH {A.TRIPS}, {_TRIP_WEEKS}, s AS (SELECT week_start, count(*) AS n, regr_slope(ln(weekday_entries), (stop_id::BIGINT % 10)::DOUBLE) AS slope FROM bw WHERE weekday_entries > 0 GROUP BY ALL HAVING count(*) >= 3)
-    SELECT year(week_start) AS year, count(*) AS n, corr(slope, month(week_start)::DOUBLE) AS r FROM s WHERE slope IS NOT NULL GROUP BY ALL""",
-)
-def m18_second_signal(spark, sf_dir):
-    """Slopes of the second signal against the time of year, guarded."""
-    rows = b18_trip_station_weeks(spark, sf_dir).filter("weekday_entries > 0")
-    slopes = panel.slopes(rows, ["week_start"], F.ln("weekday_entries"), (F.col("stop_id").cast("long") % 10).cast("double")).filter("slope is not null")
-    return slopes.groupBy(F.year("week_start").alias("year")).agg(F.count(F.lit(1)).alias("n"), windows.corr_from_sums(F.col("slope"), F.month("week_start").cast("double")).alias("r"))
-
-
 @query("b20_step_job", "SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY ALL")
 def b20_step_job(spark, sf_dir):
     """A step that reads by name, builds, and writes one table."""
@@ -349,18 +337,6 @@ def m19_panel_report(spark, sf_dir):
     return reports.panel_report(b19_panel_units(spark, sf_dir), "session_share", "y", "unit", "week_start", "calendar")
 
 
-@query(
-    "m20_fit_grid",
-    f"WITH {_SERIES}, g AS (SELECT * FROM (VALUES ('all', 1990, 2010), ('early', 1990, 1997), ('late', 1998, 2010)) v(period, lo, hi)), m AS (SELECT unnest(['rain', 'snow']) AS measure) SELECT period, measure, count(*) AS n, regr_slope(y, CASE measure WHEN 'rain' THEN rain ELSE snow END) AS slope FROM dat, g, m WHERE year(week_start) BETWEEN lo AND hi GROUP BY ALL",
-)
-def m20_fit_grid(spark, sf_dir):
-    """Every measure in every period in one pass."""
-    grid = spark.createDataFrame([("all", 1990, 2010), ("early", 1990, 1997), ("late", 1998, 2010)], "period string, lo int, hi int")
-    rows = _series(spark, sf_dir).crossJoin(F.broadcast(grid)).filter(F.year("week_start").between(F.col("lo"), F.col("hi")))  # weeks by three periods
-    long = rows.select("period", "y", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in ("rain", "snow")))).alias("v")).select("period", "y", "v.*")
-    return long.groupBy("period", "measure").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"))
-
-
 @query(
     "l19_subset_scores",
     f"""WITH {_SERIES}, e AS (SELECT y, rain AS a, 2 * rain AS b, month(week_start) IN (6, 7) AS summer FROM dat), s AS (SELECT 'all' AS subset, sqrt(avg((y - a) ** 2)) AS ra, sqrt(avg((y - b) ** 2)) AS rb FROM e UNION ALL SELECT 'summer', sqrt(avg((y - a) ** 2)), sqrt(avg((y - b) ** 2)) FROM e WHERE summer

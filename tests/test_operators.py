@@ -257,19 +257,6 @@ def test_held_out_months_do_not_see_their_neighbours(spark):
     assert all(calm[d] == pytest.approx(spiked[d], abs=1e-6) for d in calm)
 
 
-def test_stacked_and_joint_shares_are_recovered(spark):
-    rng = np.random.default_rng(4)
-    rows = []
-    for w in range(300):
-        summer, breaks = float(rng.random()), float(rng.random())
-        for signal, day, k in (("bike", "weekday", -6.0), ("bike", "weekend", -3.0), ("rail", "weekday", -2.0)):
-            rows.append((signal, day, k * (0.8 * summer + 0.4 * breaks) + float(rng.normal() * 0.01), summer, breaks))
-    found = leaving.joint_shares(spark.createDataFrame(rows, "signal string, day string, y double, summer double, breaks double"))
-    assert found["ratio"] == pytest.approx(0.5, abs=0.01) and found["k"]["bike", "weekday"] / found["k"]["rail", "weekday"] == pytest.approx(3.0, abs=0.03)
-    weeks = spark.createDataFrame([(-6 * 0.8 * a, -6 * 0.8 * a, a) for a in (0.1, 0.5, 0.9)], "weekday double, weekend double, summer double")
-    assert leaving.stacked_shares(weeks, ["summer"])["summer"] == pytest.approx(-4.8)
-
-
 def test_stack_weights_are_not_negative(spark):
     rows = spark.createDataFrame([(float(k), 0.5 * k, -float(k), 0.0) for k in range(1, 30)], "y double, a double, b double, c double")
     weights = models.stack_weights(rows, ["a", "b", "c"])
@@ -304,11 +291,20 @@ def test_neighbours_have_no_row_cap(spark):
     assert got == {1: 110_000.0, 2: 50.0}
 
 
-def test_draws_take_all_blocks_as_often(spark):
-    for run, blocks in ((1, 12), (3, 12), (5, 12)):
-        total = resample.draw_blocks(spark, 20, blocks, run).groupBy("draw").agg(F.sum("times").alias("n")).select("n").distinct().collect()
-        assert [r["n"] for r in total] == [blocks]
-    assert resample.draw_blocks(spark, 5, 7, seed=3).groupBy("draw").agg(F.sum("times").alias("n")).select("n").distinct().first()[0] == 7
+def test_draws_take_as_many_blocks_as_asked(spark):
+    for blocks, picks in ((12, None), (12, 4), (7, 3)):
+        total = resample.draw_blocks(spark, 20, blocks, picks, seed=3).groupBy("draw").agg(F.sum("times").alias("n")).select("n").distinct().collect()
+        assert [r["n"] for r in total] == [picks or blocks]
+
+
+@pytest.mark.parametrize("many, run", [(10, 3), (5, 1), (4, 9), (1, 2)])
+def test_moving_runs_lie_inside_the_months(spark, many, run):
+    cells = spark.createDataFrame([(k, float(k * k), 1) for k in range(many)], "block int, v double, n int")
+    runs, starts, picks = resample.moving_runs(cells, run, ["v", "n"])
+    length = min(run, many)
+    assert (starts, picks) == (many - length + 1, -(-many // length))
+    want = {s: (sum(k * k for k in range(s, s + length)), length) for s in range(starts)}
+    assert {r["block"]: (r["v"], r["n"]) for r in runs.collect()} == want
 
 
 def test_placebo_rotates_all_units(spark, sf):
@@ -332,13 +328,13 @@ def test_seeded_bootstraps_have_width(spark, sf):
     slopes = {round(r["slope"], 9) for r in q_models.u1_block_bootstrap(spark, sf, draws=1000, seed=1).collect()}
     assert len(slopes) > 900
     row = q_models.u5_interval(spark, sf, seed=1).first()
-    assert row["draws"] == 100 and row["high"] - row["low"] > 0.005
+    assert row["draws"] == 1000 and row["high"] - row["low"] > 0.005
 
 
 def test_two_way_draws_keep_months_outside_the_study(spark, sf, tmp_path):
     old = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("l_shipdate", F.expr("l_shipdate - interval 20 years"))
     old.write.parquet(f"{tmp_path}/lineitem.parquet")
-    assert q_models.u3_two_way(spark, str(tmp_path)).count() == 100
+    assert q_models.u3_two_way(spark, str(tmp_path)).count() == 1000
 
 
 def test_housing_is_capped_by_beds(spark):
