@@ -9,7 +9,7 @@ from ebbtide.plans.scratch import materialize
 
 ROW = "__row"
 #: Lists of at most this many ids may be broadcast; longer ones are joined by shuffling both sides.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -20,8 +20,3 @@ def numbered(rows: DataFrame) -> DataFrame:
 def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows whose key is not in ``ids``; rows with a null key stay."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti")
-
-
-def within(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows whose key is in ``ids``."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")

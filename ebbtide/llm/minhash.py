@@ -7,12 +7,16 @@ four values; documents that share a band are compared.
 Nothing is quadratic in a bucket's size on the main path: documents of equal
 sets are one class, every class is compared with the smallest class of each of
 its buckets (the hub), and only what is still apart is compared within the
-hub's family, in bounded tiles that return spanning links instead of pairs.
+hub's family, in tiles that return spanning links instead of pairs.  A tile is two
+chunks of members of like size, bounded in rows and in shingles, and only chunks
+meet whose sizes can be 0.75 alike.
 
 Nulls and edge cases: a null text, an empty text or one without words has an
 empty set and links with nothing; rows that share a doc_id count as one
 document, and one without doc_id joins the component of its equals but never
-leads one; ties go to the smallest doc_id; an empty table gives no rows.
+leads one; ties go to the smallest doc_id; texts of any length are compared whole,
+and a set beyond a chunk's share of shingles makes a chunk of its own; columns other
+than doc_id and text are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from ebbtide.llm import textkit
 from ebbtide.llm.grouping import by_key, local_roots
 from ebbtide.operators.graph import connected_components
+from ebbtide.operators.ranking import running_total
 from ebbtide.plans.scratch import materialize
 
 PERMUTATIONS = 64
@@ -34,9 +39,10 @@ BANDS = 32
 #: A pair goes on to the exact comparison when this share of its signature agrees:
 #: five standard deviations of a 128-value signature below 0.75.
 LIKELY = 0.55
-TILE = 512
+#: Rows of a chunk at most, and the shingles that a row counts for at least.
+TILE, ROW = 512, 4096
 #: Ids of at most this many rows may be broadcast; beyond it both sides are shuffled.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
 
 _MUL, _ADD = textkit.seeded(PERMUTATIONS, 17), textkit.seeded(PERMUTATIONS, 19)
 _FOLD = textkit.seeded(4, 23)
@@ -177,30 +183,28 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(roots), pa.int64()), pa.array(list(roots.values()), pa.int64())], names=["a", "b"])
 
 
-def _family_sizes(members: DataFrame) -> DataFrame:
-    # written, so that a large family's rows can be split where they meet its sizes
-    return materialize(members.groupBy("hub").agg(F.count_if("late").alias("n_late"), F.count_if(~F.col("late")).alias("n_main")), "sizes")
+def _tiles(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """Deal each family's members to pairs of chunks, of at most ``TILE`` rows and ``TILE * ROW`` shingles each.
 
-
-def _tiles(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Deal each family's members to tiles of at most about ``TILE`` rows a side.
-
-    ``late`` members are those outside the hub's component: they meet each
-    other and the hub's component; members inside it don't meet again.
-    """
-    chunked = (
-        members.join(sizes, "hub")
-        .withColumn("c_late", F.ceil(F.col("n_late") / TILE).cast("int"))
-        .withColumn("c_main", F.ceil(F.col("n_main") / TILE).cast("int"))
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.when(F.col("late"), F.col("c_late")).otherwise(F.col("c_main"))).cast("int"))
-    )
-    tile = """
-        if(late,
-           concat(transform(sequence(0, c_late - 1), k -> named_struct('kind', 0, 'i', least(chunk, k), 'j', greatest(chunk, k))),
-                  if(c_main > 0, transform(sequence(0, c_main - 1), k -> named_struct('kind', 1, 'i', chunk, 'j', k)), array())),
-           transform(sequence(0, c_late - 1), k -> named_struct('kind', 1, 'i', k, 'j', chunk)))
+    ``members`` has hub, doc_id, comp, late and n_shingles; ``rows`` the columns to ship by doc_id.  ``late`` members
+    are those outside the hub's component: they meet each other and the hub's component; members inside it don't meet
+    again.  Chunks hold members of like size, and only chunks meet whose sizes can be 0.75 alike.  A set of more
+    shingles than a chunk's share is a chunk with at most one more.
     """
-    return chunked.filter("n_late + n_main > 1 and n_late > 0").select(*members.columns, "chunk", F.explode(F.expr(tile)).alias("tile")).select("*", "tile.*").drop("tile")
+    weight = F.col("n_shingles") + ROW
+    placed = running_total(members.withColumn("weight", weight), ["hub", "late", "n_shingles", "doc_id"], "weight", "before", "place")
+    side = ["hub", "late"]
+    start = materialize(placed.groupBy(*side).agg(F.min("before").alias("start")), "sides")
+    chunk = F.floor((F.col("before") - F.col("start")) / (TILE * ROW)).cast("int")
+    chunked = materialize(placed.join(start, side).withColumn("chunk", chunk).drop("weight", "before", "place", "start"), "chunked")
+    spans = materialize(chunked.groupBy(*side, "chunk").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi")), "spans")
+    late = spans.filter("late").select("hub", F.col("chunk").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
+    other = spans.select("hub", "late", F.col("chunk").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    near = "4 * hi_i >= 3 * lo_j AND 4 * hi_j >= 3 * lo_i AND (NOT late OR i <= j)"
+    pairs = late.join(other, "hub").filter(near).select("hub", F.when(F.col("late"), 0).otherwise(1).alias("kind"), "i", "j")
+    ends = F.expr("IF(kind = 0, array_distinct(array(named_struct('late', true, 'chunk', i), named_struct('late', true, 'chunk', j))), array(named_struct('late', true, 'chunk', i), named_struct('late', false, 'chunk', j)))")
+    slots = materialize(pairs.select("hub", "kind", "i", "j", F.explode(ends).alias("end")).select("hub", "kind", "i", "j", "end.*"), "slots")
+    return chunked.join(slots, [*side, "chunk"]).join(rows, "doc_id")
 
 
 def _by_tile(rows: DataFrame) -> DataFrame:
@@ -248,11 +252,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     apart = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     open_families = apart.filter("n > 1 and n_late > 0 and lo <> hi").select("hub")
-    members = materialize(members.join(open_families, "hub", "left_semi").select("hub", "doc_id", "comp", "late"), "members")
-    flagged = _by_tile(_tiles(members.join(sketches, "doc_id"), _family_sizes(members))).mapInArrow(_flag, "hub long, doc_id long").distinct()
+    sizes = sketches.select("doc_id", "n_shingles")
+    members = materialize(members.join(open_families, "hub", "left_semi").select("hub", "doc_id", "comp", "late").join(sizes, "doc_id"), "members")
+    flagged = _by_tile(_tiles(members, sketches.drop("n_shingles"))).mapInArrow(_flag, "hub long, doc_id long").distinct()
     chosen = materialize(members.join(flagged, ["hub", "doc_id"], "left_semi"), "chosen")
     more = shingle_sets_of(docs, chosen.select("doc_id").distinct())
-    links = _by_tile(_tiles(chosen.join(more, "doc_id"), _family_sizes(chosen))).mapInArrow(_link, "a long, b long")
+    links = _by_tile(_tiles(chosen, more)).mapInArrow(_link, "a long, b long")
     second = connected_components(links, "a", "b", "comp", "last")
     reps = classes.select(*key, "rep").join(first.withColumnRenamed("doc_id", "rep"), "rep", "left")
     reps = reps.withColumn("comp", F.coalesce("comp", "rep")).join(second, "comp", "left").select(*key, F.coalesce("last", "comp").alias("component"))

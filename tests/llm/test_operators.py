@@ -594,6 +594,18 @@ def test_large_groups_are_compared_in_tiles(spark, monkeypatch):
     assert len({r[2] for r in want if r[0] < 500}) > 1
 
 
+def test_families_of_many_sizes_and_megabytes(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 4)
+    monkeypatch.setattr(minhash, "ROW", 50)
+    rng = random.Random(8)
+    base = sentence(rng, 160).split()
+    docs = [(k, " ".join(base[: 40 + k])) for k in range(0, 120, 2)]
+    docs += [(200 + k, " ".join(base[k:])) for k in range(0, 100, 5)]
+    huge = [f"w{n}" for n in range(150_000)]  # a megabyte each
+    docs += [(300, " ".join(huge)), (301, " ".join(huge[:140_000])), (302, " ".join(huge[20_000:])), (303, " ".join(huge[:60_000])), (304, " ".join(["x", *huge]))]
+    assert near_rows(spark.createDataFrame(docs, "doc_id long, text string")) == brute_near(docs)
+
+
 def test_common_counts():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, 30)) for _ in range(9)]
