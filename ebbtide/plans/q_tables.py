@@ -224,18 +224,6 @@ def d11_calendar_coverage(spark, sf_dir):
     return joined.groupBy("fall_year").agg((F.sum(F.when(F.col("known"), F.col("in_person"))) / F.sum("in_person")).alias("covered"))
 
 
-@query(
-    "l15_version_comparison",
-    f"""WITH {_SERIES}, p AS (SELECT year(week_start) AS year, y, rain AS a, 2 * rain AS b FROM dat), s AS (SELECT year, sqrt(avg((y - a) ** 2)) AS ra, sqrt(avg((y - b) ** 2)) AS rb FROM p GROUP BY ALL) SELECT year, ra AS rmse_base, rb AS rmse_other, 100 * (rb / ra - 1) AS change_percent FROM s""",
-)
-def l15_version_comparison(spark, sf_dir):
-    """Versions side by side, with the change against the baseline."""
-    rows = _series(spark, sf_dir).withColumn("year", F.year("week_start"))
-    long = rows.select("year", "y", F.explode(F.array(F.struct(F.lit("base").alias("version"), F.col("rain").alias("p")), F.struct(F.lit("other").alias("version"), (2 * F.col("rain")).alias("p")))).alias("v")).select("year", "y", "v.*")
-    wide = panel.scores(long, "y", "p", ["year", "version"]).groupBy("year").pivot("version", ["base", "other"]).agg(F.first("rmse")).withColumnsRenamed({"base": "rmse_base", "other": "rmse_other"})
-    return wide.withColumn("change_percent", 100 * (F.col("rmse_other") / F.col("rmse_base") - 1))
-
-
 @query("l8_splines")
 def l8_splines(spark, sf_dir):
     """Additive splines by sums of products."""
@@ -337,18 +325,6 @@ def m19_panel_report(spark, sf_dir):
     return reports.panel_report(b19_panel_units(spark, sf_dir), "session_share", "y", "unit", "week_start", "calendar")
 
 
-@query(
-    "l19_subset_scores",
-    f"""WITH {_SERIES}, e AS (SELECT y, rain AS a, 2 * rain AS b, month(week_start) IN (6, 7) AS summer FROM dat), s AS (SELECT 'all' AS subset, sqrt(avg((y - a) ** 2)) AS ra, sqrt(avg((y - b) ** 2)) AS rb FROM e UNION ALL SELECT 'summer', sqrt(avg((y - a) ** 2)), sqrt(avg((y - b) ** 2)) FROM e WHERE summer
-    UNION ALL SELECT 'not summer', sqrt(avg((y - a) ** 2)), sqrt(avg((y - b) ** 2)) FROM e WHERE NOT summer) SELECT subset, 'a' AS model, ra AS rmse, 0::DOUBLE AS change_percent FROM s UNION ALL SELECT subset, 'b', rb, 100 * (rb / ra - 1) FROM s""",
-)
-def l19_subset_scores(spark, sf_dir):
-    """Every model on every subset against the baseline, in one pass."""
-    rows = _series(spark, sf_dir).withColumns({"a": F.col("rain"), "b": 2 * F.col("rain")})
-    summer = F.month("week_start").isin(6, 7)
-    return tables.subset_scores(rows, "y", ["a", "b"], "a", {"all": F.lit(True), "summer": summer, "not summer": ~summer})
-
-
 @query("d10_most_who_could_leave", f"WITH {_INPUTS} SELECT median(breaks / nullif(out, 0)) AS ratio, count(*) AS n FROM inp WHERE out >= 0.9")
 def d10_most_who_could_leave(spark, sf_dir):
     """Median ratio in weeks when all are away."""
@@ -361,12 +337,3 @@ def d12_presentation(spark, sf_dir):
     """Columns renamed with their units, codes as words."""
     state = F.when(F.col("c_acctbal") < 0, "in debt").otherwise("in credit")
     return A.table(spark, sf_dir, "customer").select(F.col("c_name").alias("Customer"), F.col("c_acctbal").alias("Balance ($)"), state.alias("State"))
-
-
-@query("d13_headlines", "SELECT count(*) AS orders, count(DISTINCT o_custkey) AS customers, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS largest_order, median(o_totalprice) AS median_price, avg((o_orderstatus = 'F')::INT) AS share_final FROM orders")
-def d13_headlines(spark, sf_dir):
-    """Headline numbers as one row."""
-    return A.table(spark, sf_dir, "orders").agg(
-        F.count(F.lit(1)).alias("orders"), F.count_distinct("o_custkey").alias("customers"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("largest_order"),
-        F.percentile("o_totalprice", 0.5).alias("median_price"), F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("share_final"),
-    )

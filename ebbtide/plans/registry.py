@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("q_events", "q_calendars", "q_presence", "q_models", "q_population", "q_reports", "q_learning", "q_tables", "q_search")
+MODULES = ("q_events", "q_calendars", "q_presence", "q_models", "q_population", "q_reports", "q_learning", "q_tables", "q_search", "q_evaluation")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
