@@ -12,7 +12,7 @@ NON_PUBLIC_STATION = r"(?i)\b(test|warehouse|repair|depot)\b|^8D (OPS|QC)\b|^MTL
 TYPICAL_WEEKS, CLOSED_SHARE = 9, 0.5
 RAIN_MM, HEAVY_RAIN_MM, SNOW_MM, ICE_C, HOT_C = 1, 10, 10, 0, 30
 SNAP_M, NEIGHBOUR_M, SAME_STATION_M = 100, 1000, 10
-MIN_WEEKS, MIN_PANEL_WEEKS, MIN_KIND_WEEKS = 20, 52, 4
+MIN_YEAR_WEEKS, MIN_PANEL_WEEKS, MIN_KIND_WEEKS = 20, 52, 4
 LEGACY_RENAME = {
     "starttime": "started_at", "stoptime": "ended_at", "start station id": "start_station_id", "start station name": "start_station_name",
     "start station latitude": "start_lat", "start station longitude": "start_lng", "end station id": "end_station_id", "end station name": "end_station_name",

@@ -128,13 +128,27 @@ def assign_towns(points: DataFrame, key: str, town_edges: DataFrame, snap: float
 
 
 def same_station(points: DataFrame, key: str, within: float = config.SAME_STATION_M) -> DataFrame:
-    """(key, station): records chained by steps of at most ``within`` metres share the smallest key."""
-    here = located(points).filter("x is not null").select(key, "x", "y", F.floor(F.col("x") / within).alias("cx"), F.floor(F.col("y") / within).alias("cy"))
-    around = F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    there = here.select(F.col(key).alias("__other"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.explode(around).alias("c")).select("__other", "__x", "__y", "c.*")
-    links = here.join(there, ["cx", "cy"]).filter((F.col(key) < F.col("__other")) & (distance(F.col("x"), F.col("y"), F.col("__x"), F.col("__y")) <= within))
-    found = connected_components(links, key, "__other", key, "station")
-    return points.select(key).join(found, key, "left").withColumn("station", F.coalesce("station", key))
+    """(key, station): records chained by steps of at most ``within`` metres share the smallest key.
+
+    Records of one place count once.  Cells are so small that all places of a cell are linked: each is linked to its
+    cell's smallest, and two cells once if any of their places are near enough, so no pairs are made within a cell.
+    """
+    side = within / 1.4143
+    here = located(points).filter("x is not null").select(key, "x", "y")
+    places = here.groupBy("x", "y").agg(F.min(key).alias("__place")).withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    places = materialize(places, "places")
+    first = materialize(places.groupBy("cx", "cy").agg(F.min("__place").alias("__cell")), "cells")
+    own = places.join(first, ["cx", "cy"])
+    # each pair of cells from one side only
+    ahead = [(i, j) for i in (-2, -1, 0, 1, 2) for j in (-2, -1, 0, 1, 2) if (i, j) > (0, 0)]
+    around = F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i, j in ahead))
+    there = own.select(F.col("__cell").alias("__other"), F.col("x").alias("__x"), F.col("y").alias("__y"), F.explode(around).alias("c")).select("__other", "__x", "__y", "c.*")
+    across = own.join(there, ["cx", "cy"]).filter(distance(F.col("x"), F.col("y"), F.col("__x"), F.col("__y")) <= within).select("__cell", "__other").distinct()
+    links = own.select(F.col("__place").alias("__cell"), F.col("__cell").alias("__other")).unionByName(across)
+    found = connected_components(links, "__cell", "__other", "__place", "station")
+    at = materialize(places.join(found, "__place", "left").select("x", "y", F.coalesce("station", "__place").alias("station")), "stations")
+    named = here.join(at, ["x", "y"]).select(key, "station")
+    return points.select(key).join(named, key, "left").withColumn("station", F.coalesce("station", key))
 
 
 def groups_by_shared(members: DataFrame, area: str, town: str) -> DataFrame:

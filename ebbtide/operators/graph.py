@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.plans.scratch import materialize
+from ebbtide.plans.scratch import materialize, release
 
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node on the node's smallest neighbour."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hang every larger neighbour of a node on the node's smallest neighbour; and a written table that this reads."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # written, so that both sides of the join are shuffled and a hub's rows can be split over tasks
     least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Hang a node and its smaller neighbours on the smallest of them."""
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hang a node and its smaller neighbours on the smallest of them; and a written table that this reads."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     rest = down.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionByName(least.select("u", F.col("m").alias("v")))
+    return rest.unionByName(least.select("u", F.col("m").alias("v"))), least
 
 
 def connected_components(edges: DataFrame, a: str, b: str, node: str = "node", component: str = "component") -> DataFrame:
@@ -43,7 +43,12 @@ def connected_components(edges: DataFrame, a: str, b: str, node: str = "node", c
         seen = state.unionByName(roots).groupBy("u").agg(F.sum("n").alias("n"), F.sum("r").alias("r"))
         if seen.filter("n > 1 or (n > 0 and r > 0)").isEmpty():
             break
-        now = materialize(_small_star(materialize(_large_star(now).distinct(), "edges")).distinct(), "edges")
+        large, least = _large_star(now)
+        between = materialize(large.distinct(), "edges")
+        release(now, least)
+        small, least = _small_star(between)
+        now = materialize(small.distinct(), "edges")
+        release(between, least)  # the disk holds one round
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     leaves = now.select(F.col("u").alias(node), F.col("v").alias(component))

@@ -38,19 +38,22 @@ def mean_nearby(rows: DataFrame, unit: str, day: str, value: str, usable: Column
 def interpolate(rows: DataFrame, at: str, anchors: DataFrame, anchor: str, value: str, name: str) -> DataFrame:
     """Linear between dated anchors, flat outside them, with a flag for outside.
 
-    Rows and anchors meet in one sorted pass: each row looks back and ahead to
-    the nearest anchor, so no range join is needed.
+    A row's value depends on its day alone, so the distinct days and the anchors meet in one sorted pass, each day
+    looking back and ahead to the nearest anchor; rows then take their day's value.  However many rows there are,
+    what is sorted in one partition is a calendar.  A row without a day has no value.
     """
-    both = rows.withColumn("__t", F.unix_date(at)).unionByName(anchors.select(F.unix_date(anchor).alias("__t"), F.col(value).cast("double").alias("__v"), F.lit(True).alias("__anchor")), allowMissingColumns=True)
+    days = rows.select(F.col(at).alias("__day")).filter("__day is not null").distinct()
+    both = days.withColumn("__t", F.unix_date("__day")).unionByName(anchors.select(F.unix_date(anchor).alias("__t"), F.col(value).cast("double").alias("__v"), F.lit(True).alias("__anchor")), allowMissingColumns=True)
     back = W.orderBy("__t", F.col("__anchor").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
     ahead = W.orderBy("__t", F.col("__anchor").asc_nulls_last()).rowsBetween(0, W.unboundedFollowing)
     point = F.when(F.col("__anchor"), F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))
-    # weekly rows and yearly anchors: a few thousand rows in one partition
     met = both.withColumns({"__a": F.last(point, True).over(back), "__b": F.first(point, True).over(ahead)}).filter("__anchor is null")
     a, b = F.col("__a"), F.col("__b")
     value_at = F.when(a["t"] == F.col("__t"), a["v"]).when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("__t") - a["t"]) / (b["t"] - a["t"]))
     outside = F.coalesce(F.col("__t") != a["t"], F.lit(True)) & (a.isNull() | b.isNull())
-    return met.withColumns({name: value_at, "extrapolated": outside}).select(*rows.columns, name, "extrapolated")
+    found = met.select("__day", value_at.alias("__value"), outside.alias("__outside"))
+    kept = [c for c in rows.columns if c not in (name, "extrapolated")]
+    return rows.join(found, F.col(at) == F.col("__day"), "left").select(*kept, F.col("__value").alias(name), F.col("__outside").alias("extrapolated"))
 
 
 def paired_change(rows: DataFrame, keys: list[str], month: Column, first: int, second: int, value: str) -> DataFrame:

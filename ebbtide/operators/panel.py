@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ebbtide.plans.scratch import materialize
+from ebbtide.plans.scratch import materialize, release
 
 MAX_ROUNDS = 50
 
@@ -23,15 +23,19 @@ def demean(df: DataFrame, columns: list[str], groupings: list[list[str]], tolera
     Means are aggregated before they are shuffled and written, so that the rows
     of a large group can be split where they meet them.
     """
-    now = materialize(df, "panel")
+    held = materialize(df, "panel")
+    now = held
     for _ in range(MAX_ROUNDS):
+        read = [held]
         stepped = now.withColumns({f"__was_{c}": F.col(c).cast("double") for c in columns})
         for keys in groupings:
             means = stepped.groupBy(*(F.col(k).alias(f"__g{n}") for n, k in enumerate(keys))).agg(*(F.avg(c).alias(f"__m_{c}") for c in columns))
             same = [F.col(k).eqNullSafe(F.col(f"__g{n}")) for n, k in enumerate(keys)]
-            joined = stepped.join(materialize(means, "means"), same)
+            read.append(materialize(means, "means"))
+            joined = stepped.join(read[-1], same)
             stepped = joined.select(*((F.col(c) - F.col(f"__m_{c}")).alias(c) if c in columns else c for c in stepped.columns))
-        stepped = materialize(stepped, "demeaned")
+        stepped = held = materialize(stepped, "demeaned")
+        release(*read)  # the disk holds one round
         largest = stepped.agg(F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"__was_{c}")) for c in columns), F.lit(0.0)))).first()[0]
         now = stepped.drop(*(f"__was_{c}" for c in columns))
         if largest is None or largest <= tolerance:

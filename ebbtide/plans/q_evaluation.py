@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ebbtide import config
 from ebbtide.operators import evaluation, timeline
 from ebbtide.plans import adapters as A
 from ebbtide.plans.q_models import _SERIES, _series
@@ -93,7 +94,7 @@ def d9_model_results(spark, sf_dir):
 # --- change from session to summer
 
 
-_MIN_WEEKS = 4
+_MIN_WEEKS = config.MIN_KIND_WEEKS
 _SURVEY = {"share_a": "m1", "share_b": "0.5 * m1 + (unit % 7) / 200", "share_c": "(unit % 5) / 10"}
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ebbtide import config
 from ebbtide.operators import calendars, joins, presence, timeline, windows
 from ebbtide.plans import adapters as A
 from ebbtide.plans.registry import query
@@ -305,7 +306,7 @@ def a27_within_year_corr(spark, sf_dir):
     """Correlation within each year with enough weeks, guarded against constants."""
     rain = A.weather_days(spark, sf_dir).groupBy(timeline.week_of(F.col("date")).alias("week_start")).agg(F.sum("rain_mm").alias("x"))
     both = rain.join(_weeks(spark, sf_dir), "week_start")
-    return both.groupBy(F.year("week_start").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 20, windows.corr_from_sums(F.col("x"), F.col("n").cast("double"))).alias("r"))
+    return both.groupBy(F.year("week_start").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= config.MIN_YEAR_WEEKS, windows.corr_from_sums(F.col("x"), F.col("n").cast("double"))).alias("r"))
 
 
 @query(

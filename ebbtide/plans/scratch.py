@@ -39,7 +39,20 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{shared_folder(spark)}/ebbtide-{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    where, store = _place(spark, path)
+    store.deleteOnExit(where)
+    held = spark.read.schema(schema).parquet(path)
+    held.written_to = path
+    return held
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``materialize`` returned and nothing reads any more."""
+    for table in tables:
+        where, store = _place(table.sparkSession, table.written_to)
+        store.delete(where, True)

@@ -14,7 +14,7 @@ def test_queries_do_without_the_training_data_operators(monkeypatch):
 
     def refuse(name, globals=None, locals=None, fromlist=(), level=0):
         if name == "ebbtide.llm":
-            raise ImportError(name)
+            raise ImportError(name, name=name)
         return whole(name, globals, locals, fromlist, level)
 
     with monkeypatch.context() as m:
@@ -24,6 +24,21 @@ def test_queries_do_without_the_training_data_operators(monkeypatch):
     importlib.reload(__spark_entry__)
 
 
+def test_a_missing_package_of_an_operator_is_not_hidden(monkeypatch):
+    whole = builtins.__import__
+
+    def refuse(name, globals=None, locals=None, fromlist=(), level=0):
+        if name == "ebbtide.llm":
+            raise ImportError("no tokenizers", name="tokenizers")
+        return whole(name, globals, locals, fromlist, level)
+
+    with monkeypatch.context() as m:
+        m.setattr(builtins, "__import__", refuse)
+        with pytest.raises(ImportError, match="tokenizers"):
+            importlib.reload(__spark_entry__)
+    importlib.reload(__spark_entry__)
+
+
 class _Session:
     """A session that names no folder."""
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter
 from datetime import date, datetime
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbtide.operators import calendars, closures, events, geo, graph, joins, leaving, living, models, panel, presence, ranking, reports, resample, timeline, whatif, windows
-from ebbtide.plans import q_learning, q_models
+from ebbtide.plans import q_learning, q_models, scratch
 from ebbtide.sources import files
 
 LEGACY = ["tripduration", "starttime", "stoptime", "start station id", "start station name", "start station latitude", "start station longitude", "end station id", "end station name", "bikeid", "usertype", "birth year"]
@@ -360,3 +361,55 @@ def test_report_helpers(spark):
     text = spark.createDataFrame([(1234.0, 1000.4, 1500.6), (None, None, None)], "v double, a double, b double").select(reports.interval_text(F.col("v"), F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in text] == ["1,234 (1,000–1,501)", "not known"]
     assert [r[0] for r in spark.createDataFrame([(" 12,345 ",), ("",), (None,)], "t string").select(files.thousands(F.col("t"))).collect()] == [12345, None, None]
+
+
+def test_components_leave_one_round_on_disk(spark):
+    folder = scratch.shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    before = {p for p in os.listdir(folder) if p.startswith("ebbtide-")}
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    found = graph.connected_components(edges, "a", "b")
+    assert {r["component"] for r in found.collect()} == {0}
+    assert len({p for p in os.listdir(folder) if p.startswith("ebbtide-")} - before) <= 1
+
+
+def test_demeaning_leaves_one_round_on_disk(spark):
+    folder = scratch.shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    before = {p for p in os.listdir(folder) if p.startswith("ebbtide-")}
+    rows = spark.createDataFrame([(k % 3, k % 5, float(k * k % 7)) for k in range(23)], "a int, b int, y double")
+    assert abs(panel.demean(rows, ["y"], [["a"], ["b"]]).agg(F.sum("y")).first()[0]) < 1e-6
+    assert len({p for p in os.listdir(folder) if p.startswith("ebbtide-")} - before) <= 1
+
+
+def test_stations_of_one_place_and_of_chains(spark):
+    rng = random.Random(3)
+    places = [(rng.uniform(42.30, 42.3008), rng.uniform(-71.15, -71.1492)) for _ in range(60)]
+    rows = [(k, *places[k % 60]) for k in range(400)] + [(900, None, None)]
+    found = {r["id"]: r["station"] for r in geo.same_station(spark.createDataFrame(rows, "id int, lat double, lng double"), "id", 10.0).collect()}
+    xy = {k: ((lng - geo.LNG0) * geo.M_PER_LNG, (lat - geo.LAT0) * geo.M_PER_LAT) for k, lat, lng in rows if lat is not None}
+    root = {k: k for k in xy}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(60):
+        for b in range(a):
+            if math.dist(xy[a], xy[b]) <= 10.0:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert found == {k: top(k % 60) for k in xy} | {900: 900}
+    assert 1 < len(set(found.values())) < 60
+
+
+def test_interpolation_with_many_rows_a_day(spark):
+    days = spark.range(5000).select(F.date_add(F.lit(date(2020, 1, 1)), (F.col("id") % 400).cast("int")).alias("day"), "id").unionByName(spark.createDataFrame([(None, -1)], "day date, id long"))
+    anchors = spark.createDataFrame([(date(2020, 3, 1), 10.0), (date(2020, 12, 1), 285.0)], "d date, v double")
+    rows = joins.interpolate(days, "day", anchors, "d", "v", "value").collect()
+    assert len(rows) == 5001
+    for r in rows:
+        if r["day"] is None:
+            assert r["value"] is None
+            continue
+        n = min(max((r["day"] - date(2020, 3, 1)).days, 0), 275)
+        assert r["value"] == pytest.approx(10.0 + n) and r["extrapolated"] == (not date(2020, 3, 1) <= r["day"] <= date(2020, 12, 1))
