@@ -92,12 +92,12 @@ def g6_station_data(spark, sf_dir):
 
 @query(
     "g9_groups_by_shared",
-    """WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey AS area, l_partkey % 1999 AS town FROM lineitem WHERE l_orderkey % 97 = 0), l AS (SELECT DISTINCT a.area AS a, b.area AS b FROM m a JOIN m b USING (town)),
+    """WITH RECURSIVE m AS (SELECT DISTINCT o_custkey AS area, (o_custkey + (o_custkey % 7 = 2 AND o_orderkey % 2 = 0)::INT) // 3 AS town FROM orders), l AS (SELECT DISTINCT a.area AS a, b.area AS b FROM m a JOIN m b USING (town)),
     r(a, b) AS (SELECT DISTINCT area, area FROM m UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS area, min(b) AS "group" FROM r GROUP BY a""",
 )
 def g9_groups_by_shared(spark, sf_dir):
     """Areas that share a town, directly or through others."""
-    members = A.table(spark, sf_dir, "lineitem").filter("l_orderkey % 97 = 0").selectExpr("l_suppkey as area", "l_partkey % 1999 as town").distinct()
+    members = A.table(spark, sf_dir, "orders").selectExpr("o_custkey as area", "(o_custkey + if(o_custkey % 7 = 2 and o_orderkey % 2 = 0, 1, 0)) div 3 as town").distinct()
     return geo.groups_by_shared(members, "area", "town")
 
 

@@ -131,11 +131,11 @@ def j1_spine(spark, sf_dir):
 
 @query(
     "j5_full_outer",
-    """WITH a AS (SELECT o_custkey AS k, count(*) AS orders FROM orders WHERE o_custkey % 3 <> 0 GROUP BY ALL), b AS (SELECT c_custkey AS k, c_acctbal FROM customer WHERE c_custkey % 2 = 0) SELECT coalesce(a.k, b.k) AS k, orders, c_acctbal FROM a FULL JOIN b ON a.k = b.k""",
+    """WITH a AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY ALL), b AS (SELECT c_custkey + 50 AS k, c_acctbal FROM customer) SELECT coalesce(a.k, b.k) AS k, orders, c_acctbal FROM a FULL JOIN b ON a.k = b.k""",
 )
 def j5_full_outer(spark, sf_dir):
-    a = A.table(spark, sf_dir, "orders").filter("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("orders"))
-    b = A.table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_acctbal")
+    a = A.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("orders"))
+    b = A.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 50).alias("k"), "c_acctbal")
     return a.join(b, "k", "full")
 
 
@@ -279,12 +279,12 @@ def v4_neighbours(spark, sf_dir):
 
 @query(
     "v5_runs",
-    """WITH f AS (SELECT DISTINCT n_nationkey AS unit, d::DATE AS day, (dayofyear(d) + n_nationkey * 3) % 17 < 6 AS flag FROM nation, (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE year(o_orderdate) = 1997)),
+    """WITH f AS (SELECT DISTINCT n_nationkey AS unit, d::DATE AS day, (dayofyear(d) + n_nationkey * 3) % 17 < 6 AS flag FROM nation, (SELECT DISTINCT o_orderdate::DATE AS d FROM orders)),
     g AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY day) - row_number() OVER (PARTITION BY unit, flag ORDER BY day) AS k FROM f) SELECT unit, flag, min(day) AS first, max(day) AS last, count(*) AS n FROM g GROUP BY unit, flag, k""",
 )
 def v5_runs(spark, sf_dir):
     """Contiguous runs of a flag."""
-    days = A.table(spark, sf_dir, "orders").filter("year(o_orderdate) = 1997").select(F.to_date("o_orderdate").alias("day")).distinct()
+    days = A.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     flags = A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit")).crossJoin(days).withColumn("flag", (F.dayofyear("day") + F.col("unit") * 3) % 17 < 6)
     return windows.runs(flags, ["unit"], "day", "flag")
 
