@@ -205,7 +205,7 @@ def j11_interpolate(spark, sf_dir):
     """WITH w AS (SELECT l_suppkey, year(l_shipdate) AS year, avg(l_quantity) FILTER (month(l_shipdate) = 6) AS before, avg(l_quantity) FILTER (month(l_shipdate) = 9) AS after FROM lineitem GROUP BY ALL) SELECT *, ln(after / before) AS log_change FROM w WHERE before > 0 AND after > 0""",
 )
 def j14_paired_change(spark, sf_dir):
-    """June against September of the same place and year."""
+    """June against September of the same place and year."""
     rows = A.table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
     return joins.paired_change(rows, ["l_suppkey", "year"], F.month("l_shipdate"), 6, 9, "l_quantity")
 

@@ -252,7 +252,7 @@ def d5_interval_text(spark, sf_dir):
 
 @query("r6_long_metrics", "UNPIVOT (SELECT c_nationkey, count(*)::DOUBLE AS n, max(c_acctbal) AS most, min(c_acctbal) AS least FROM customer GROUP BY ALL) ON n, most, least INTO NAME metric VALUE value")
 def r6_long_metrics(spark, sf_dir):
-    """A wide result as long metric rows."""
+    """A wide result as long metric rows."""
     wide = A.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("most"), F.min("c_acctbal").alias("least"))
     return reports.long_metrics(wide, ["c_nationkey"], ["n", "most", "least"])
 
