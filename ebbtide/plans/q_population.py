@@ -292,7 +292,7 @@ def _joint_sql(draws, rounds):
 
 @query(
     "m11_joint_shares",
-    f"""WITH RECURSIVE {_joint_sql(leaving.DRAWS, 150)} SELECT e.label AS signals, e.parameter, e.value AS estimate, quantile_cont(e.value + 1.4 * (d.value - e.value), 0.025) AS low, quantile_cont(e.value + 1.4 * (d.value - e.value), 0.975) AS high,
+    f"""WITH RECURSIVE {_joint_sql(leaving.DRAWS, 2000)} SELECT e.label AS signals, e.parameter, e.value AS estimate, quantile_cont(e.value + 1.4 * (d.value - e.value), 0.025) AS low, quantile_cont(e.value + 1.4 * (d.value - e.value), 0.975) AS high,
     (SELECT count(*) FROM pc JOIN la USING (signal) WHERE la.label = e.label) AS signal_weeks FROM jv e JOIN jv d ON d.label = e.label AND d.parameter = e.parameter AND d.draw >= 0 WHERE e.draw = -1 GROUP BY e.label, e.parameter, e.value""",
 )
 def m11_joint_shares(spark, sf_dir):
@@ -364,7 +364,7 @@ _FACTOR = "(count(*) FILTER (l_partkey % 5 = 0 AND isodow(l_shipdate) >= 6) / co
 
 @query(
     "m17_read_off",
-    f"""WITH RECURSIVE {_joint_sql(0, 150)}, wt AS (SELECT period, measure, week_start, strftime(week_start, '%Y-%m') AS month, year(week_start) AS yr, weekday, weekend, {_IN} FROM sl JOIN inp USING (week_start) WHERE weekday IS NOT NULL WINDOW w AS (PARTITION BY period, measure, year(week_start))),
+    f"""WITH RECURSIVE {_joint_sql(0, 2000)}, wt AS (SELECT period, measure, week_start, strftime(week_start, '%Y-%m') AS month, year(week_start) AS yr, weekday, weekend, {_IN} FROM sl JOIN inp USING (week_start) WHERE weekday IS NOT NULL WINDOW w AS (PARTITION BY period, measure, year(week_start))),
     {_designs_sql((leaving.MAIN,))}, {_products_sql('al', 'de', f'{_CELL}, version')}, {_solved_sql('so', 'al', f'{_CELL}, version')},
     fa AS (SELECT {_FACTOR} AS factor FROM lineitem), js AS (SELECT max(value) FILTER (parameter = 'share_summer') AS s, max(value) FILTER (parameter = 'share_breaks') AS r FROM jv WHERE label = 'both' AND draw = -1),
     aw AS (SELECT week_start, weekend, least(greatest(least(greatest(s / factor, 0), 1) * inp.summer + least(greatest(r / factor, 0), 1) * inp.breaks, inp.min_share), inp.max_share) AS away FROM sl JOIN inp USING (week_start), fa, js WHERE measure = 'first' AND weekend IS NOT NULL)
