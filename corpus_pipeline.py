@@ -80,10 +80,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Whole texts reach Python in batches of about this many bytes: all stages run in one session, whose workers keep what they once took.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents, each written as Parquet and read again."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        with small_batches(spark):
-            rows = materialize(stage(spark, rows, sf_dir), f"stage{number}")
+    own = spark.conf.get(_BATCH, None) is None  # a session that chose a size keeps it
+    if own:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        for number, (_, stage) in enumerate(STAGES):
+            with small_batches(spark):
+                rows = materialize(stage(spark, rows, sf_dir), f"stage{number}")
+    finally:
+        if own:
+            spark.conf.unset(_BATCH)
     return rows
