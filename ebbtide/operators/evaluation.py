@@ -58,7 +58,7 @@ def evaluate_models(
     rows = materialize(weeks.withColumn(search.CONSTANT, F.lit(1.0)), "weeks")
     betas = materialize(search.held_out_coefficients(rows, members, [members[0].name], y, held, week, fold, buffer_days).filter(F.col("model").isin(*names)), "coefficients")
     plain = search.held_out_predictions(rows, betas, every, held)
-    dealt = search.held_out_predictions(models.shuffled(rows, week, index, seed), betas, every, held).select(week, "model", F.col("predicted").alias("dealt"))
+    dealt = search.held_out_predictions(models.shuffled(rows, week, index, seed, F.md5(F.concat_ws("-", F.lit(seed), F.col(week)))), betas, every, held).select(week, "model", F.col("predicted").alias("dealt"))
     both = materialize(plain.join(dealt, [week, "model"]), "predictions")
     inside = F.explode(F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(s)) for s, c in subsets.items())), lambda s: s.isNotNull())).alias("subset")
     marked = both.select("*", inside)

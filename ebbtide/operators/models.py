@@ -150,9 +150,9 @@ def half_width(df: DataFrame, error: Column, by: list[str], level: float = 0.95)
     return df.groupBy(*by).agg(F.percentile(F.abs(error), level).alias("half_width"))
 
 
-def shuffled(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
+def shuffled(df: DataFrame, key: str, column: str, seed: int, by: Column | None = None) -> DataFrame:
     """The rows with one column dealt anew, for permutation importance; a study's weekly rows."""
-    order, deal = W.orderBy(key), W.orderBy(F.md5(F.concat_ws("-", F.lit(seed), F.col(key))), key)
+    order, deal = W.orderBy(key), W.orderBy(F.xxhash64(F.lit(seed), F.col(key)) if by is None else by, key)
     own = df.withColumn("__n", F.row_number().over(order))
     other = df.select(F.col(column).alias("__v"), F.row_number().over(deal).alias("__n"))
     return own.join(other, "__n").withColumn(column, F.col("__v")).drop("__n", "__v")
