@@ -67,8 +67,8 @@ def asked_shares(keys: DataFrame, asked: DataFrame, answers: DataFrame, on: list
     return keys.join(asked, on[0]).join(answers, on, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
-def rotations(rows: DataFrame, key: str) -> DataFrame:
-    """For each k from 1: every key takes the rows of the k-th next key in order.
+def rotations(rows: DataFrame, key: str, only: DataFrame | None = None) -> DataFrame:
+    """For each k from 1, or each in ``only``: every key takes the rows of the k-th next key in order.
 
     ``key`` is the receiver, ``donor`` the giver.  The keys are a short
     dimension; each row goes to the keys k places before its own, so rows
@@ -77,6 +77,10 @@ def rotations(rows: DataFrame, key: str) -> DataFrame:
     order = rows.select(key).distinct().withColumn("__n", F.dense_rank().over(W.orderBy(key)) - 1)
     many = order.agg(F.count(F.lit(1)).alias("__many"))
     ranked = rows.withColumnRenamed(key, "donor").join(order.withColumnRenamed(key, "donor"), "donor").crossJoin(F.broadcast(many))
-    dealt = ranked.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__many") - 1, F.lit(1))))).filter("k < __many")
+    if only is None:
+        ranked = ranked.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__many") - 1, F.lit(1)))))
+    else:
+        ranked = ranked.crossJoin(only.select("k"))
+    dealt = ranked.filter("k < __many")
     moved = dealt.withColumn("__n", F.pmod(F.col("__n") - F.col("k"), F.col("__many"))).drop("__many")
     return moved.join(order, "__n").drop("__n")

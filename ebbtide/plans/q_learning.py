@@ -88,11 +88,7 @@ def l13_permutation_importance(spark, sf_dir):
 )
 def m8_placebo_rotations(spark, sf_dir):
     """The same slope after every rotation of the units' measures."""
-    from ebbtide.operators.joins import rotations
-
-    units = materialize(_panel(spark, sf_dir).filter("not weekend").select("unit", "week_start", "y", "x"), "units")
-    moved = rotations(units.select("unit", "week_start", "x"), "unit").select("k", "unit", "week_start", F.col("x").alias("placebo"))
-    return panel.slopes(units.join(moved, ["unit", "week_start"]), ["k"], F.col("y"), F.col("placebo"))
+    return panel.rotation_slopes(_panel(spark, sf_dir).filter("not weekend"), "unit", "week_start", "y", "x")
 
 
 @query(

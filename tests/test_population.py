@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.operators import events, leaving, panel, resample
+from ebbtide.operators import events, joins, leaving, panel, resample
 from ebbtide.sources import files
 
 
@@ -188,3 +188,39 @@ def test_month_records_are_written_as_json_and_replaced(spark, tmp_path):
     assert (first["rows_raw"], first["rows_too_short"], first["rows_kept"], first["rows_no_start_station"], first["rows_out_of_month"], first["n_stations"], first["layout"]) == (6, 1, 5, 1, 1, 2, "modern")
     assert (first["first_start"], first["last_start"]) == (datetime(2020, 1, 2, 10), datetime(2020, 2, 1, 0, 10))
     assert (second["rows_raw"], second["n_stations"], second["layout"]) == (2, 1, "mixed")
+
+
+def rotated_by_hand(rows, least=3):
+    units = sorted({r[0] for r in rows})
+    at = {(u, w): (y, x) for u, w, y, x in rows}
+    out = {}
+    for k in range(1, len(units)):
+        pairs = [(at[u, w][0], at[d, w][1]) for n, u in enumerate(units) for d in [units[(n + k) % len(units)]] for w in range(60) if (u, w) in at and (d, w) in at]
+        pairs = np.array([p for p in pairs if None not in p], float).reshape(-1, 2)
+        if len(pairs) >= least:
+            y, x = (pairs - pairs.mean(axis=0)).T
+            out[k] = (len(pairs), x @ y / (x @ x) if np.ptp(pairs[:, 1]) else None)
+    return out
+
+
+@pytest.mark.parametrize("units, share", [(301, 0.7), (40, 0.04), (2, 1.0)])
+def test_rotation_slopes_need_no_rows_per_rotation(spark, monkeypatch, units, share):
+    rng = random.Random(units)
+    rows = [(u, w, None if rng.random() < 0.1 else 8 + rng.gauss(0, 1), None if u % 9 == 5 else 0.07 * rng.random()) for u in range(units) for w in range(60) if rng.random() < share]
+    asked = []
+    monkeypatch.setattr(panel, "rotations", lambda rows, unit, only: asked.append(only.count()) or joins.rotations(rows, unit, only))
+    monkeypatch.setattr(panel, "SPECTRUM", 16)
+    found = panel.rotation_slopes(spark.createDataFrame(rows, "u long, w int, y double, x double"), "u", "w", "y", "x")
+    got, want = {r["k"]: (r["n"], r["slope"]) for r in found.collect()}, rotated_by_hand(rows)
+    assert sum(asked) < 5  # only rotations without a spread are joined
+    assert set(got) == set(want) and all(got[k] == (n, v if v is None else pytest.approx(v, rel=1e-7)) for k, (n, v) in want.items())
+
+
+def test_rotations_of_one_giver_or_one_value_have_no_slope(spark):
+    alone = [("a", w, float(w * w), 0.1) for w in range(4)] + [("b", w, float(w), None) for w in range(4)] + [("c", 9, 1.0, 0.7), ("d", 8, 2.0, 0.2), ("e", 1, 5.0, None)]
+    frame = spark.createDataFrame(alone, "u string, w int, y double, x double")
+    got = {r["k"]: (r["n"], r["slope"]) for r in panel.rotation_slopes(frame, "u", "w", "y", "x").collect()}
+    assert got == rotated_by_hand(alone) == {4: (4, None)}
+    same = panel.rotation_slopes(frame.withColumn("x", F.lit(0.3)), "u", "w", "y", "x").collect()
+    assert same and all(r["slope"] is None for r in same)
+    assert panel.rotation_slopes(frame.filter("false"), "u", "w", "y", "x").count() == 0
