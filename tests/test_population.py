@@ -1,6 +1,7 @@
 """Slopes after two levels, two-equation and joint fits, size checks and forward scores, on planted data."""
 
 import random
+import tracemalloc
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -39,6 +40,25 @@ def test_two_levels_are_absorbed_as_by_dummies(spark):
     assert all(turns[k] == pytest.approx(v[0], abs=1e-6) for k, v in got.items())
 
 
+def test_a_task_adds_its_groups_to_one_system():
+    rng = np.random.default_rng(0)
+    groups = [np.sort(rng.choice(52, 40, replace=False)) for _ in range(3_000)]
+    part = pd.DataFrame({"places": groups, "counts": [rng.integers(1, 4, 40) for _ in groups], "sums0": [rng.random(40) for _ in groups], "sums1": [rng.random(40) for _ in groups]})
+    tracemalloc.start()
+    found = pd.concat(panel._short_system(52, 2)(iter([part, part[:0], part[:1]])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6  # not an entry for each pair of places of each group
+    left, right = np.zeros((52, 52)), np.zeros((52, 2))
+    for t, n, a, b in [*part.itertuples(index=False), *part[:1].itertuples(index=False)]:
+        y = np.array([a, b]).T
+        left[np.ix_(t, t)] += np.diag(n) - np.outer(n, n) / n.sum()
+        right[t] += y - np.outer(n, y.sum(axis=0)) / n.sum()
+    got = {(i, j): v for i, j, v in found[["i", "j", "value"]].itertuples(index=False)}
+    assert all(got.get((i, j), 0) == pytest.approx(left[i, j], abs=1e-9) for i in range(52) for j in range(52))
+    assert all(got.get((i, -1 - j), 0) == pytest.approx(right[i, j], abs=1e-9) for i in range(52) for j in range(2))
+
+
 def test_many_short_levels_are_removed_by_turns(spark, monkeypatch):
     frame = spark.createDataFrame(station_rows(1), STATION)
     exact = {(r["unit"], r["week"]): r["a"] for r in panel.absorb(frame, ["a"], ["unit", "year"], "week").collect()}
