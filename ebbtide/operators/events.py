@@ -9,11 +9,27 @@ from pyspark.sql import functions as F
 
 from ebbtide import config
 from ebbtide.operators.timeline import week_of
+from ebbtide.plans.scratch import materialize
 
 COUNTS = ("trips", "member_trips", "casual_trips", "classic_trips", "electric_trips", "age_known_trips", "college_age_trips")
 REASONS = ("bad_time", "too_short", "too_long", "non_public_station")
 
 
+#: Rows of a task that holds a group for almost every row: about 250 MB of groups.
+TASK_ROWS = 400_000
+
+
+def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows``, written once, over as many partitions by ``keys`` as keep them to about ``TASK_ROWS`` rows.
+
+    For groupings that leave almost as many groups as rows: the session's number of shuffle partitions is fixed, so
+    there a task's groups would grow with the input.  A group's rows meet in one task, uncombined.
+    """
+    held = materialize(rows, "spread")
+    parts = -(-held.count() // TASK_ROWS)
+    return held.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else held
+
+
 def detect_layout(columns: list[str]) -> str:
     """Name of a raw file's layout by the columns it must have."""
     for layout, needed in (("modern", {"ride_id", "started_at", "member_casual"}), ("legacy", {"tripduration", "starttime", "usertype"})):
@@ -126,15 +142,15 @@ def month_records(trips: DataFrame, month: str = "month") -> DataFrame:
 
 def station_day(trips: DataFrame) -> DataFrame:
     """Counts per start day and station; trips without a station stay under a null one."""
-    age = rider_age(F.col("started_at"), F.col("birth_year"))
-    return trips.groupBy(F.to_date("started_at").alias("date"), F.col("start_station_id").alias("station_id")).agg(
+    marks = trips.select(F.to_date("started_at").alias("date"), F.col("start_station_id").alias("station_id"), "rider_type", "bike_type", rider_age(F.col("started_at"), F.col("birth_year")).alias("age"))
+    return spread(marks, ["date", "station_id"]).groupBy("date", "station_id").agg(
         F.count(F.lit(1)).alias("trips"),
         F.count_if(F.col("rider_type") == "member").alias("member_trips"),
         F.count_if(F.col("rider_type") == "casual").alias("casual_trips"),
         F.count_if(F.col("bike_type") == "classic").alias("classic_trips"),
         F.count_if(F.col("bike_type") == "electric").alias("electric_trips"),
-        F.count(age).alias("age_known_trips"),
-        F.count_if(age.between(*config.COLLEGE_AGE)).alias("college_age_trips"),
+        F.count("age").alias("age_known_trips"),
+        F.count_if(F.col("age").between(*config.COLLEGE_AGE)).alias("college_age_trips"),
     )
 
 

@@ -26,7 +26,7 @@ def write_trip_months(layouts: list[DataFrame], folder: str) -> None:
 
 def load_station_days(in_month: DataFrame, spill: DataFrame) -> DataFrame:
     """Station-days of all months with the trips that no file had as its own."""
-    return in_month.unionByName(events.station_day(spill)).groupBy("date", "station_id").agg(*(F.sum(c).alias(c) for c in events.COUNTS))
+    return events.spread(in_month.unionByName(events.station_day(spill)), ["date", "station_id"]).groupBy("date", "station_id").agg(*(F.sum(c).alias(c) for c in events.COUNTS))
 
 
 def directory(raw: DataFrame) -> DataFrame:

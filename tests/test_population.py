@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.operators import events, joins, leaving, panel, resample
+from ebbtide.operators import events, joins, leaving, panel, resample, tables
+from ebbtide.plans import adapters
 from ebbtide.sources import files
 
 
@@ -244,3 +245,14 @@ def test_rotations_of_one_giver_or_one_value_have_no_slope(spark):
     same = panel.rotation_slopes(frame.withColumn("x", F.lit(0.3)), "u", "w", "y", "x").collect()
     assert same and all(r["slope"] is None for r in same)
     assert panel.rotation_slopes(frame.filter("false"), "u", "w", "y", "x").count() == 0
+
+
+def test_station_days_of_many_rows_are_dealt_over_more_tasks(spark, sf, monkeypatch):
+    days = {tuple(r) for r in adapters.station_days(spark, sf).collect()}
+    monkeypatch.setattr(events, "TASK_ROWS", 300)
+    found = adapters.station_days(spark, sf)
+    assert {tuple(r) for r in found.collect()} == days and len(days) > 3_000
+    rows = found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(rows) > 4 and max(r["n"] for r in rows) < 450  # more tasks than the session's shuffle partitions, as many rows in each
+    days_twice = tables.load_station_days(found, events.clean(adapters.trips(spark, sf)))
+    assert {(r["date"], r["station_id"], r["trips"] / 2) for r in days_twice.collect()} == {(d[0], d[1], d[2]) for d in days}
