@@ -173,7 +173,7 @@ def combine_stations(months: DataFrame) -> DataFrame:
 
 def month_part(started: Column, month: Column) -> Column:
     """inside, edge (inside and within 48 hours of a bound) or spill, of a trip in the file of ``month`` (yyyyMM)."""
-    first = F.to_date(F.concat(month, F.lit("01")), "yyyyMMdd").cast("timestamp_ntz")
+    first = F.concat(F.substring(month, 1, 4), F.lit("-"), F.substring(month, 5, 2), F.lit("-01")).cast("date").cast("timestamp_ntz")
     end = F.add_months(first, 1).cast("timestamp_ntz")
     margin = F.expr(f"interval {config.EDGE_HOURS} hours")
     inside = (started >= first) & (started < end)
@@ -181,10 +181,14 @@ def month_part(started: Column, month: Column) -> Column:
 
 
 def unseen_spill(files: DataFrame) -> DataFrame:
-    """Trips outside their file's month that no file counts as its own; one row per key, the smallest start."""
-    parts = files.withColumn("part", month_part(F.col("started_at"), F.col("month")))
-    spill = parts.filter("part = 'spill'").groupBy("trip_key").agg(F.min("started_at").alias("started_at"))
-    return spill.join(parts.filter("part = 'edge'").select("trip_key").distinct(), "trip_key", "left_anti")
+    """Trips outside their file's month that no file counts as its own; one row per key, the smallest start.
+
+    One pass: a key's spilled and edge rows meet in one aggregate.  A null key is no trip's, so no edge row is its own.
+    """
+    parts = files.select("trip_key", "started_at", month_part(F.col("started_at"), F.col("month")).alias("part")).filter(F.col("part").isin("spill", "edge"))
+    spill = F.min(F.when(F.col("part") == "spill", F.col("started_at")))
+    keys = parts.groupBy("trip_key").agg(spill.alias("started_at"), F.bool_or(F.col("part") == "edge").alias("__edge"))
+    return keys.filter(F.col("started_at").isNotNull() & (F.col("trip_key").isNull() | ~F.col("__edge"))).drop("__edge")
 
 
 def build_weekly(days: DataFrame, coverage_start: date | Column, coverage_end: date | Column, by: tuple[str, ...] = ()) -> DataFrame:

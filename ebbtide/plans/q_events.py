@@ -166,8 +166,9 @@ def _files(spark, sf_dir):
     trips = A.trips(spark, sf_dir).select("trip_key", "started_at", "birth_year")
     later = F.date_format(F.expr("started_at + interval 5 days"), "yyyyMM")
     moved = (F.day("started_at") >= 28) & (F.coalesce(F.col("birth_year") % 7, F.lit(1)) == 0)
-    own = trips.select("trip_key", "started_at", F.when(moved, later).otherwise(F.date_format("started_at", "yyyyMM")).alias("month"))
-    return own.unionByName(trips.filter(F.day("started_at") >= 30).select("trip_key", "started_at", later.alias("month")))
+    own = F.when(moved, later).otherwise(F.date_format("started_at", "yyyyMM"))
+    months = F.when(F.day("started_at") >= 30, F.array(own, later)).otherwise(F.array(own))
+    return trips.select("trip_key", "started_at", F.explode(months).alias("month"))
 
 
 @query("t8_split_month", f"WITH {A.TRIPS}, {_FILES} SELECT month, part, count(*) AS n FROM placed GROUP BY ALL")

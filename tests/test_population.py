@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbtide.operators import events, joins, leaving, panel, resample, tables
-from ebbtide.plans import adapters
+from ebbtide.plans import adapters, q_events
 from ebbtide.sources import files
 
 
@@ -256,3 +256,12 @@ def test_station_days_of_many_rows_are_dealt_over_more_tasks(spark, sf, monkeypa
     assert len(rows) > 4 and max(r["n"] for r in rows) < 450  # more tasks than the session's shuffle partitions, as many rows in each
     days_twice = tables.load_station_days(found, events.clean(adapters.trips(spark, sf)))
     assert {(r["date"], r["station_id"], r["trips"] / 2) for r in days_twice.collect()} == {(d[0], d[1], d[2]) for d in days}
+
+
+def test_spilled_trips_are_found_in_one_pass(spark, sf):
+    text = q_events.k6_unseen_spill(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet") == 2  # a scan of each layout
+    at = datetime(2023, 5, 1, 7)
+    rows = [("seen", at, "202304"), ("seen", at, "202305"), ("late", at, "202304"), ("late", at + timedelta(1), "202304"), (None, at, "202304"), (None, at, "202305"), ("none", None, None), ("own", at, "202305")]
+    got = events.unseen_spill(spark.createDataFrame(rows, "trip_key string, started_at timestamp_ntz, month string"))
+    assert sorted((r["trip_key"] or "", r["started_at"]) for r in got.collect()) == [("", at), ("late", at)]
