@@ -129,20 +129,31 @@ def _best_of_blocks(features: int, k: int):
 def nearest_neighbours(queries: DataFrame, key: str, train: DataFrame, train_key: str, features: list[str], label: str, k: int) -> DataFrame:
     """Mean label of the k nearest training rows, weighted by 1 / distance; an exact match decides alone.
 
-    All queries meet all training rows, block by block; a pair of blocks
-    returns each query's k best only, and these are merged.
+    Queries of equal features are answered once, and of training rows of equal features the first k by key are all that
+    can be among the nearest.  What is left meets block by block, so the work grows with the product of the numbers of
+    different points; a pair of blocks returns each query's k best only, and these are merged.
     """
-    columns = [F.col(c) for c in features]
-    left = materialize(_packed(queries, QUERY_ROWS, F.col(key), columns, ("__q", "__x")), "queries")
-    right = materialize(_packed(train, TRAIN_ROWS, F.col(train_key), [*columns, F.col(label)], ("__k", "__t")), "train")
-    schema = T.StructType().add("__q", queries.schema[key].dataType).add("__k", train.schema[train_key].dataType).add("__d", "double").add("__l", "double")
-    near = left.repartition(max(1, left.count())).crossJoin(right).mapInArrow(_best_of_blocks(len(features), k), schema).withColumnRenamed("__q", key)
-    first = W.partitionBy(key).orderBy(F.asc_nulls_last("__d"), "__k")
+    names = [f"__f{n}" for n in range(len(features))]
+    columns = [F.col(c).cast("double").alias(n) for c, n in zip(features, names)]
+    asked = queries.select(key, *columns)
+    points = materialize(asked.select(*names).distinct().withColumn("__p", F.monotonically_increasing_id()), "points")
+    # nulls are one point; nothing is near it
+    place = F.row_number().over(W.partitionBy(*names).orderBy("__k"))
+    given = train.select(F.col(train_key).alias("__k"), *columns, F.col(label).alias("__label")).withColumn("__n", place).filter(F.col("__n") <= k)
+    inputs = [F.col(n) for n in names]
+    left = materialize(_packed(points, QUERY_ROWS, F.col("__p"), inputs, ("__q", "__x")), "queries")
+    right = materialize(_packed(materialize(given, "given"), TRAIN_ROWS, F.col("__k"), [*inputs, F.col("__label")], ("__k", "__t")), "train")
+    schema = T.StructType().add("__q", "long").add("__k", train.schema[train_key].dataType).add("__d", "double").add("__l", "double")
+    near = left.repartition(max(1, left.count())).crossJoin(right).mapInArrow(_best_of_blocks(len(features), k), schema).withColumnRenamed("__q", "__p")
+    first = W.partitionBy("__p").orderBy(F.asc_nulls_last("__d"), "__k")
     best = near.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k)
     exact = F.col("__d") == 0
-    return best.groupBy(key).agg(
+    found = best.groupBy("__p").agg(
         F.coalesce(F.avg(F.when(exact, F.col("__l"))), F.sum(F.col("__l") / F.when(~exact, F.col("__d"))) / F.sum(1 / F.when(~exact, F.col("__d")))).alias("predicted")
     )
+    answers = points.join(found, "__p").select(*(F.col(n).alias(f"__at{n}") for n in names), "predicted")
+    same = [F.col(n).eqNullSafe(F.col(f"__at{n}")) for n in names]
+    return asked.join(answers, same).select(key, "predicted")
 
 
 def half_width(df: DataFrame, error: Column, by: list[str], level: float = 0.95) -> DataFrame:

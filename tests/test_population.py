@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ebbtide.operators import events, joins, leaving, panel, resample, tables
+from ebbtide.operators import events, joins, leaving, models, panel, resample, tables
 from ebbtide.plans import adapters, q_events
 from ebbtide.sources import files
 
@@ -265,3 +265,19 @@ def test_spilled_trips_are_found_in_one_pass(spark, sf):
     rows = [("seen", at, "202304"), ("seen", at, "202305"), ("late", at, "202304"), ("late", at + timedelta(1), "202304"), (None, at, "202304"), (None, at, "202305"), ("none", None, None), ("own", at, "202305")]
     got = events.unseen_spill(spark.createDataFrame(rows, "trip_key string, started_at timestamp_ntz, month string"))
     assert sorted((r["trip_key"] or "", r["started_at"]) for r in got.collect()) == [("", at), ("late", at)]
+
+
+def test_equal_points_meet_once_as_neighbours(spark, monkeypatch):
+    rng = random.Random(2)
+    asked = [(n, rng.choice([0.0, 1.0, 2.5, None])) for n in range(300)]
+    given = [(n, rng.choice([0.0, 3.0, 4.0, None]), float(rng.randrange(9))) for n in range(200)]
+    packed, met = models._packed, []
+    monkeypatch.setattr(models, "_packed", lambda df, *rest: met.append(df.count()) or packed(df, *rest))
+    found = models.nearest_neighbours(spark.createDataFrame(asked, "id int, a double"), "id", spark.createDataFrame(given, "k int, a double, l double"), "k", ["a"], "l", 3)
+    got = {r["id"]: r["predicted"] for r in found.collect()}
+    assert len(got) == 300 and met == [4, 12]  # points asked for, and three training rows of each point
+    for n, a in asked:
+        near = sorted((abs(a - b), k, v) for k, b, v in given if b is not None)[:3] if a is not None else []
+        alone = [v for d, _, v in near if d == 0]
+        want = sum(alone) / len(alone) if alone else sum(v / d for d, _, v in near) / sum(1 / d for d, _, v in near) if near else None
+        assert got[n] == (want if want is None else pytest.approx(want))
